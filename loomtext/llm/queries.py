@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens, warc
+from . import minhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(warc.key_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.key_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of every document, on four-word shingles."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of every document, read back."""
     import public_tokenizers
@@ -26,5 +31,13 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows of fold 0 are never learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (toxicity.fold_of("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}

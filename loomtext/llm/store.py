@@ -77,3 +77,10 @@ def worker_cache(name: str, make):
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def tune(spark: SparkSession, rows: int = 256) -> None:
+    """Small Arrow batches: a Python worker then holds few texts at a time, long ones included."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

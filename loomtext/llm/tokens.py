@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,20 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitpack
-from .store import delete, open_fs, scratch, shuffle_width, worker_cache
+from .store import delete, open_fs, scratch, shuffle_width, tune, worker_cache
 
 #: Characters for which piece boundaries are the same in every Unicode version.
 STABLE = "[^\\x00-\\u024f\\u2010-\\u2027]"
 #: Pieces held per worker before the older half is dropped.
-HELD = 400_000
+HELD = 500_000
+# Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 class PieceEncoder:
     """Whole-text encoding by the tokenizers library, with each distinct piece encoded once.
 
     A byte-level BPE never merges across the pieces of its pre-tokenizer, so the ids of a
-    text are those of its pieces in order. Single spaces are such borders as well, so the
-    words between them, with the space before, are looked up first. Texts with special
+    text are those of its pieces in order. A single space starts a new piece, so words
+    of letters between single spaces are looked up without the pattern. Texts with special
     tokens or characters whose class depends on the Unicode version go to the library as
     they are, and so does everything if the tokenizer isn't of this kind.
     """
@@ -48,10 +52,12 @@ class PieceEncoder:
         plain = plain and model.get("type") == "BPE" and not model.get("dropout") and not model.get("unk_token") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
         #: Fixed value: the pre-tokenizer's public pattern.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall if plain else None
-        special = [regex.escape(x["content"]) for x in spec.get("added_tokens") or []]
-        self.direct = regex.compile("|".join([STABLE, *special])).search
-        self.words, self.old_words = {}, {}
-        self.new, self.old = {}, {}
+        self.special = [x["content"] for x in spec.get("added_tokens") or []]
+        self.unstable = regex.compile(STABLE).search
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     @property
     def vocab_size(self) -> int:
@@ -59,35 +65,39 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.pieces is None or self.direct(text):
+        if self.pieces is None or (not text.isascii() and self.unstable(text)) or any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return self._join(self.pieces(text))
+            return b"".join(map(self._piece, self.pieces(text)))
         head, *words = text.split(" ")
-        try:
-            return self._join(self.pieces(head)) + b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.words) > HELD:
-            self.old_words, self.words = self.words, {}
-        for w in set(words).difference(self.words):
-            got = self.old_words.get(w)
-            self.words[w] = self._join(self.pieces(" " + w)) if got is None else got
-        return self._join(self.pieces(head)) + b"".join(map(self.words.__getitem__, words))
-
-    def _join(self, pieces: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.new.__getitem__, pieces))
-        except KeyError:
-            self._learn(pieces)
-        return b"".join(map(self.new.__getitem__, pieces))
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.new) > HELD:
-            self.old, self.new = self.new, {}
-        for p in set(pieces).difference(self.new):
-            got = self.old.get(p)
-            self.new[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() if got is None else got
+        get, other = self.words.get, self._word
+        return b"".join(map(self._piece, self.pieces(head))) + b"".join([get(w) or other(w) for w in words])
+
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        if word.isalpha():
+            got = self.words.get(word)
+            if got is None:
+                if len(self.words) > HELD:
+                    self.old, self.words = self.words, {}
+                got = self.words[word] = self.old.get(word) or self._ids(" " + word)
+            return got
+        if word[-1] in ",.;:!?" and word[:-1].isalpha():
+            return self._word(word[:-1]) + self._piece(word[-1])
+        return b"".join(map(self._piece, self.pieces(" " + word)))
+
+    def _piece(self, piece: str) -> bytes:
+        if piece[0] == " " and piece[1:].isalpha():
+            return self._word(piece[1:])
+        got = self.marks.get(piece)
+        if got is None:
+            if len(self.marks) > HELD // 4:
+                self.marks = {}
+            got = self.marks[piece] = self._ids(piece)
+        return got
 
 
 def _encoder(path: str) -> PieceEncoder:
@@ -105,6 +115,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, key
     count, so a task that is run again leaves no double.
     """
     spark = docs.sparkSession
+    tune(spark)
     n = shards or shuffle_width(spark)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

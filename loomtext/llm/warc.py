@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import open_fs, scratch
+from .store import open_fs, scratch, tune
 
 # Fixed values of the public seekable format and of the WARC 1.1 standard.
 SKIPPABLE, INDEX_FRAME, SEEK_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
@@ -244,6 +244,7 @@ def read_bundles(spark: SparkSession, out_dir: str, with_payload: bool = True) -
 def archive_and_read(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0, with_payload: bool = True) -> DataFrame:
     """Write ``pages`` and read the archives back."""
     spark = pages.sparkSession
+    tune(spark)
     out = scratch(spark, "warc")
     write_bundles(with_roles(pages, key, url, html, min_revisit_bytes), out)
     return read_bundles(spark, out, with_payload)
