@@ -33,11 +33,11 @@ MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 3000, 8000, 40_000
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 24
 SIZES = (3, 4, 5)
 #: Sharpness of the soft maximum over windows in training.
-SHARP = 6.0
+SHARP = 4.0
 #: Least number of minibatches in training; few rows are gone over more often.
 UPDATES = 600
 #: Least number of training texts for a word to teach anything.
-MIN_DOCS = 3
+MIN_DOCS = 2
 #: 0: rows count alike; 1: classes do.
 POWER = 0.25
 # Characters that separate words, beside white space.
@@ -121,9 +121,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64,
     weight = weight**POWER
     usable = np.array([i for i, d in enumerate(docs) if len(d)])
     rounds = max(epochs, -(-UPDATES * batch // max(len(usable), 1)))
-    for turn in range(rounds):
-        # From the mean of all windows to nearly the largest.
-        sharp = SHARP * (turn + 1) / rounds
+    for _ in range(rounds):
         rng.shuffle(usable)
         for lo in range(0, len(usable), batch):
             ids = usable[lo : lo + batch]
@@ -147,7 +145,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64,
             # A soft maximum over the windows of a document, then the softmax's loss.
             first = np.concatenate([[0], np.cumsum(win_of_doc)[:-1]])
             top = np.maximum.reduceat(z, first)
-            e = np.exp(sharp * (z - np.repeat(top, win_of_doc)))
+            e = np.exp(SHARP * (z - np.repeat(top, win_of_doc)))
             share = e / np.repeat(np.add.reduceat(e, first), win_of_doc)
             pooled = np.add.reduceat(share * z, first)
             p = 1 / (1 + np.exp(-np.clip(pooled, -40, 40)))
