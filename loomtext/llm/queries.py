@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, tokens, toxicity, warc
+from . import minhash, suffix, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte covered by a 400-byte string that starts anywhere else is removed."""
+    got = suffix.remove_repeats(_table(spark, sf_dir, "documents"), 400)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of every document, read back."""
     import public_tokenizers

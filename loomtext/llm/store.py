@@ -6,6 +6,7 @@ Everything that has to outlive a stage goes to the folder named by
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -84,3 +85,9 @@ def tune(spark: SparkSession, rows: int = 256) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
