@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, suffix, tokens, toxicity, warc
+from . import minhash, mixing, suffix, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,17 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probability and draw of every document."""
+    got = mixing.mix(_table(spark, sf_dir, "documents"))
+    return got.select(F.col("k").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows of fold 0 are never learned from."""
     docs = _table(spark, sf_dir, "documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sql_mixing import mixing_sql
+
 OP1_WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM p)
@@ -28,4 +30,4 @@ FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_WARC, "op2_minhash": OP2_MINHASH}
+    return {"op1_warc": OP1_WARC, "op2_minhash": OP2_MINHASH, "op6_mixing": mixing_sql()}
