@@ -3,12 +3,13 @@
 Steps: (1) documents with equal word sequences form a class, found by a grouped minimum;
 (2) one representative of each class gets its distinct w-word shingles as 64-bit hashes and
 the minima of many universal hash functions over them; (3) bands of the signature deal
-representatives into buckets; (4) in each bucket members are held against a pivot and
-linked if the full sets reach the threshold; buckets whose members are all in one component
-are done, and what is left takes further rounds with other pivots and at last every pair of
-the bucket whose two sides still lie in different components and weren't held against each
-other yet, so no link that joins components is lost; (5) components by alternating
-large-star and small-star over the links.
+representatives into buckets; (4) in each bucket members are held against its smallest key
+and linked if the full sets reach the threshold; (5) buckets that aren't in one component then
+go on with the size of what each set shares with any other one, which bounds its similarity
+(a set with a fifth of its own has no partner): members are held against the bucket's most
+central member, then another one, and at last all pairs of different components that the bound
+allows and that weren't held against each other yet, so no link that joins components is lost;
+(6) components by alternating large-star and small-star over the links.
 
 Only links that join components matter for a component's smallest member, so pairs inside
 one component needn't be emitted; a group of near copies as large as a third of all rows
@@ -31,12 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import forget, materialize, tune, worker_cache
+from .store import forget, materialize, release, tune, worker_cache
 
 #: Bands and rows of a band: at a similarity of 0.8 a pair shares no bucket in 3 of a million cases.
 BANDS, ROWS = 24, 4
 #: Pivot rounds before the rest of each bucket is compared pair by pair.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -133,14 +134,14 @@ def sketch(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: i
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, set): the sorted distinct shingle hashes as packed 64-bit integers."""
+    """(key, set): the sorted distinct shingle hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = worker_cache("words", WordHash)
         for batch in batches:
-            yield pd.DataFrame({"key": batch["k"], "set": [shingle_hashes(hashed(word_split(t)), width).tobytes() for t in batch["t"]]})
+            yield pd.DataFrame({"key": batch["k"], "set": [np.sort(shingle_hashes(hashed(word_split(t)), width).view(np.int64)) for t in batch["t"]]})
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, "key long, set binary")
+    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(run, "key long, set array<long>")
 
 
 def likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +172,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             out = []
             for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 if 100 * len(x) < percent * len(y):
@@ -213,7 +213,17 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def links(sketches: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int, bands: int = BANDS) -> DataFrame:
+def shared_sizes(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, n, s): size of the set, and how many of its shingles any other set of ``keys`` has as well.
+
+    A shingle of one set alone is found by a count with a minimum, so nothing is joined back.
+    """
+    held = sets.join(keys, "key", "left_semi")
+    lone = held.select("key", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("lone"))
+    return held.select("key", F.size("set").cast("long").alias("n")).join(lone, "key", "left").select("key", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("s"))
+
+
+def links(sketches: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) between representatives, enough to give every component whole.
 
     Returns a table of the shared folder.
@@ -224,45 +234,58 @@ def links(sketches: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     buckets = materialize(many.join(shared, "bucket").select("bucket", "key").distinct(), "buckets")
     wanted = buckets.select("key").distinct()
     sets = materialize(shingle_sets(docs.join(wanted.withColumnRenamed("key", key), key), key, text, width), "sets")
-    found: DataFrame | None = None
-    tried: DataFrame | None = None
-    comp: DataFrame | None = None
+
+    def held_now(comp: DataFrame) -> DataFrame:
+        return buckets.join(comp, buckets["key"] == comp["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("c"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        out = materialize(verified(likely(pairs, signatures, percent), sets, percent), "verified")
+        gone.append(out)
+        return out.where("linked").select("a", "b")
+
     gone: list[DataFrame] = []
+    # First every member of a bucket against the smallest key of it.
+    least = buckets.groupBy("bucket").agg(F.min("key").alias("pk"))
+    pairs = materialize(buckets.join(least, "bucket").where("key <> pk").select(F.col("pk").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    gone.append(pairs)
+    tried, found = pairs, check(pairs)
+    comp = materialize(components(found), "comp")
+    gone.append(comp)
+    # Buckets of three and more that aren't in one component: how much of a set can be shared at all bounds its similarity.
+    held = held_now(comp)
+    open_ = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 AND size > 2").select("bucket")
+    open_ = materialize(held.join(open_, "bucket"), "open")
+    sizes = materialize(shared_sizes(sets, open_.select("key").distinct()), "sizes")
+    gone += [open_, sizes]
+    # 100 * i >= percent * (n_a + n_b - i) with i <= min(s_a, s_b).
+    members = materialize(open_.select("bucket", "key").join(sizes, "key"), "members")
+    gone.append(members)
     for turn in range(PIVOT_ROUNDS + 1):
-        if comp is None:
-            held = buckets.withColumn("c", F.col("key"))
-        else:
-            held = buckets.join(comp, buckets["key"] == comp["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("c"))
-        open_ = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        now = members.join(comp, members["key"] == comp["node"], "left").select("bucket", members["key"], "n", "s", F.coalesce("component", members["key"]).alias("c"))
         if turn < PIVOT_ROUNDS:
-            # Another pivot in each round: the least by a hash that differs from round to round.
-            order = F.struct(F.xxhash64("key", F.lit(turn)), "key", "c") if turn else F.struct("key", F.lit(0), "c")
-            pivot = held.groupBy("bucket").agg(F.min(order).alias("p"))
-            p_key, p_c = (F.col("p.key"), F.col("p.c"))
-            pairs = held.join(open_.join(pivot, "bucket").select("bucket", p_key.alias("pk"), p_c.alias("pc")), "bucket").where("c <> pc")
+            # The member with the smallest part of its own, the centre of its group; then others by a hash that changes.
+            best = F.struct((F.col("s") / F.col("n")).alias("x"), F.lit(0).alias("y"), "key", "n", "s", "c") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)).cast("double").alias("x"), F.lit(0).alias("y"), "key", "n", "s", "c")
+            pivot = now.groupBy("bucket").agg(F.max(best).alias("p")).select("bucket", F.col("p.key").alias("pk"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.c").alias("pc"))
+            pairs = now.join(pivot, "bucket").where("c <> pc").where(F.expr(f"(100 + {percent}) * least(s, ps) >= {percent} * (n + pn)"))
             pairs = pairs.select(F.least("key", "pk").alias("a"), F.greatest("key", "pk").alias("b")).distinct()
         else:
-            # Members outside a bucket's largest component against all members of other components.
-            left = held.join(open_.select("bucket"), "bucket")
-            top = left.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("top"))
-            rest = left.join(top, "bucket").where("c <> top")
-            pairs = rest.alias("l").join(left.alias("r"), F.expr("l.bucket = r.bucket AND l.c <> r.c AND (r.c = l.top OR l.key < r.key)"))
+            # Members outside a bucket's largest component, if any partner can be similar enough, against all of other components.
+            top = now.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.min("n").alias("least_n")).groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.min("least_n").alias("least_n"))
+            rest = now.join(top, "bucket").where("c <> top").where(F.expr(f"(100 + {percent}) * s >= {percent} * (n + least_n)"))
+            pairs = rest.alias("l").join(now.alias("r"), F.expr(f"l.bucket = r.bucket AND l.c <> r.c AND (r.c = l.top OR l.key < r.key) AND (100 + {percent}) * least(l.s, r.s) >= {percent} * (l.n + r.n)"))
             pairs = pairs.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        result = materialize(verified(likely(pairs, signatures, percent), sets, percent), "verified")
-        gone += [pairs, result]
-        tried = pairs if tried is None else tried.union(pairs)
-        fresh = result.where("linked").select("a", "b")
-        found = fresh if found is None else found.union(fresh)
-        if turn == PIVOT_ROUNDS:
-            break
+        pairs = materialize(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        gone.append(pairs)
+        if pairs.isEmpty():
+            continue
+        tried = tried.union(pairs)
+        fresh = check(pairs)
         if not fresh.isEmpty():
-            comp = materialize(components(found), "comp")
-            gone.append(comp)
-        elif pairs.isEmpty() and open_.isEmpty():
-            break
+            found = found.union(fresh)
+            if turn < PIVOT_ROUNDS:
+                comp = materialize(components(found), "comp")
+                gone.append(comp)
+        release(docs.sparkSession)
     out = materialize(found, "links")
     forget(sets, buckets, *gone)
     return out
@@ -274,7 +297,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     drawn = materialize(sketch(docs, key, text, width, bands, rows), "sketches")
     classes = drawn.where("n_shingles > 0 AND key IS NOT NULL").groupBy("content").agg(F.min("key").alias("rep"))
     reps = drawn.join(classes, "content").where("key = rep").dropDuplicates(["key", "content"]).select("key", "n_shingles", "signature", "bands")
-    edges = links(reps, docs, key, text, width, percent, bands)
+    edges = links(reps, docs, key, text, width, percent)
     comp = components(edges)
     by_class = classes.join(comp, classes["rep"] == comp["node"], "left").select("content", F.coalesce("component", "rep").alias("component_id"))
     by_class = materialize(by_class, "classes")
