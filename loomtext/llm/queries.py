@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, suffix, tokens, toxicity, urls, warc
+from . import decontam, kneser, minhash, mixing, suffix, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("k").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the documents that are labelled good."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser.perplexities(_table(spark, sf_dir, "documents"), good)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows of fold 0 are never learned from."""
     docs = _table(spark, sf_dir, "documents")
