@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kneser, minhash, mixing, suffix, tokens, toxicity, urls, warc
+from . import decontam, kneser, media, minhash, mixing, suffix, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold_of("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the pictures of all vectors (no table holds pictures, so each vector is drawn as one)."""
+    pictures = media.rendered(_table(spark, sf_dir, "embeddings"))
+    return media.copies(pictures, "vec_id", "image")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items held by every document."""
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
