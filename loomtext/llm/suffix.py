@@ -13,9 +13,9 @@ can be searched apart from each other:
    places), goes with its bytes to shards. Each shard sorts its suffixes by Larsson-Sadakane
    refinement in numpy up to depth L, takes common prefixes by Kasai, and marks windows that have
    an equal neighbour;
-4. an anchor with more segments than a shard may hold is split over shards. Its windows without
-   a partner at home are published as sorted runs of 128-bit hashes, range-partitioned, and
-   merged by binary search of each run in the others.
+4. an anchor with more segments than a shard may hold is split over shards. Each publishes its
+   distinct windows as sorted runs of 128-bit hashes, cut by hash range; a range's runs are merged
+   by binary search for those that have an equal one in another shard.
 
 Then repeated windows become byte runs per text, and the texts are cut.
 
@@ -126,21 +126,21 @@ def segments(data: np.ndarray, length: int, powers: _Powers) -> dict[str, np.nda
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of all suffixes by their first ``depth`` values, by Larsson-Sadakane refinement.
+    """(order, rank) of all suffixes of a byte array by their first ``depth`` bytes, by Larsson-Sadakane refinement.
 
     Ranks double the compared length in each round; only suffixes in groups that are still
     unsorted are sorted again. Suffixes equal to that depth keep one rank.
     """
     n = len(data)
-    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for i in range(6):  # values stay below 2 ** 10: letters and separators
-        key = (key << np.uint64(10)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    for i in range(8):
+        key = (key << np.uint64(8)) | padded[i : i + n]
+    order = np.argsort(key)
     fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    h = 6
+    h = 8
     bounds = np.flatnonzero(np.concatenate([fresh, [True]]))
     size = np.diff(bounds)
     open_ = bounds[:-1][size > 1]
@@ -149,73 +149,76 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         total = int(open_n.sum())
         slot = np.repeat(open_ - np.concatenate([[0], np.cumsum(open_n)[:-1]]), open_n) + np.arange(total)
         suffix = order[slot]
-        group = np.repeat(np.arange(len(open_)), open_n)
+        # Group and second rank in one number: both are at most n.
         nxt = suffix + h
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        new = np.lexsort((second, group))
-        suffix, second = suffix[new], second[new]
+        both = np.repeat(np.arange(len(open_)), open_n) * (n + 1) + np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
+        new = np.argsort(both)
+        suffix, both = suffix[new], both[new]
         order[slot] = suffix
-        cut = np.concatenate([[True], (second[1:] != second[:-1]) | (group[1:] != group[:-1])])
-        head = slot[np.flatnonzero(cut)]
+        cut = np.concatenate([[True], both[1:] != both[:-1]])
+        at = np.flatnonzero(cut)
+        head = slot[at]
         rank[suffix] = head[np.cumsum(cut) - 1]
-        size = np.diff(np.concatenate([np.flatnonzero(cut), [total]]))
+        size = np.diff(np.concatenate([at, [total]]))
         open_, open_n = head[size > 1], size[size > 1]
         h *= 2
     return order, rank
 
 
-def kasai(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the order, up to ``most``.
+def kasai(data: np.ndarray, order: np.ndarray, most: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix of each suffix of the order with the one before it, up to ``most``; 0 where either isn't ``wanted``.
 
-    Kasai's theorem, that the prefix shrinks by at most one from a suffix to the next one in the
-    text, gives each value a lower bound; all suffixes are extended together in numpy by doubling
-    comparisons of hashed ranges instead of one after another.
+    The quantity of Kasai's algorithm. Its walk through the text is sequential; here all suffixes
+    are extended together in numpy, by doubling comparisons of hashed ranges.
     """
     n = len(data)
     powers = _Powers()
-    values = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     powers.need(n + 1)
     h = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mix(values) * powers.up[0][:n], out=h[1:])
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
-    me = np.flatnonzero(before >= 0)
-    you = before[me]
-    got = np.zeros(len(me), np.int64)
-    step = 1 << max(most - 1, 1).bit_length()
+    np.cumsum(VALUES[0][data] * powers.up[0][:n], out=h[1:])
     down = powers.down[0]
+    here = np.arange(1, n)
+    if wanted is not None:
+        w = wanted[order]
+        here = here[w[1:] & w[:-1]]
+    me, you = order[here], order[here - 1]
+    got = np.zeros(len(here), np.int64)
+    step = 1 << max(most - 1, 1).bit_length()
     while step:
         to = got + step
-        fits = (to <= most) & (me + to <= n) & (you + to <= n)
-        i, j = me[fits], you[fits]
-        a, b = i + got[fits], j + got[fits]
-        same = (h[a + step] - h[a]) * down[a] == (h[b + step] - h[b]) * down[b]
-        got[np.flatnonzero(fits)[same]] += step
+        fits = np.flatnonzero((to <= most) & (me + to <= n) & (you + to <= n))
+        if len(fits):
+            a, b = me[fits] + got[fits], you[fits] + got[fits]
+            same = (h[a + step] - h[a]) * down[a] == (h[b + step] - h[b]) * down[b]
+            got[fits[same]] += step
         step >>= 1
-    out[me] = got
-    return out[order]
+    out = np.zeros(n, np.int64)
+    out[here] = got
+    return out
 
 
 def repeated_windows(texts: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
     """For segments of one shard: per segment a mask of its windows that occur at least twice in the shard."""
-    lens = np.array([len(t) for t in texts], np.int64)
-    start = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
-    data = np.empty(int((lens + 1).sum()), np.int64)
-    for i, (s, t) in enumerate(zip(start, texts, strict=True)):
-        data[s : s + len(t)] = np.frombuffer(t, np.uint8)
-        data[s + len(t)] = 256 + i % 700  # a window never contains a separator, so these needn't differ
+    # A window lies inside one segment, so the separator may be any byte; UTF-8 has no 255.
+    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
+    start = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64)
+    window = np.zeros(len(data), bool)
+    for s, c in zip(start, counts, strict=True):
+        window[s : s + c] = True
     order, _ = suffix_array(data, length)
-    common = kasai(data, order, length)
-    equal = common >= length
+    equal = kasai(data, order, length, window) >= length
     mark = np.zeros(len(data), bool)
     mark[order[equal]] = True
     mark[order[:-1][equal[1:]]] = True
     return [mark[s : s + c] for s, c in zip(start, counts, strict=True)]
 
 
+#: A window of a split anchor as it is published: its hash, its text, its place, 1 if it has no partner at home.
+WINDOW = np.dtype([("h0", "<u8"), ("h1", "<u8"), ("c0", "<u8"), ("c1", "<u8"), ("first", "<i4"), ("alone", "u1")])
+#: Windows of a merging task on average.
+MERGE_WINDOWS = 400_000
+
+
 SEGMENT = "content binary, doc long, first int, count int, offset int, anchor long, h0 long, h1 long"
 
 
@@ -253,65 +256,66 @@ def _texts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return flat.select("anchor", "part", "content", "first", "count", "offset", "h0", "h1", "bytes")
 
 
-def _search(shards: DataFrame, length: int) -> DataFrame:
-    schema = "kind int, content binary, first int, count int, anchor long, place int, h0 long, h1 long"
+def _search(shards: DataFrame, length: int, ranges: int) -> DataFrame:
+    """(content, first, count) of repeated windows of each shard, and (range, data): its sorted runs of published windows."""
+    names = ["content", "first", "count", "range", "data"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["content", "first"])
         rows: list[tuple] = []
-        told: list[pd.DataFrame] = []
+        told: list[np.ndarray] = []
         powers = _Powers()
         texts, counts = [bytes(b) for b in group["bytes"]], group["count"].tolist()
         masks = repeated_windows(texts, counts, length)
         split = group["parts"].to_numpy() > 1
-        for i, (content, first, anchor, offset, mask) in enumerate(zip(group["content"], group["first"], group["anchor"], group["offset"], masks, strict=True)):
+        for i, (content, first, mask) in enumerate(zip(group["content"], group["first"], masks, strict=True)):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
             for a, b in zip(edge[::2], edge[1::2], strict=True):
-                rows.append((0, content, first + int(a), int(b - a), anchor, 0, 0, 0))
+                rows.append((content, first + int(a), int(b - a), 0, None))
             if split[i]:
-                # Windows of a split anchor: alone at home, or (one of them) on behalf of the equal ones.
                 raw = np.frombuffer(texts[i], np.uint8)
-                g0, g1 = prefix_hashes(raw, powers, 0), prefix_hashes(raw, powers, 1)
                 at = np.arange(len(mask))
-                x, y = range_hash(g0, at, at + length, powers, 0).view(np.int64), range_hash(g1, at, at + length, powers, 1).view(np.int64)
-                n = len(mask)
-                told.append(pd.DataFrame({"kind": 1 + mask.astype(np.int32), "content": [content] * n, "first": first + at, "count": 1, "anchor": anchor, "place": offset - at, "h0": x, "h1": y}))
-        return pd.concat([pd.DataFrame(rows, columns=["kind", "content", "first", "count", "anchor", "place", "h0", "h1"]), *told]) if told else pd.DataFrame(rows, columns=["kind", "content", "first", "count", "anchor", "place", "h0", "h1"])
-
-    return shards.groupBy("shard").applyInPandas(run, schema)
+                out = np.empty(len(mask), WINDOW)
+                for k in (0, 1):
+                    out[f"h{k}"] = range_hash(prefix_hashes(raw, powers, k), at, at + length, powers, k)
+                out["c0"], out["c1"] = np.frombuffer(content, "<u8")
+                out["first"], out["alone"] = first + at, ~mask
+                told.append(out)
+        if told:
+            every = np.concatenate(told)
+            # Of windows that are equal at home one speaks for all.
+            every = every[np.lexsort((every["alone"], every["h1"], every["h0"]))]
+            every = every[np.concatenate([[True], (every["h0"][1:] != every["h0"][:-1]) | (every["h1"][1:] != every["h1"][:-1])])]
+            part = (every["h0"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            bounds = np.searchsorted(part, np.arange(ranges + 1))
+            rows += [(None, None, None, r, every[bounds[r] : bounds[r + 1]].tobytes()) for r in range(ranges) if bounds[r] < bounds[r + 1]]
+        out_ = pd.DataFrame(rows, columns=names)
+        return out_.astype({"first": "Int32", "count": "Int32", "range": "Int32"})
+
+    return shards.groupBy("shard").applyInPandas(run, "content binary, first int, count int, range int, data binary")
+
+
+def _merge(published: DataFrame) -> DataFrame:
+    """Windows of split anchors that have an equal one in another shard: each is looked up in its range's sorted runs by binary search."""
 
-
-def _merge(published: DataFrame, n: int) -> DataFrame:
-    """Windows of split anchors that have an equal one in another shard.
-
-    Rows come range-partitioned and sorted by hash. In each partition every window is found among
-    the sorted others by binary search; equal hashes never lie in two partitions.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            now = batch if held is None else pd.concat([held, batch])
-            tail = now["h0"].iloc[-1]
-            stop = int(np.searchsorted(now["h0"].to_numpy(), tail, "left"))
-            if stop:
-                yield from found(now.iloc[:stop])
-            held = now.iloc[stop:]
-        if held is not None and len(held):
-            yield from found(held)
-
-    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key = rows[["anchor", "place", "h0", "h1"]]
-        x = key["h0"].to_numpy()
-        many = np.searchsorted(x, x, "right") - np.searchsorted(x, x, "left") > 1
-        twice = key[many].duplicated(keep=False).to_numpy()
-        hit = rows[many][twice]
-        hit = hit[hit["kind"] == 1]
-        if len(hit):
-            yield hit[["content", "first", "count"]]
-
-    ranged = published.repartitionByRange(n, "h0").sortWithinPartitions("h0", "h1")
-    return ranged.mapInPandas(run, "content binary, first int, count int")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        every = np.concatenate([np.frombuffer(d, WINDOW) for d in group["data"]])
+        every = every[np.lexsort((every["h1"], every["h0"]))]
+        key = every["h0"]
+        many = np.searchsorted(key, key, "right") - np.searchsorted(key, key, "left") > 1
+        some = every[many]
+        same = (some["h0"][1:] == some["h0"][:-1]) & (some["h1"][1:] == some["h1"][:-1])
+        hit = np.zeros(len(some), bool)
+        hit[1:] |= same
+        hit[:-1] |= same
+        found = np.sort(some[hit & (some["alone"] == 1)], order=["c0", "c1", "first"])
+        # Neighbouring windows of one text make a run.
+        head = np.flatnonzero(np.concatenate([[True], (found["c0"][1:] != found["c0"][:-1]) | (found["c1"][1:] != found["c1"][:-1]) | (found["first"][1:] != found["first"][:-1] + 1)])) if len(found) else np.zeros(0, int)
+        size = np.diff(np.concatenate([head, [len(found)]])).astype(int)
+        content = [bytes(x) for x in np.stack([found["c0"][head], found["c1"][head]], 1)] if len(head) else []
+        return pd.DataFrame({"content": content, "first": found["first"][head].astype(np.int32), "count": size.astype(np.int32)})
+
+    return published.groupBy("range").applyInPandas(run, "content binary, first int, count int")
 
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
@@ -330,16 +334,16 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     wanted = wanted.select("anchor", "h0", "h1", "count", "offset", "part", "parts", "kinds", "one.content", "one.first", "one.doc")
     wanted = materialize(wanted, "open-segments")
     release(spark)
-    total = wanted.agg(F.sum(F.col("count") + length)).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
+    total, split = wanted.agg(F.sum(F.col("count") + length), F.sum(F.when(F.col("parts") > 1, F.col("count")))).first()
+    shards = max(1, -(-int(total or 0) // SHARD_BYTES))
     parts = wanted.select("anchor", "parts").distinct()
     texts = _texts(wanted, docs, length).join(parts, "anchor")
     texts = texts.withColumn("shard", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(-F.abs(F.xxhash64("anchor", "part") % (1 << 40)) - 1))
-    looked = _search(texts, length)
+    looked = _search(texts, length, max(1, -(-int(split or 0) // MERGE_WINDOWS)))
     looked = materialize(looked, "searched")
     release(spark)
-    alone = looked.where("kind = 0").select("content", "first", "count")
-    merged = _merge(looked.where("kind > 0"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    alone = looked.where("data IS NULL").select("content", "first", "count")
+    merged = _merge(looked.where("data IS NOT NULL").select("range", "data"))
     whole = cut.join(by_text.where("n > 1").select("anchor", "h0", "h1", "count", "offset"), ["anchor", "h0", "h1", "count", "offset"]).select("content", "first", "count")
     out = materialize(whole.union(alone).union(merged), "runs")
     forget(cut, by_text, wanted, looked)
