@@ -1,6 +1,6 @@
 """Registered queries with the SQL that gives the same rows."""
 
-from . import relational
+from . import aggregates, relational
 from .base import QUERIES, SQL, Tables, query
 
-__all__ = ["QUERIES", "SQL", "Tables", "query", "relational"]
+__all__ = ["QUERIES", "SQL", "Tables", "aggregates", "query", "relational"]
