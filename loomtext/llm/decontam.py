@@ -3,7 +3,8 @@
 1. One pass over the texts finds the words that benchmark items use, with their places, and
    writes them to a table; nothing later but the check of candidates reads texts.
 2. Passage frequencies of these terms over the whole corpus give the TF-IDF weights. Terms in
-   more than ``COMMON`` of all passages weigh nothing.
+   more than ``COMMON`` of all passages weigh nothing, but the ``RAREST`` words of every item always
+   do, so that an item which has leaked into a large part of the corpus is found like any other.
 3. A distributed randomised SVD of the passages' TF-IDF matrix A: each partition computes its
    share of (A'A)R for a random R, shares are summed in groups of 32 until one is left, and the
    driver gets one array of terms times sketch columns, whose size depends on the benchmark
@@ -38,9 +39,11 @@ from pyspark.sql import functions as F
 from .store import forget, materialize, release, tune
 
 HALF = 32
-COMMON, COSINE = 0.05, 0.5
+#: Share of passages beyond which a term weighs nothing, but for terms of FEW passages and the RAREST ones of each item.
+COMMON, FEW, RAREST = 0.003, 20, 6
+COSINE = 0.55
 SHARE, PARAPHRASE, ANSWER, SHORT = 0.6, 0.5, 0.8, 8
-RANK, EXTRA = 96, 16
+RANK, EXTRA = 192, 16
 BLOCK_ITEMS, TERM_BLOCK, FAN_IN = 5000, 256, 32
 # Characters that separate words, beside white space.
 _MARKS = b".,;:!?\"'()[]{}<>|/\\#%&+=~`^_-*$@"
@@ -163,6 +166,15 @@ def _frequencies(hits: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return df, total
 
 
+def term_weights(df: np.ndarray, total: int, items: list[Item], terms: dict[bytes, int]) -> np.ndarray:
+    """Inverse passage frequencies of the terms that count, 0 for the others."""
+    some = df <= max(COMMON * total, FEW)
+    for item in items:
+        ids = np.array(sorted({terms[w] for w in item.words}))
+        some[ids[np.argsort(df[ids], kind="stable")[:RAREST]]] = True
+    return np.where(some, np.log((2 + total) / (1 + df)), 0.0)
+
+
 def _fold(batch: pd.DataFrame, table: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row of each passage, its half, its vector, term of each used hit, passages of each used hit: -1 where none)."""
     owner, start, term, half, base = _passages(batch)
@@ -254,13 +266,16 @@ def _candidates(hits: DataFrame, weight: np.ndarray, basis: np.ndarray, items: l
     q = np.array(vectors, np.float32).reshape(len(of), table.shape[1])
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
     of = np.array(of, np.int64)
+    least = min([2, *(len(x.words) for x in items)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, start, p, _, _ = _fold(batch, table, used)
+            owner, start, p, _, half = _fold(batch, table, used)
             base = _passages(batch)[4]
             size = np.linalg.norm(p, axis=1)
-            some = np.flatnonzero(size > 1e-9)
+            # One word alone is no candidate; an item of one word is the exception.
+            words = np.bincount(half, minlength=int(start.max()) + 2 if len(start) else 1)
+            some = np.flatnonzero((size > 1e-9) & (words[start] + words[start + 1] >= least)) if len(start) else np.zeros(0, int)
             out_p, out_i = [], []
             for lo in range(0, len(some), 8192):
                 at = some[lo : lo + 8192]
@@ -281,7 +296,7 @@ def _checked(rows: DataFrame, candidates: DataFrame, items: list[Item]) -> DataF
     """(k, h, item_id, share, answer) of the candidates that hold."""
     listed = candidates.distinct().groupBy("k", "h").agg(F.sort_array(F.collect_list(F.struct("item", "place"))).alias("c"))
     listed = listed.select("k", "h", F.flatten(F.transform("c", lambda x: F.array(x["item"].cast("long"), x["place"]))).alias("c"))
-    joined = rows.join(listed, ["k", "h"]).dropDuplicates(["k", "h"])
+    joined = rows.join(listed, ["k", "h"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -324,10 +339,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                 terms.setdefault(w, len(terms))
         hits = materialize(_hits(rows, terms), "hits")
         df, total = _frequencies(hits, len(terms))
-        weight = np.where(df <= COMMON * max(total, 20), np.log((1 + total) / (1 + df)), 0.0)
+        weight = term_weights(df, total, items, terms)
         basis = latent_space(hits, weight)
         near = materialize(_candidates(hits, weight, basis, items, terms, cosine), "candidates")
-        got = materialize(_checked(rows, near, items), "matches")
+        got = materialize(_checked(rows, near, items).distinct(), "matches")
         forget(hits, near)
         release(spark)
         found = got if found is None else found.union(got)
