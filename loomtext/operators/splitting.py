@@ -1,0 +1,53 @@
+"""Stateful text splitting, where a column expression can't hold the state."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# What marks a closing block as no prose.
+COLOPHON = re.compile(r"Printed (?:at|by)\b|University Press|Press,\s*\d|Druck von", re.I)
+PAGE_ROW = re.compile(r"\S\s{2,}\d{1,4}\s*$")
+CAPS_LINE, COLOPHON_LENGTH, LEAD_LENGTH = 45, 300, 220
+
+
+def closing_kind(block: str, after_cut: bool) -> str | None:
+    """What kind of back matter a text's last block is; None for prose."""
+    lines = [x for x in map(str.strip, block.split("\n")) if x]
+    if not lines:
+        return "blank"
+    if all(x.isupper() for x in lines) and sum(map(len, lines)) < CAPS_LINE * len(lines):
+        return "capitals"
+    if sum(bool(PAGE_ROW.search(x)) for x in lines) >= max(1, len(lines) // 2):
+        return "contents"
+    if len(block) < COLOPHON_LENGTH and COLOPHON.search(block):
+        return "colophon"
+    if after_cut and len(block) < LEAD_LENGTH:
+        if block.rstrip().endswith(":"):
+            return "lead-in"
+        if len(lines) <= 3 and "." not in block:
+            return "subheading"
+    return None
+
+
+def without_closing(text: str) -> str:
+    blocks, cut = text.split("\n\n"), False
+    while blocks and (kind := closing_kind(blocks[-1], cut)):
+        blocks.pop()
+        cut = cut or kind != "blank"
+    return "\n\n".join(blocks)
+
+
+def trailing_nonprose(text: Column) -> Column:
+    """The text without closing blocks that aren't prose."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else without_closing(t))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(text)
