@@ -5,11 +5,11 @@ Steps: (1) documents with equal word sequences form a class, found by a grouped
 the minima of many universal hash functions over them; (3) bands of the signature deal
 representatives into buckets; (4) in each bucket members are held against its smallest key
 and linked if the full sets reach the threshold; (5) buckets that aren't in one component then
-go on with the size of what each set shares with any other one, which bounds its similarity
-(a set with a fifth of its own has no partner): members are held against the bucket's most
-central member, then another one, and at last all pairs of different components that the bound
-allows and that weren't held against each other yet, so no link that joins components is lost;
-(6) components by alternating large-star and small-star over the links.
+go on: members are held against the bucket's most central member (with the fewest shingles of
+its own), then against another one; what is still outside the bucket's largest component is
+held against all sets with one of its rarest shingles, of which every similar set must have
+one, so no link that joins components is lost; (6) components by alternating large-star and
+small-star over the links.
 
 Only links that join components matter for a component's smallest member, so pairs inside
 one component needn't be emitted; a group of near copies as large as a third of all rows
@@ -31,12 +31,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .store import forget, materialize, release, tune, worker_cache
 
 #: Bands and rows of a band: at a similarity of 0.8 a pair shares no bucket in 3 of a million cases.
 BANDS, ROWS = 24, 4
-#: Pivot rounds before the rest of each bucket is compared pair by pair.
+#: Pivot rounds before the rest of each bucket is searched by rare shingles.
 PIVOT_ROUNDS = 2
 
 
@@ -213,14 +214,17 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def shared_sizes(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, n, s): size of the set, and how many of its shingles any other set of ``keys`` has as well.
+def rarest(tokens: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """(key, x): for each of ``wanted`` (key, n, least_n) the rarest shingles of which any similar set has one at least.
 
-    A shingle of one set alone is found by a count with a minimum, so nothing is joined back.
+    A set of n shingles that is similar to one of at least ``least_n`` shares o = percent / (100 + percent)
+    * (n + least_n) of them or more, so at most n - o are missing, and one of the n - o + 1 rarest is there.
     """
-    held = sets.join(keys, "key", "left_semi")
-    lone = held.select("key", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("lone"))
-    return held.select("key", F.size("set").cast("long").alias("n")).join(lone, "key", "left").select("key", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("s"))
+    df = tokens.groupBy("x").agg(F.count("*").alias("df"))
+    mine = tokens.join(wanted, "key").join(df, "x")
+    take = F.col("n") - F.ceil(F.lit(percent) * (F.col("n") + F.col("least_n")) / (100 + percent)) + 1
+    ranked = mine.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "x")))
+    return ranked.where(F.col("place") <= F.greatest(take, F.lit(1))).select("key", "x")
 
 
 def links(sketches: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -251,29 +255,33 @@ def links(sketches: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     tried, found = pairs, check(pairs)
     comp = materialize(components(found), "comp")
     gone.append(comp)
-    # Buckets of three and more that aren't in one component: how much of a set can be shared at all bounds its similarity.
+    # Buckets of three and more that aren't in one component go on.
     held = held_now(comp)
     open_ = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 AND size > 2").select("bucket")
-    open_ = materialize(held.join(open_, "bucket"), "open")
-    sizes = materialize(shared_sizes(sets, open_.select("key").distinct()), "sizes")
-    gone += [open_, sizes]
-    # 100 * i >= percent * (n_a + n_b - i) with i <= min(s_a, s_b).
-    members = materialize(open_.select("bucket", "key").join(sizes, "key"), "members")
-    gone.append(members)
+    sizes = sketches.select("key", F.col("n_shingles").alias("n")).distinct()
+    members = materialize(buckets.join(open_, "bucket").join(sizes, "key").select("bucket", "key", "n"), "members")
+    opened = members.select("key").distinct()
+    tokens = materialize(sets.join(opened, "key", "left_semi").select("key", F.explode("set").alias("x")), "tokens")
+    gone += [members, tokens]
+    # Shingles that no other set has make a set peripheral.
+    lone = tokens.groupBy("x").agg(F.count("*").alias("df"), F.min("key").alias("key")).where("df = 1").groupBy("key").agg(F.count("*").alias("lone"))
+    lone = materialize(opened.join(lone, "key", "left").select("key", F.coalesce("lone", F.lit(0)).alias("lone")), "lone")
+    gone.append(lone)
     for turn in range(PIVOT_ROUNDS + 1):
-        now = members.join(comp, members["key"] == comp["node"], "left").select("bucket", members["key"], "n", "s", F.coalesce("component", members["key"]).alias("c"))
+        now = members.join(comp, members["key"] == comp["node"], "left").select("bucket", members["key"], "n", F.coalesce("component", members["key"]).alias("c"))
         if turn < PIVOT_ROUNDS:
-            # The member with the smallest part of its own, the centre of its group; then others by a hash that changes.
-            best = F.struct((F.col("s") / F.col("n")).alias("x"), F.lit(0).alias("y"), "key", "n", "s", "c") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)).cast("double").alias("x"), F.lit(0).alias("y"), "key", "n", "s", "c")
-            pivot = now.groupBy("bucket").agg(F.max(best).alias("p")).select("bucket", F.col("p.key").alias("pk"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.c").alias("pc"))
-            pairs = now.join(pivot, "bucket").where("c <> pc").where(F.expr(f"(100 + {percent}) * least(s, ps) >= {percent} * (n + pn)"))
-            pairs = pairs.select(F.least("key", "pk").alias("a"), F.greatest("key", "pk").alias("b")).distinct()
+            # The most central member; then another one, by a hash.
+            order = F.struct(F.col("lone") / F.col("n"), "key", "c") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)).cast("double"), "key", "c")
+            pivot = now.join(lone, "key").groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.key").alias("pk"), F.col("p.c").alias("pc"))
+            pairs = now.join(pivot, "bucket").where("c <> pc").select(F.least("key", "pk").alias("a"), F.greatest("key", "pk").alias("b")).distinct()
         else:
-            # Members outside a bucket's largest component, if any partner can be similar enough, against all of other components.
+            # Members outside their bucket's largest component: any partner that they have left has one of their rarest shingles.
             top = now.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.min("n").alias("least_n")).groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.min("least_n").alias("least_n"))
-            rest = now.join(top, "bucket").where("c <> top").where(F.expr(f"(100 + {percent}) * s >= {percent} * (n + least_n)"))
-            pairs = rest.alias("l").join(now.alias("r"), F.expr(f"l.bucket = r.bucket AND l.c <> r.c AND (r.c = l.top OR l.key < r.key) AND (100 + {percent}) * least(l.s, r.s) >= {percent} * (l.n + r.n)"))
-            pairs = pairs.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
+            rest = now.join(top, "bucket").where("c <> top").groupBy("key", "n", "c").agg(F.min("least_n").alias("least_n"))
+            others = now.select(F.col("key").alias("k2"), F.col("c").alias("c2"), F.col("n").alias("n2")).distinct()
+            near = rarest(tokens, rest.select("key", "n", "least_n"), percent).join(tokens.select("x", F.col("key").alias("k2")), "x").where("key <> k2").select("key", "k2").distinct()
+            near = near.join(rest.select("key", "n", "c"), "key").join(others, "k2").where(f"c <> c2 AND 100 * least(n, n2) >= {percent} * greatest(n, n2)")
+            pairs = near.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
         pairs = materialize(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         gone.append(pairs)
         if pairs.isEmpty():
