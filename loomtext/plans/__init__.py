@@ -1,6 +1,6 @@
 """Registered queries with the SQL that gives the same rows."""
 
-from . import aggregates, functions, relational
+from . import aggregates, analysis, functions, relational
 from .base import QUERIES, SQL, Tables, query
 
-__all__ = ["QUERIES", "SQL", "Tables", "aggregates", "functions", "query", "relational"]
+__all__ = ["QUERIES", "SQL", "Tables", "aggregates", "analysis", "functions", "query", "relational"]
