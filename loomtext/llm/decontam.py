@@ -10,7 +10,8 @@
    driver gets one array of terms times sketch columns, whose size depends on the benchmark
    alone; a Nystrom step gives the leading right singular vectors.
 4. Items and all passages (64 words, every 32) are folded into the latent space, and passages
-   whose cosine with an item reaches ``COSINE`` are its candidates.
+   whose cosine with an item reaches ``COSINE`` are its candidates; the bar is lower for an item
+   that weighs little against a usual passage.
 5. Candidates are checked on the texts: the longest common subsequence of words with the whole
    item, and whether its answer (the last sentence) is there.
 
@@ -18,7 +19,7 @@ Benchmarks are taken in blocks of ``BLOCK_ITEMS`` items, each with its own passe
 sent to executors is bounded whatever the benchmark's size.
 
 A document is contaminated by an item if it holds ``SHARE`` of the item's words in order, or
-``PARAPHRASE`` of them and ``ANSWER`` of the answer's. Items of fewer than ``SHORT`` words must
+``PARAPHRASE`` of them and ``ANSWER`` of the answer's, within ``NEAR`` times its length. Items of fewer than ``SHORT`` words must
 occur as they are.
 
 Defined cases: null and empty texts and items match nothing; repeated rows are judged alike;
@@ -41,8 +42,10 @@ from .store import forget, materialize, release, tune
 HALF = 32
 #: Share of passages beyond which a term weighs nothing, but for terms of FEW passages and the RAREST ones of each item.
 COMMON, FEW, RAREST = 0.003, 20, 6
-COSINE = 0.55
+COSINE, SLACK = 0.55, 0.6
 SHARE, PARAPHRASE, ANSWER, SHORT = 0.6, 0.5, 0.8, 8
+#: Words of a text, times those of the item, that may hold it.
+NEAR = 1.5
 RANK, EXTRA = 192, 16
 BLOCK_ITEMS, TERM_BLOCK, FAN_IN = 5000, 256, 32
 # Characters that separate words, beside white space.
@@ -86,6 +89,11 @@ class Item:
             hit = any(words[i : i + n] == self.words for i in range(len(words) - n + 1))
             return hit, float(hit), hit
         share = lcs(self.words, words) / n
+        if share >= PARAPHRASE:
+            # Common words make a chance sequence out of any long text: the words must stand near each other.
+            span, step = int(NEAR * n) + 2, max(1, n // 4)
+            spans = [words[i : i + span] for i in range(0, max(1, len(words) - span + step), step)]
+            share, words = max(((lcs(self.words, w) / n, w) for w in spans), key=lambda x: x[0])
         answer = lcs(self.answer, words) >= ANSWER * len(self.answer) if share >= PARAPHRASE else False
         return share >= SHARE or (share >= PARAPHRASE and answer and len(self.answer) >= 4), share, answer
 
@@ -250,8 +258,12 @@ def latent_space(hits: DataFrame, weight: np.ndarray, rank: int = RANK, extra: i
     return u[:, :rank]
 
 
-def _candidates(hits: DataFrame, weight: np.ndarray, basis: np.ndarray, items: list[Item], terms: dict[bytes, int], cosine: float) -> DataFrame:
-    """(k, h, places): per text the first words of its candidate passages and their items, as pairs."""
+def _candidates(hits: DataFrame, weight: np.ndarray, basis: np.ndarray, items: list[Item], terms: dict[bytes, int], cosine: float, usual: float) -> DataFrame:
+    """(k, h, place, item): candidate passages by their first word.
+
+    An item of length |q| in a passage of the ``usual`` length u has a cosine of about |q| / sqrt(|q|^2 + u^2);
+    where ``SLACK`` of that is less than ``cosine``, it is the item's bar.
+    """
     table = (basis * weight[:, None]).astype(np.float32)
     used = weight > 0
     vectors, of = [], []
@@ -264,7 +276,9 @@ def _candidates(hits: DataFrame, weight: np.ndarray, basis: np.ndarray, items: l
                 vectors.append(table[part].sum(axis=0))
                 of.append(i)
     q = np.array(vectors, np.float32).reshape(len(of), table.shape[1])
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+    size = np.maximum(np.linalg.norm(q, axis=1), 1e-12)
+    q /= size[:, None]
+    bars = np.minimum(cosine, SLACK * size / np.sqrt(size**2 + usual**2)).astype(np.float32)
     of = np.array(of, np.int64)
     least = min([2, *(len(x.words) for x in items)])
 
@@ -279,7 +293,7 @@ def _candidates(hits: DataFrame, weight: np.ndarray, basis: np.ndarray, items: l
             out_p, out_i = [], []
             for lo in range(0, len(some), 8192):
                 at = some[lo : lo + 8192]
-                near = (p[at] / size[at, None]) @ q.T >= cosine
+                near = (p[at] / size[at, None]) @ q.T >= bars
                 a, b = np.nonzero(near)
                 out_p.append(at[a])
                 out_i.append(of[b])
@@ -341,7 +355,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         df, total = _frequencies(hits, len(terms))
         weight = term_weights(df, total, items, terms)
         basis = latent_space(hits, weight)
-        near = materialize(_candidates(hits, weight, basis, items, terms, cosine), "candidates")
+        near = materialize(_candidates(hits, weight, basis, items, terms, cosine, float(np.sqrt((df / max(total, 1) * weight**2).sum()))), "candidates")
         got = materialize(_checked(rows, near, items).distinct(), "matches")
         forget(hits, near)
         release(spark)
