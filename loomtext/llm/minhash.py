@@ -214,17 +214,22 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def rarest(tokens: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
-    """(key, x): for each of ``wanted`` (key, n, least_n) the rarest shingles of which any similar set has one at least.
+def rare_pairs(tokens: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``live`` (key, n, c, least_n, rest) that may be similar, one of them in ``rest``, of different c.
 
-    A set of n shingles that is similar to one of at least ``least_n`` shares o = percent / (100 + percent)
-    * (n + least_n) of them or more, so at most n - o are missing, and one of the n - o + 1 rarest is there.
+    Two sets of n and n2 shingles are similar only if they share o = percent / (100 + percent) * (n + n2)
+    or more. With shingles in one order, rarest first, at most n - o of the one are missing from the
+    other, so the first one that both have is among the first n - o + 1 of the one and n2 - o + 1 of the other.
     """
     df = tokens.groupBy("x").agg(F.count("*").alias("df"))
-    mine = tokens.join(wanted, "key").join(df, "x")
-    take = F.col("n") - F.ceil(F.lit(percent) * (F.col("n") + F.col("least_n")) / (100 + percent)) + 1
-    ranked = mine.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "x")))
-    return ranked.where(F.col("place") <= F.greatest(take, F.lit(1))).select("key", "x")
+    placed = tokens.join(live, "key").join(df, "x").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "x")))
+    need = lambda a, b: f"ceil({percent} * ({a} + {b}) / {100 + percent})"
+    heads = materialize(placed.where(f"place <= n - {need('n', 'least_n')} + 1").select("x", "key", "n", "c", "rest", F.col("place").cast("int").alias("place")), "heads")
+    o = need("l.n", "r.n")
+    met = heads.where("rest").alias("l").join(heads.alias("r"), F.expr(f"l.x = r.x AND l.c <> r.c AND (NOT r.rest OR l.key < r.key) AND l.place <= l.n - {o} + 1 AND r.place <= r.n - {o} + 1"))
+    out = materialize(met.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct(), "pairs")
+    forget(heads)
+    return out
 
 
 def links(sketches: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -277,11 +282,10 @@ def links(sketches: DataFrame, docs: DataFrame, key: str, text: str, width: int,
         else:
             # Members outside their bucket's largest component: any partner that they have left has one of their rarest shingles.
             top = now.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.min("n").alias("least_n")).groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.min("least_n").alias("least_n"))
-            rest = now.join(top, "bucket").where("c <> top").groupBy("key", "n", "c").agg(F.min("least_n").alias("least_n"))
-            others = now.select(F.col("key").alias("k2"), F.col("c").alias("c2"), F.col("n").alias("n2")).distinct()
-            near = rarest(tokens, rest.select("key", "n", "least_n"), percent).join(tokens.select("x", F.col("key").alias("k2")), "x").where("key <> k2").select("key", "k2").distinct()
-            near = near.join(rest.select("key", "n", "c"), "key").join(others, "k2").where(f"c <> c2 AND 100 * least(n, n2) >= {percent} * greatest(n, n2)")
-            pairs = near.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
+            judged = now.join(top, "bucket").withColumn("rest", F.col("c") != F.col("top"))
+            left = judged.groupBy("bucket").agg(F.bool_or("rest").alias("any")).where("any").select("bucket")
+            live = judged.join(left, "bucket").groupBy("key").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.min("least_n").alias("least_n"), F.bool_or("rest").alias("rest"))
+            pairs = rare_pairs(tokens, live, percent)
         pairs = materialize(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         gone.append(pairs)
         if pairs.isEmpty():
