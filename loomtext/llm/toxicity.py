@@ -19,6 +19,7 @@ result. Keys, sources and languages are never inputs of a score.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ BUCKETS, DIM, WINDOW = 1 << 17, 8, 24
 SIZES = (3, 4, 5)
 #: Sharpness of the soft maximum over windows in training.
 SHARP = 4.0
+#: Squared z-score at which a bucket's log odds are halved for a start.
+SHRINK = 9.0
 #: Least number of minibatches in training; few rows are gone over more often.
 UPDATES = 600
 #: Least number of training texts for a word to teach anything.
@@ -97,24 +100,44 @@ class Scorer:
         return self.model.probability(s)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.5, seed: int = 1) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.1, seed: int = 1) -> Model:
     """Adagrad on the embeddings, the softmax rows and the bias together."""
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
     # A word of fewer than MIN_DOCS texts can't be told from chance: it holds its place in a window, but learns nothing.
-    seen = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(vocabulary)) if vocabulary else np.zeros(0)
-    parts = [np.array(grams(w) if seen[i] >= MIN_DOCS else [BUCKETS], np.int32) for w, i in vocabulary.items()]
-    size = np.array([len(p) for p in parts], np.int64) if parts else np.zeros(0, np.int64)
+    often = np.zeros(len(vocabulary), np.int64)
+    for d in docs:
+        often[np.unique(d)] += 1
+    flat_, size = array("i"), np.empty(len(vocabulary), np.int64)
+    for i, w in enumerate(vocabulary):
+        g = grams(w) if often[i] >= MIN_DOCS else [BUCKETS]
+        flat_.extend(g)
+        size[i] = len(g)
+    del vocabulary, often
     start = np.concatenate([[0], np.cumsum(size)])
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    del parts, vocabulary
-    emb = np.vstack([rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((1, DIM))])
-    soft = rng.normal(0, 0.5, (2, DIM))
-    bias = np.array([0.0, -2.0])
+    flat = np.frombuffer(flat_, np.int32) if len(flat_) else np.zeros(0, np.int32)
+    # The start: each bucket's shrunken log odds over the texts, along the direction that the softmax tells classes by.
+    seen = np.zeros((2, BUCKETS + 1))
+    for d, label in zip(docs, labels, strict=True):
+        if len(d):
+            u = np.unique(d)
+            n = size[u]
+            at = np.concatenate([[0], np.cumsum(n)[:-1]])
+            seen[label, np.unique(flat[np.repeat(start[u] - at, n) + np.arange(n.sum())])] += 1
+    total = np.array([(y == 0).sum(), (y == 1).sum()])[:, None]
+    share = (seen + 0.5) / (total + 1)
+    z2 = (share[1] - share[0]) ** 2 / (share[1] * (1 - share[1]) / total[1] + share[0] * (1 - share[0]) / total[0])
+    odds = np.log(share[1] / share[0]) * z2 / (z2 + SHRINK)
+    way = np.zeros(DIM)
+    way[0] = 1.0
+    emb = np.vstack([rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((1, DIM))]) + WINDOW * odds[:, None] * way
+    emb[BUCKETS] = 0
+    soft = rng.normal(0, 0.1, (2, DIM)) + np.array([[-0.5], [0.5]]) * way
+    bias = np.array([0.0, -2.5])
     g_emb, g_soft, g_bias = np.full(BUCKETS + 1, 1e-4), np.full((2, DIM), 1e-4), np.full(2, 1e-4)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     # Clean rows count more than an even split would have it: a filter should leave them alone.
@@ -172,6 +195,17 @@ def fold_of(key):
     return F.crc32(F.col(key).cast("string")) % 5
 
 
+def _trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    got = [b for b in batches if len(b)]
+    if not got:
+        return
+    rows = pd.concat(got).sort_values("k")
+    texts, labels = rows["t"].tolist(), rows["y"].astype(int).tolist()
+    del rows
+    m = train(texts, labels)
+    yield pd.DataFrame({"table": [m.table.tobytes()], "bias": [m.bias], "prior": [float("nan") if m.prior is None else m.prior]})
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_chars: int = MAX_CHARS) -> Model:
     """Learn from labelled rows outside the held-out fold."""
     tune(docs.sparkSession)
@@ -182,9 +216,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for y, most in ((1, max_positive), (0, max_negative)):
         # The keys come first, so that texts are read only for the rows drawn.
         drawn = told.where(F.col("y") == y).join(rows.select("k"), "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(most)
-        got.append(rows.join(F.broadcast(drawn), "k").select("k", "t", "y").dropDuplicates(["k"]).toPandas())
-    both = pd.concat(got).sort_values("k")
-    return train(both["t"].tolist(), both["y"].astype(int).tolist())
+        got.append(rows.join(F.broadcast(drawn), "k").select("k", "t", "y").dropDuplicates(["k"]))
+    # The bounded sample is one task's work; the driver sees the finished table alone.
+    made = got[0].union(got[1]).coalesce(1).mapInPandas(_trained, "table binary, bias double, prior double").first()
+    if made is None:
+        return Model(np.zeros(BUCKETS), 0.0, 0.0)
+    return Model(np.frombuffer(made.table, np.float32), made.bias, None if made.prior != made.prior else made.prior)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
