@@ -33,8 +33,8 @@ def event_sequence(docs: DataFrame, triggers: dict[str, list[str]], key: str, te
     labels = list(triggers)
     whole = docs.select(trigger_counts(F.lower(text), triggers).alias("c"), F.size(X.words(F.col(text))).alias("n"))
     rates = whole.agg(*[F.greatest(F.lit(1e-9), F.sum(f"c.{k}") / F.greatest(F.lit(1), F.sum("n"))).alias(f"rate_{i}") for i, k in enumerate(labels)])
-    w = X.words(F.col(text))
-    seg = docs.where(F.size(w) > 0).select(key, F.posexplode(V.segments(w, parts)).alias("segment", "ws"))
+    # The words are a column of their own, so that the segments' slices don't split the text again.
+    seg = docs.select(key, X.words(F.col(text)).alias("w")).where(F.size("w") > 0).select(key, F.posexplode(V.segments(F.col("w"), parts)).alias("segment", "ws"))
     seg = seg.select(key, "segment", F.greatest(F.size("ws"), F.lit(1)).alias("n"), trigger_counts(F.lower(F.array_join("ws", " ")), triggers).alias("c"))
     seg = seg.crossJoin(F.broadcast(rates))  # one row
     lifts = F.array(*[F.struct((F.col(f"c.{k}") / F.col("n") / F.col(f"rate_{i}")).alias("lift"), F.lit(-i).alias("o"), F.lit(k).alias("label"), F.col(f"c.{k}").alias("hits")) for i, k in enumerate(labels)])
@@ -45,8 +45,8 @@ def event_sequence(docs: DataFrame, triggers: dict[str, list[str]], key: str, te
 
 def tension_curve(docs: DataFrame, high: list[str], low: list[str], key: str, text: str, parts: int = 12) -> DataFrame:
     """(key, segment, raw, tension): tense minus calm words in a hundred, and the same between 0 and 1 within a text."""
-    w = X.words(F.col(text))
-    seg = docs.where(F.size(w) > 0).select(key, F.posexplode(V.segments(w, parts)).alias("segment", "ws"))
+    # The words are a column of their own, so that the segments' slices don't split the text again.
+    seg = docs.select(key, X.words(F.col(text)).alias("w")).where(F.size("w") > 0).select(key, F.posexplode(V.segments(F.col("w"), parts)).alias("segment", "ws"))
     bare = F.transform("ws", lambda x: X.strip_ends(F.lower(x)))
     count = lambda of: F.size(F.filter(bare, lambda x: x.isin(*of)))
     raw = (count(high) - count(low)) / F.greatest(F.lit(1), F.size("ws")) * 100

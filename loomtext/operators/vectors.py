@@ -128,3 +128,26 @@ def hashing_encoder(dim: int = 384):
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return run
+
+
+def best_by_owner(queries: DataFrame, pool: DataFrame, qkey: str, qvec: str, owner: str, vec: str, keep: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """(qkey, keep, owner, score): each query's highest dot product with any window of each owner, from block products that leave one row per query and owner."""
+    keep = keep or []
+    n = [max(1, -(-d.count() // block)) for d in (queries, pool)]
+    q = queries.select(F.col(qkey).cast("long").alias("q"), F.col(qvec).alias("v"), *keep, F.pmod(F.xxhash64(qkey), F.lit(n[0])).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n[1] - 1))))
+    p = pool.select(F.col(vec).alias("v"), F.col(owner).cast("string").alias("o"), F.pmod(F.xxhash64(vec), F.lit(n[1])).cast("int").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n[0] - 1))))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "o": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+        b = b.sort_values("o")
+        s = np.stack(a["v"].to_numpy()).astype(float) @ np.stack(b["v"].to_numpy()).astype(float).T
+        names = b["o"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        m = np.maximum.reduceat(s, first, axis=1)
+        return pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), len(first)), "o": np.tile(names[first], len(a)), "score": m.ravel()})
+
+    part = q.select("i", "j", "q", "v").groupBy("i", "j").cogroup(p.groupBy("i", "j")).applyInPandas(product, "q long, o string, score double")
+    kind = dict(pool.dtypes)[owner]
+    best = part.groupBy("q", "o").agg(F.max("score").alias("score")).select(F.col("q").alias(qkey), F.col("o").cast(kind).alias(owner), "score")
+    return best.join(queries.select(F.col(qkey).cast("long").alias(qkey), *keep), qkey) if keep else best

@@ -140,3 +140,33 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(60)
     assert [r.id for r in spark.read.parquet(str(tmp_path / "store/v0")).collect()] == ["x"]
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+BODY = "word " * 130
+
+
+def test_numbered_sections():
+    from loomtext.operators.splitting import split_numbered
+
+    ok = "\n\n".join(f"{n}\n\n{BODY}" for n in ("I", "II", "III"))
+    sections, problem = split_numbered(ok)
+    assert [s["title"] for s in sections] == ["1", "2", "3"] and problem is None
+    assert split_numbered(f"I\n\n{BODY}\n\nIII\n\n{BODY}")[1] == "not consecutive: 1->3"
+    assert split_numbered("") == ([], None)
+
+
+def test_sections_by_contents():
+    from loomtext.operators.splitting import split_by_contents
+
+    text = f"CONTENTS\n\nThe Fox . . . 1\nThe Crow . . . 9\nOld Tom 12\n\n\n\n\n\nTHE FOX\n\n{BODY}\n\nTHE CROW\n\n{BODY}\n\nOLD TOM\n\n{BODY}"
+    assert [s["title"] for s in split_by_contents(text)] == ["The Fox", "The Crow", "Old Tom"]
+    assert all(s["text"].strip() == BODY.strip() for s in split_by_contents(text))
+    assert split_by_contents("nothing") == []
+
+
+def test_trailing_notes():
+    from loomtext.operators.splitting import trailing_notes
+
+    text, notes = trailing_notes("A tale.\nIt ends.\n\n[1] A note.\n[2] Another\nthat is folded.")
+    assert text == "A tale.\nIt ends." and notes.startswith("[1]")
+    assert trailing_notes("A tale.\n[1] one mark alone")[1] == ""
