@@ -30,6 +30,7 @@ gives an empty result. Only the named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,8 @@ class Item:
         self.id, self.words = item_id, words_of(text)
         said = [w for w in (words_of(x) for x in re.split(r"[.!?\n]+", text)) if w]
         self.answer = said[-1] if said else []
+        self.times = Counter(self.words)
+        self.distinct = frozenset(self.words)
 
     def held_by(self, words: list[bytes]) -> tuple[bool, float, bool]:
         """(contaminated, share of the item in order, answer there)."""
@@ -88,6 +91,9 @@ class Item:
         if n < SHORT:
             hit = any(words[i : i + n] == self.words for i in range(len(words) - n + 1))
             return hit, float(hit), hit
+        # No more of the item can be in order than is there at all.
+        if sum(map(self.times.__getitem__, self.distinct.intersection(words))) < PARAPHRASE * n:
+            return False, 0.0, False
         share = lcs(self.words, words) / n
         if share >= PARAPHRASE:
             # Common words make a chance sequence out of any long text: the words must stand near each other.
