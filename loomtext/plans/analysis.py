@@ -392,7 +392,10 @@ def lg09_failed_ids(t: Tables):
     return t.documents.where(F.size(ids) > 0).select("doc_id", F.array_join(ids, ",").alias("ids"))
 
 
-@query("SELECT substr(sha256(string_agg(doc_id || '|' || source || '|' || n_chars, chr(10) ORDER BY doc_id)), 1, 16) AS fingerprint FROM documents")
+_LEVEL = lambda inner: f"SELECT o // 4096 AS o, sha256(string_agg(r, chr(10) ORDER BY o)) AS r FROM ({inner}) GROUP BY o // 4096"
+
+
+@query(f"""SELECT substr(sha256(string_agg(r, chr(10) ORDER BY o)), 1, 16) AS fingerprint FROM ({_LEVEL(_LEVEL(_LEVEL("SELECT doc_id AS o, doc_id || '|' || source || '|' || n_chars AS r FROM documents")))})""")
 def sk02_fingerprint(t: Tables):
     from ..sources.sinks import fingerprint
 

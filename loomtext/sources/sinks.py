@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+BLOCK, LEVELS = 4096, 3
+
+
 def fingerprint(df: DataFrame, cols: list[str], order: str) -> DataFrame:
-    """First 16 hex digits of the SHA-256 of all rows in order, one row. Rows are a light projection; their order is part of the value."""
-    rows = df.select(F.col(order).alias("o_"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("row_"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_", "row_"))), lambda s: s["row_"]), "\n")
-    return rows.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
+    """First 16 hex digits of a SHA-256 tree over all rows in the order of an integer key, one row.
+
+    Blocks of 4096 neighbouring keys are hashed, then blocks of 4096 blocks, and so on, so no task
+    holds more than a block; whatever changes in a row changes the root.
+    """
+    now = df.select(F.col(order).cast("long").alias("o_"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("row_"))
+    for _ in range(LEVELS):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_", "row_"))), lambda s: s["row_"]), "\n")
+        now = now.groupBy(F.floor(F.col("o_") / BLOCK).cast("long").alias("b_")).agg(F.sha2(joined, 256).alias("row_")).withColumnRenamed("b_", "o_")
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_", "row_"))), lambda s: s["row_"]), "\n")
+    return now.agg(F.substring(F.sha2(top, 256), 1, 16).alias("fingerprint"))
 
 
 def write_stamp(df: DataFrame, cols: list[str], order: str, path: str, strict: bool) -> None:
