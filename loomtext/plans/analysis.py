@@ -54,9 +54,9 @@ def ve06_centring(t: Tables):
     return c.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query(f"""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE label = 0), s AS (SELECT a.vec_id AS q, b.vec_id AS p, {_DOT} / 8 AS s FROM q a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT q, max_by(p, (s, -p)) AS best, round(max(s), 6) AS s FROM s GROUP BY q""")
+@query(f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS p, {_DOT} / 8 AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT q, max_by(p, (s, -p)) AS best, round(max(s), 6) AS s FROM s GROUP BY q""")
 def ve08_shape_similarity(t: Tables):
-    k = K.knn(t.embeddings.where("label = 0").withColumnRenamed("vec_id", "q"), t.embeddings, "q", "vec_id", "embedding", 1)
+    k = K.knn(t.embeddings.withColumnRenamed("vec_id", "q"), t.embeddings, "q", "vec_id", "embedding", 1)
     return k.select("q", F.col("vec_id").alias("best"), F.round(F.col("score") / 8, 6).alias("s"))
 
 

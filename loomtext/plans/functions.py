@@ -101,9 +101,9 @@ def st11_clean_entry(t: Tables):
     return _literals(t, [(i, a) for i, (a, _) in enumerate(_ENTRIES)], "i int, raw string").select("i", X.clean_entry(F.col("raw")).alias("entry"))
 
 
-@query("""WITH k AS (SELECT DISTINCT substr(p_name, 1, 6) AS key FROM part WHERE p_partkey % 7 = 0), m AS (SELECT key, p_partkey FROM k JOIN part ON starts_with(p_name, key)) SELECT key, min(p_partkey) AS p_partkey FROM m GROUP BY key HAVING count(*) = 1""")
+@query("""WITH k AS (SELECT DISTINCT substr(p_name, 1, 6) AS key FROM part), m AS (SELECT key, p_partkey FROM k JOIN part ON starts_with(p_name, key)) SELECT key, min(p_partkey) AS p_partkey FROM m GROUP BY key HAVING count(*) = 1""")
 def st16_prefix_match(t: Tables):
-    k = t.part.where("p_partkey % 7 = 0").select(F.substring("p_name", 1, 6).alias("key")).distinct()
+    k = t.part.select(F.substring("p_name", 1, 6).alias("key")).distinct()
     # Equality on the prefix of that length is what startswith means, and can be hashed.
     m = k.join(t.part.select("p_partkey", F.substring("p_name", 1, 6).alias("key")), "key")
     return m.groupBy("key").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).where("n = 1").select("key", "p_partkey")

@@ -153,9 +153,9 @@ def jn04_anti(t: Tables):
     return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
 
 
-@query("SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
 def jn05_composite_resolve(t: Tables):
-    left = t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
+    left = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
     with_part = R.require_all(left, t.part.select("p_partkey", "p_name"), ["p_partkey"], "part")
     return R.require_all(with_part, t.supplier.select("s_suppkey", "s_name"), ["s_suppkey"], "supplier").select("l_orderkey", "l_linenumber", "p_name", "s_name")
 
