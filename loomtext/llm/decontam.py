@@ -48,7 +48,7 @@ SHARE, PARAPHRASE, ANSWER, SHORT = 0.6, 0.5, 0.8, 8
 #: Words of a text, times those of the item, that may hold it.
 NEAR = 1.5
 RANK, EXTRA = 192, 16
-BLOCK_ITEMS, TERM_BLOCK, FAN_IN = 5000, 256, 32
+BLOCK_ITEMS, TERM_BLOCK, FAN_IN = 1000, 256, 32
 # Characters that separate words, beside white space.
 _MARKS = b".,;:!?\"'()[]{}<>|/\\#%&+=~`^_-*$@"
 _BREAKS = bytes.maketrans(_MARKS, b" " * len(_MARKS))
