@@ -41,7 +41,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by the raked weights of source, language and topic."""
+    """Documents drawn by the raked weights of source, language and topic: ``mixing.SHARE`` of the tokens."""
     return mixing.sampled(docs, key=KEY, text=TEXT)
 
 

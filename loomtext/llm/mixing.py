@@ -10,6 +10,12 @@ The draw compares a hash of the key and the seed with the probability, so it doe
 on partitioning, order or size, and a larger budget keeps what a smaller one kept. Cells are
 pre-aggregated before the shuffle, and all iterations work on one row per cell.
 
+How much is drawn doesn't hang on one cell: the scale is solved for a budget of tokens, or for
+``SHARE`` of all tokens where no budget is given, with the cells that would need repeats at
+probability 1. Targets that are named go before size: without a budget, as much is drawn as
+leaves at most ``LOST`` of the target weight to such cells. ``largest=True`` is the largest draw
+in which no cell at all falls short, which one rare cell can make arbitrarily small.
+
 Defined cases: a null source, language or topic is the value ``''``; a null or empty text has
 no tokens and lies in its cell with weight 0; rows without a key are drawn as key ``''``;
 repeated rows are drawn alike; a cell without tokens keeps its documents with probability 1
@@ -26,6 +32,11 @@ from pyspark.sql.window import Window
 from .store import materialize
 
 ALPHA, ROUNDS, SEED = 0.7, 12, 17
+#: Share of the tokens that is drawn without a budget, and of the target weight that named targets may lose to cells at probability 1.
+SHARE, LOST = 0.5, 0.005
+#: Shares of a text's characters from which it counts as figures or marked, and characters below which it is short.
+FIGURES, MARKED, BRIEF = 0.1, 0.08, 600
+DIGITS, SIGNS = "0123456789", "|<>{}[]/\\#%&+=~`^_*$@"
 #: Rounds between two written tables.
 CUT = 4
 
@@ -38,6 +49,13 @@ def tokens_of(text: str):
 
 
 def topic_of(text: str):
+    """The kind of text as a topic, by what its characters are: figures, marked (tables, code, noise), short or prose."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    some = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    return F.when(some(DIGITS) > FIGURES * F.length(t), "figures").when(some(SIGNS) > MARKED * F.length(t), "marked").when(F.length(t) < BRIEF, "short").otherwise("prose")
+
+
+def marks_of(text: str):
     """The kind of text as a topic: table, noise, shout, code or prose, by plain marks that either engine can find."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return F.when(t.contains(" | "), "table").when(t.contains("%%%") | t.contains("$$$"), "noise").when(t.contains("!! "), "shout").when(F.length(t) < 600, "short").otherwise("prose")
@@ -77,14 +95,32 @@ def rake(cells: DataFrame, cols: list[str], targets: dict[str, dict[str, float]]
     return now.select(*cols, "mass", "weight")
 
 
-def probabilities(raked: DataFrame, cols: list[str], budget: float | None = None) -> DataFrame:
-    """Cells with ``probability``: the raked mass over the observed one, scaled to ``budget`` tokens or, without one, to the largest draw without repeats."""
+def probabilities(raked: DataFrame, cols: list[str], budget: float | None = None, share: float | None = SHARE, lost: float | None = None) -> DataFrame:
+    """Cells with ``probability``: the raked mass over the observed one, scaled, and 1 at most.
+
+    The scale is solved for ``budget`` tokens, else for at most ``lost`` of the weight in what cells at 1
+    fall short by, else for ``share`` of all tokens; with none of them it is the largest draw without repeats.
+    """
+    everything = Window.partitionBy(F.lit(1))
     ratio = raked.withColumn("ratio", F.col("weight") / F.col("mass"))
-    if budget is None:
-        scale = F.lit(1.0) / F.max("ratio").over(Window.partitionBy(F.lit(1)))
+    if budget is None and share is None and lost is None:
+        return ratio.select(*cols, F.least(F.lit(1.0), F.col("ratio") / F.max("ratio").over(everything)).alias("probability"))
+    # By falling ratio: with the cells before a row at 1, the others have to give what is left of the draw.
+    order = everything.orderBy(F.desc("ratio"), *cols)
+    full = F.coalesce(F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    if budget is None and lost is not None:
+        # Tokens are scale * (1 - lost), so full + scale * rest = scale * (1 - lost).
+        short = F.sum("weight").over(everything) * (1 - lost) - rest
+        scale = F.when(short > 0, full / short)
     else:
-        scale = F.lit(float(budget))
-    return ratio.select(*cols, F.least(F.lit(1.0), F.col("ratio") * scale).alias("probability"))
+        wanted = F.lit(float(budget)) if budget is not None else float(share) * F.sum("mass").over(everything)
+        scale = (wanted - full) / rest
+    ratio = ratio.withColumn("scale", scale).withColumn("place", F.row_number().over(order))
+    # The first row that the scale leaves at 1 or below; where there is none, everything is drawn.
+    fits = F.when(F.col("scale") * F.col("ratio") <= 1 + 1e-12, F.struct("place", "scale"))
+    ratio = ratio.withColumn("scale", F.min(fits).over(everything)["scale"])
+    return ratio.select(*cols, F.coalesce(F.least(F.lit(1.0), F.col("ratio") * F.col("scale")), F.lit(1.0)).alias("probability"))
 
 
 def uniform(key: str, seed: int = SEED):
@@ -93,17 +129,18 @@ def uniform(key: str, seed: int = SEED):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic=None, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic=None, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float | None = None, share: float = SHARE, largest: bool = False, seed: int = SEED) -> DataFrame:
     """(k, source, lang, topic, n_tokens, probability, kept) per row of ``docs``, and its columns in the struct ``row``.
 
     ``targets`` has shares by marginal (source, lang, topic) and value; ``topic`` is a column,
-    by default :func:`topic_of`.
+    by default :func:`topic_of`. ``budget`` is in tokens, ``share`` of all tokens; ``largest`` goes without either.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("k"), blank(source).alias("source"), blank(lang).alias("lang"), F.coalesce(topic if topic is not None else topic_of(text), F.lit("")).alias("topic"), tokens_of(text).alias("n_tokens"))
     cols = ["source", "lang", "topic"]
     cells = materialize(_cells(rows.select(*cols, "n_tokens"), cols, "n_tokens"), "cells", 1)
-    drawn = materialize(probabilities(rake(cells, cols, targets, alpha, rounds), cols, budget), "probabilities", 1)
+    size = {"share": None} if largest else {"budget": budget, "share": share, "lost": LOST if targets else None}
+    drawn = materialize(probabilities(rake(cells, cols, targets, alpha, rounds), cols, **size), "probabilities", 1)
     out = rows.join(drawn, cols, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     return out.withColumn("kept", uniform("k", seed) < F.col("probability")).select("k", *cols, "n_tokens", "probability", "kept", "row")
 

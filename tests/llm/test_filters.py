@@ -52,6 +52,33 @@ def test_raked_weights_meet_their_targets(spark):
     assert set(less) < set(more)
 
 
+def test_one_rare_document_does_not_decide_the_draw(spark):
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.randint(20, 60), rnd.choice(["en", "en", "fr"]), "hot" if rnd.random() < 0.4 else f"s{rnd.randint(0, 5)}") for i in range(900)]
+    kept, fits = [], []
+    for more in ([], [(900, "a b c d e", "new", "new")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string")
+        got = mixing.mix(docs).toPandas()
+        w = got.n_tokens * got.probability
+        kept.append(got.n_tokens[got.kept].sum() / got.n_tokens.sum())
+        assert w.sum() / got.n_tokens.sum() == pytest.approx(mixing.SHARE, abs=0.001)
+        got = mixing.mix(docs, targets={"lang": {"en": 0.5}}).toPandas()
+        w = got.n_tokens * got.probability
+        fits.append(w.sum() / got.n_tokens.sum())
+        assert w[got.lang == "en"].sum() / w.sum() == pytest.approx(0.5, abs=0.01)
+        assert mixing.mix(docs, budget=9_000.0).selectExpr("sum(n_tokens * probability)").first()[0] == pytest.approx(9_000, abs=1)
+        assert mixing.mix(docs, budget=1e9).where("NOT kept").count() == 0
+    assert kept == pytest.approx([mixing.SHARE] * 2, abs=0.05) and fits[1] > 0.8 * fits[0]
+
+
+def test_topics_are_kinds_of_characters(spark):
+    cases = {"prose": "plain words, here. " * 50, "short": "a few words", "figures": "12 345 6 and 78 " * 50, "marked": "<td>{a}</td> if x == y " * 50}
+    docs = spark.createDataFrame(list(cases.items()), "kind string, text string")
+    assert all(r.kind == r.topic for r in docs.select("kind", mixing.topic_of("text").alias("topic")).collect())
+    marked = spark.createDataFrame([("100 %%% of the words | and more!! " + "words " * 200,)], "text string")
+    assert marked.select(mixing.topic_of("text")).first()[0] == "prose"
+
+
 def test_mixing_has_no_python_on_its_path(spark, odd_docs, no_docs):
     out = mixing.sampled(odd_docs)
     assert out.columns == odd_docs.columns and mixing.sampled(no_docs).count() == 0
