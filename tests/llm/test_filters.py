@@ -161,6 +161,32 @@ def test_copies_are_found_and_others_are_not(spark):
     assert media.copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
+def edited(grey, degrees, scale, noise, seed):
+    h, w = grey.shape
+    y, x = np.mgrid[: int(h * scale), : int(w * scale)]
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    v, u = (y - h * scale / 2) / scale, (x - w * scale / 2) / scale
+    r, q = np.clip(c * v - s * u + h / 2, 0, h - 1.001), np.clip(s * v + c * u + w / 2, 0, w - 1.001)
+    i, j = r.astype(int), q.astype(int)
+    a, b, g = r - i, q - j, grey.astype(float)
+    g = g[i, j] * (1 - a) * (1 - b) + g[i, j + 1] * (1 - a) * b + g[i + 1, j] * a * (1 - b) + g[i + 1, j + 1] * a * b
+    return np.clip(g + np.random.default_rng(seed).normal(0, noise, g.shape), 0, 255).astype(np.uint8)
+
+
+def test_edited_copies_become_candidates(spark):
+    edits = [(7, 1, 0), (17, 1, 0), (33, 1, 0), (0, 0.8, 0), (0, 1.25, 0), (12, 0.9, 0), (0, 1, 15), (5, 1, 8), (25, 0.8, 12), (0, 1, 25)]
+    sources = {100 * n: picture(50 + n, 12, 13) for n in range(6)}
+    pictures = dict(sources) | {k + 1 + i: edited(g, *e, seed=k + i) for k, g in sources.items() for i, e in enumerate(edits)}
+    found = {k: media.features(g) for k, g in pictures.items()}
+    reps = spark.createDataFrame([(k, bytearray(d.tobytes())) for k, (_, d) in found.items()], "key long, descriptors binary")
+    seen = {}
+    for r in media._tables(reps).collect():
+        seen.setdefault(r.key, {}).setdefault(r.bucket, set()).add(r.corner)
+    good = [(k - k % 100, k) for k in pictures if k % 100 and media.consensus(*found[k - k % 100], *found[k]) >= media.CONSENSUS]
+    met = [len(set().union(*[c for x, c in seen[b].items() if x in seen[a]])) >= media.VOTES for a, b in good]
+    assert len(good) >= 50 and np.mean(met) >= 0.9
+
+
 def test_netpbm_pictures():
     assert media.decode(b"P5 2 1 255\n\x01\x02").tolist() == [[1, 2]]
     assert media.decode(b"P5 9 9 255\n\x01") is None and media.decode(b"GRY1") is None
