@@ -11,11 +11,9 @@
 5. Components over the links.
 
 Images with equal pixels form a class first, and only one of each class goes on, so a picture
-that a third of all rows show costs no more than one. In a bucket of few images all pairs are
-candidates; in a larger one each image is held against the smallest key, and what is then outside
-the bucket's largest component is paired with all of the others, so that no link between
-components is lost. ``n_links`` counts the links that were looked at, which are all of an image's
-unless it is in a large bucket.
+that a third of all rows show costs no more than one. Every pair of a bucket is counted, whatever
+the bucket's size, and the votes of a pair are those of all buckets together, so ``n_links`` doesn't
+depend on who else is in a bucket.
 
 The corners kept per image and scale (``CORNERS``) are the detector's parameter: the strongest,
 by place where equal.
@@ -40,8 +38,6 @@ from .store import forget, materialize, tune
 
 MAGIC = b"GRY1"
 BITS, TABLES, CHUNK, CORNERS, SCALES = 256, 10, 48, 24, (1.0, 0.7)
-#: Images of a bucket of which all pairs are candidates.
-SMALL = 32
 RADIUS, MARGIN = 9, 13
 #: Corners that must agree in a table, largest Hamming distance of a match, corners that must follow one transform, and by how many pixels they may miss.
 VOTES, NEAR, CONSENSUS, MISS = 3, 48, 8, 3.0
@@ -223,9 +219,14 @@ def _linked(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("a", "b", "pa", "da", "pb", "db").mapInPandas(run, "a long, b long, together int")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) from (bucket, corner, a, b) with enough corners of a that agree."""
-    return rows.groupBy("a", "b").agg(F.count_distinct("corner").alias("votes")).where(f"votes >= {VOTES}").select("a", "b")
+def _pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys, a < b, with enough corners of b that agree with a in any bucket of (bucket, corner, key)."""
+    both = shared.alias("l").join(shared.alias("r"), F.expr("l.bucket = r.bucket AND l.key < r.key"))
+    rows = both.select(F.col("l.key").alias("a"), F.col("r.key").alias("b"), F.col("r.corner").alias("corner"))
+    # The corners as bits of as many longs as it takes, so that they are combined before they are shuffled.
+    masks = [F.bit_or(F.when(F.floor(F.col("corner") / 64) == i, F.expr("shiftleft(1L, corner % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(-(-CORNERS * len(SCALES) // 64))]
+    votes = sum((F.bit_count(f"m{i}") for i in range(len(masks))), F.lit(0))
+    return rows.groupBy("a", "b").agg(*masks).where(votes >= VOTES).select("a", "b")
 
 
 def copies(images: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
@@ -236,26 +237,14 @@ def copies(images: DataFrame, key: str = "image_id", image: str = "image") -> Da
     reps = drawn.join(classes, "content").where("key = rep AND n_corners > 0").dropDuplicates(["key", "content"]).select("key", "places", "descriptors")
     reps = materialize(reps, "reps")
     tables = _tables(reps)
-    busy = tables.groupBy("bucket").agg(F.count_distinct("key").alias("n"), F.min("key").alias("least")).where("n > 1")
-    shared = materialize(tables.join(busy, "bucket"), "tables")
-    # Every image of a bucket with the bucket's smallest one; small buckets in full.
-    star = shared.where("key <> least").select("corner", F.col("least").alias("a"), F.col("key").alias("b"))
-    few = shared.where(f"n BETWEEN 3 AND {SMALL}")
-    full = few.alias("l").join(few.alias("r"), F.expr("l.bucket = r.bucket AND l.key < r.key AND l.key <> l.least")).select(F.col("r.corner").alias("corner"), F.col("l.key").alias("a"), F.col("r.key").alias("b"))
-    first = materialize(_linked(_pairs(star.union(full)), reps), "linked")
-    comp = materialize(components(first, "media"), "comp")
-    # What is left: members of large buckets that aren't in the bucket's largest component, with all others.
-    large = shared.where(f"n > {SMALL}").join(comp, F.col("key") == F.col("node"), "left").select("bucket", "corner", "key", F.coalesce("component", "key").alias("c"))
-    top = large.groupBy("bucket", "c").agg(F.count_distinct("key").alias("m")).groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("top"))
-    rest = large.join(top, "bucket").where("c <> top")
-    wide = rest.alias("l").join(large.alias("r"), F.expr("l.bucket = r.bucket AND l.c <> r.c AND (r.c = l.top OR l.key < r.key)"))
-    second = materialize(_linked(_pairs(wide.select(F.col("r.corner").alias("corner"), F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b"))), reps), "linked")
-    found = materialize(first.union(second).select("a", "b").distinct(), "links")
-    comp2 = components(found, "media")
+    busy = tables.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("bucket")
+    shared = materialize(tables.join(busy, "bucket", "left_semi"), "tables")
+    found = materialize(_linked(_pairs(shared), reps).select("a", "b"), "links")
+    forget(shared)
+    comp = components(found, "media")
     n_links = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    by_class = classes.join(comp2, classes["rep"] == comp2["node"], "left").drop("node").join(n_links, F.col("rep") == F.col("node"), "left")
+    by_class = classes.join(comp, classes["rep"] == comp["node"], "left").drop("node").join(n_links, F.col("rep") == F.col("node"), "left")
     by_class = materialize(by_class.select("content", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    forget(shared, first, second, comp)
     out = drawn.join(by_class, "content", "left").withColumn("component_id", F.coalesce("component_id", "key")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     return out.select(F.col("key").alias(key), "n_corners", "component_id", "n_links", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -187,6 +187,19 @@ def test_edited_copies_become_candidates(spark):
     assert len(good) >= 50 and np.mean(met) >= 0.9
 
 
+def test_links_are_those_of_all_pairs_in_a_large_group(spark):
+    a = picture(70)
+    group = {k: np.clip(a + np.random.default_rng(k).normal(0, 2, a.shape), 0, 255).astype(np.uint8) for k in range(40)}
+    found = {k: media.features(g) for k, g in group.items()}
+    want = {k: sum(media.consensus(*found[min(k, o)], *found[max(k, o)]) >= media.CONSENSUS for o in group if o != k) for k in group}
+    got = media.copies(spark.createDataFrame([(k, bytearray(media.encode(g))) for k, g in group.items()], "image_id long, image binary")).collect()
+    assert {r.image_id: r.n_links for r in got} == want and min(want.values()) > 30
+    # Two corners that agree in a small bucket and one in a large one are three votes.
+    rows = [(1, 0, 5), (1, 0, 6), (2, 1, 5), (2, 1, 6)] + [(3, 2, k) for k in range(50)]
+    pairs = media._pairs(spark.createDataFrame(rows, "bucket long, corner int, key long")).collect()
+    assert [tuple(r) for r in pairs] == [(5, 6)]
+
+
 def test_netpbm_pictures():
     assert media.decode(b"P5 2 1 255\n\x01\x02").tolist() == [[1, 2]]
     assert media.decode(b"P5 9 9 255\n\x01") is None and media.decode(b"GRY1") is None
