@@ -23,7 +23,8 @@ A document is contaminated by an item if it holds ``SHARE`` of the item's words
 occur as they are.
 
 Defined cases: null and empty texts and items match nothing; repeated rows are judged alike;
-rows without a key are judged like others; an empty benchmark finds nothing, an empty table
+rows without a key are judged like others; items without an id are searched like others, and
+``item_ids`` has one null, in front, for all of them; an empty benchmark finds nothing, an empty table
 gives an empty result. Only the named columns are read.
 """
 
@@ -341,14 +342,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     spark = docs.sparkSession
     tune(spark)
     rows = _keyed(docs, key, text)
-    told = benchmark.select(F.col(item_key).cast("long").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).where("id IS NOT NULL AND trim(t) <> ''")
+    told = benchmark.select(F.coalesce(F.col(item_key).cast("long"), F.lit(NO_KEY)).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).where("trim(t) <> ''")
     bounds = told.agg(F.count("*"), F.count_distinct("id")).first()
     ids = [None]
     if bounds[0] > BLOCK_ITEMS:
         ids = list(range(-(-bounds[0] // BLOCK_ITEMS)))
     found: DataFrame | None = None
     for b in ids:
-        block = told if b is None else told.where(F.pmod(F.xxhash64("id"), F.lit(len(ids))) == b)
+        block = told if b is None else told.where(F.pmod(F.xxhash64("id", "t"), F.lit(len(ids))) == b)
         items = [Item(r.id, r.t) for r in block.orderBy("id", "t").collect()]  # a block of the benchmark
         items = [x for x in items if x.words]
         if not items:
@@ -368,13 +369,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         found = got if found is None else found.union(got)
     if found is None:
         return spark.createDataFrame([], "k long, h long, item_id long, share double, answer boolean")
-    return found
+    return found.withColumn("item_id", F.expr(f"nullif(item_id, {NO_KEY}L)"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (the key by default), contaminated, item_ids, share (of the best item) per row."""
     found = matches(docs, benchmark, key, text, item_key, item_text)
-    by_text = found.groupBy("k", "h").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids_"), F.max("share").alias("share_"))
+    by_text = found.groupBy("k", "h").agg(F.transform(F.array_sort(F.collect_set(F.coalesce("item_id", F.lit(NO_KEY)))), lambda x: F.nullif(x, F.lit(NO_KEY))).alias("item_ids_"), F.max("share").alias("share_"))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     kept = keep if keep is not None else [key]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row_"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("k"), F.xxhash64(t).alias("h"))

@@ -248,3 +248,11 @@ def test_decontamination_of_odd_documents(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and {r.doc_id for r in got if r.contaminated} == {3, None}
     assert decontam.clean(odd_docs, bench).columns == odd_docs.columns
     assert decontam.clean(odd_docs, bench.limit(0)).count() == odd_docs.count() and decontam.clean(no_docs, bench).count() == 0
+
+
+def test_items_without_an_id_are_searched(spark):
+    docs = spark.createDataFrame([(1, "so three, short words."), (2, "and four quite short ones"), (3, "three short words, four quite short ones"), (4, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "Three short words"), (7, "Four quite short"), (None, "short ones")], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {1: [None], 2: [None, 7], 3: [None, 7], 4: []}
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [4]
