@@ -7,6 +7,7 @@ files and no rows; only the named columns are read, so extra columns don't matte
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from array import array
@@ -20,29 +21,30 @@ from pyspark.sql import functions as F
 from . import bitpack
 from .store import delete, open_fs, scratch, shuffle_width, tune, worker_cache
 
-#: Characters for which piece boundaries are the same in every Unicode version.
-STABLE = "[^\\x00-\\u024f\\u2010-\\u2027]"
-#: Pieces held per worker before the older half is dropped.
-HELD = 500_000
+#: Characters that are no Latin letters, digits or marks; Unicode's versions differ in the classes of some of them.
+OTHER = "[^\x00-\u024f]"
+#: Chunks held per worker before the older half is dropped.
+HELD = 400_000
 # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for the characters from 256 on, in order.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 class PieceEncoder:
-    """Whole-text encoding by the tokenizers library, with each distinct piece encoded once.
-
-    A byte-level BPE never merges across the pieces of its pre-tokenizer, so the ids of a
-    text are those of its pieces in order. A single space starts a new piece, so words
-    of letters between single spaces are looked up without the pattern. Texts with special
-    tokens or characters whose class depends on the Unicode version go to the library as
-    they are, and so does everything if the tokenizer isn't of this kind.
+    """Whole-text encoding by the tokenizers library, with each distinct chunk encoded once.
+
+    A byte-level BPE never merges across the pieces of its pre-tokenizer, and a space or line feed
+    between two characters that are no white space always starts a piece: the pattern's pieces hold
+    white space at their start only, or are runs of it. A text is cut at such places alone. Every chunk
+    goes to the library with what stands before it, and its ids are remembered; a chunk of Latin
+    letters is one piece and goes straight to the library's model. White space of any other kind
+    or length stays inside a chunk. Texts with special tokens go to the library whole, and so
+    does everything if the tokenizer isn't of this kind.
     """
 
     def __init__(self, path: str):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,53 +52,62 @@ class PieceEncoder:
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         plain = plain and model.get("type") == "BPE" and not model.get("dropout") and not model.get("unk_token") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
-        #: Fixed value: the pre-tokenizer's public pattern.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall if plain else None
+        self.plain = plain
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
-        self.unstable = regex.compile(STABLE).search
+        # Python's white space has all of the pattern's and a few separators more, next to which a text isn't cut.
+        self.odd = [*(a + b for a in " \n" for b in " \n"), *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+        self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)").split
+        self.other = re.compile(OTHER).search
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.marks = {c: self.whole(c) for c in ",.;:!?\n"}
 
     @property
     def vocab_size(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def whole(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers, by the library as it is."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.pieces is None or (not text.isascii() and self.unstable(text)) or any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return b"".join(map(self._piece, self.pieces(text)))
-        head, *words = text.split(" ")
-        get, other = self.words.get, self._word
-        return b"".join(map(self._piece, self.pieces(head))) + b"".join([get(w) or other(w) for w in words])
-
-    def _ids(self, piece: str) -> bytes:
-        return array("I", [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word with a space before it."""
-        if word.isalpha():
-            got = self.words.get(word)
-            if got is None:
-                if len(self.words) > HELD:
-                    self.old, self.words = self.words, {}
-                got = self.words[word] = self.old.get(word) or self._ids(" " + word)
-            return got
-        if word[-1] in ",.;:!?" and word[:-1].isalpha():
-            return self._word(word[:-1]) + self._piece(word[-1])
-        return b"".join(map(self._piece, self.pieces(" " + word)))
-
-    def _piece(self, piece: str) -> bytes:
-        if piece[0] == " " and piece[1:].isalpha():
-            return self._word(piece[1:])
-        got = self.marks.get(piece)
+        """The same ids, chunk by chunk."""
+        if not self.plain or any(x in text for x in self.special):
+            return self.whole(text)
+        if text[:1] in " \n" or text[-1:] in " \n" or any(x in text for x in self.odd):
+            head, *rest = self.cut(text)
+            rest = [c[1:] if c[0] == " " else c for c in rest]
+        else:
+            head, *rest = text.replace("\n", " \n").split(" ")
+        get, other = self.new.get, self._chunk
+        return self.whole(head) + b"".join([get(c) or other(c) for c in rest])
+
+    def _letters(self, piece: str) -> bytes:
+        """Ids of a piece of Latin letters, with a space before it or none, by the library's model."""
+        spelled = piece.replace(" ", BYTE_CHARS[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk with the space before it, or with the line feed that it starts with."""
+        if len(self.new) > HELD:
+            # The dictionary stays the same object: ``encode`` holds on to its methods.
+            self.old = dict(self.new)
+            self.new.clear()
+        got = self.old.get(chunk)
         if got is None:
-            if len(self.marks) > HELD // 4:
-                self.marks = {}
-            got = self.marks[piece] = self._ids(piece)
+            if chunk.isalpha() and not self.other(chunk):
+                got = self._letters(" " + chunk)
+            elif chunk[-1] in ",.;:!?" and chunk[:-1].isalpha() and not self.other(chunk):
+                # Letters are one piece, and what is neither letter, number nor white space is the next.
+                got = (self.new.get(chunk[:-1]) or self._chunk(chunk[:-1])) + self.marks[chunk[-1]]
+            elif chunk[0] == "\n":
+                # A single line feed before something else is a piece.
+                rest = chunk[1:]
+                got = self.marks["\n"] + (self._letters(rest) if rest.isalpha() and not self.other(rest) else self.whole(rest))
+            else:
+                got = self.whole(" " + chunk)
+        self.new[chunk] = got
         return got
 
 

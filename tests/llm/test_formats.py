@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import bitpack, tokens, warc
 
+from .conftest import prose
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
@@ -47,13 +49,39 @@ def test_file_gives_any_document_and_range():
         bitpack.Reader(Source(sink.getvalue()[:-3]))
 
 
-def test_pieces_give_the_library_s_ids():
+#: Every White_Space character, the separators that only some engines count, controls, and some neighbours.
+BLANKS = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+CONTROLS = [chr(c) for c in (*range(0, 9), *range(14, 28), *range(127, 160)) if c != 0x85]
+WORDS = ["don't", "we've", "'S", "'s", "'", "12a", "é", "Ñ,", "ñandú", "中文", "ok.", "a.b", "x_y", "…", "“q”", "²", "ª", "Ⅷ", "٣", "ไทย", "हिन्दी", "👍🏽", "e\u0301", "ß!", "A", "the", "\U0001e030", "\u0378", "\u1c89"]
+
+
+def test_chunks_give_the_library_s_ids():
     e = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert e.plain
     rnd = random.Random(1)
-    parts = ["don't", "we've", " ", "  ", "\n", "\t", "12a", "é", "Ñ,", "中文", "<|endoftext|>", "“q”", "a.b", "x_y", "…", "'S", "\xa0", "ok."]
-    for _ in range(400):
-        t = " ".join(rnd.choices(parts, k=rnd.randint(0, 8))) + rnd.choice(["", " ", "\n"])
-        assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    check = lambda t: e.encode(t) == e.whole(t) or pytest.fail(repr(t))
+    for a in ["", "x", "é", ".", "1", "中"]:
+        for b in [*BLANKS, *CONTROLS]:
+            for c in [" ", "\n", b, ""]:
+                for d in ["", "y", "'s", "!", "7", " "]:
+                    check(a + b + c + d)
+                    check(f"k {a}{c}{b}{d}")
+    for k in range(60_000):
+        kinds = [WORDS, BLANKS, [" ", "\n"], CONTROLS if k % 3 else ["<|endoftext|>"] if k % 30 == 0 else WORDS]
+        check("".join(rnd.choice(rnd.choices(kinds, [5, 1, 4, 1])[0]) for _ in range(rnd.randint(0, 12))))
+    for _ in range(30_000):
+        check("".join(rnd.choices("ab  \n\t.é'\xa0s1", k=rnd.randint(0, 14))))
+    e.new.clear()
+    e.old = {}
+
+
+def test_forgotten_chunks_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokens, "HELD", 50)
+    e = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(2)
+    for _ in range(50):
+        t = prose(rnd, 60, 300)
+        assert e.encode(t) == e.whole(t) and len(e.new) <= 52
 
 
 def test_token_files(spark, odd_docs, no_docs):
