@@ -31,8 +31,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each near-duplicate component, the one with the smallest key."""
     judged = minhash.near_duplicates(docs, KEY, TEXT, width=5, percent=80)
     kept = judged.where("kept").select(F.col(KEY).alias("kept_")).distinct()
-    rows = docs.withColumn("hash_", F.xxhash64(F.coalesce(F.col(TEXT), F.lit(""))))
-    return rows.join(kept, rows[KEY].eqNullSafe(kept["kept_"]), "left_semi").dropDuplicates([KEY, "hash_"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row is one struct beside the helper columns, so no input column clashes with them.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(KEY).alias("key_"), F.xxhash64(F.coalesce(F.col(TEXT).cast("string"), F.lit(""))).alias("hash_"))
+    return rows.join(kept, F.col("key_").eqNullSafe(F.col("kept_")), "left_semi").dropDuplicates(["key_", "hash_"]).select("row_.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
