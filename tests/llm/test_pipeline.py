@@ -101,7 +101,19 @@ def test_empty_tables(spark, folder, tmp_path):
 
 
 def test_near_dedup_keeps_its_documents_columns(spark):
-    d = spark.createDataFrame([(1, "a b c", 5), (1, "a b c", 5), (2, "a b c", 6), (None, "z", 7)], "doc_id long, text string, hash_ int")
-    out = P.one_of_each_group(spark, d.drop("hash_").withColumn("kept_", F.lit(1)), "")
-    assert out.columns == ["doc_id", "text", "kept_"] and sorted((r.doc_id or 0) for r in out.collect()) == [0, 1]
-    assert minhash.near_duplicates(d).count() == 4
+    names = "doc_id long, text string, hash_ int, kept_ int, key_ string, row_ string, `a.b` int, node int, component long"
+    row = lambda k, t, h: (k, t, h, 1, "k", "r", 2, 3, 4)
+    d = spark.createDataFrame([row(1, "a b c", 5), row(1, "a b c", 5), row(2, "a b c", 6), row(None, "z", 7)], names)
+    out = P.one_of_each_group(spark, d, "")
+    assert out.columns == d.columns and sorted(((r.doc_id or 0), r.hash_) for r in out.collect()) == [(0, 7), (1, 5)]
+    assert minhash.near_duplicates(d.drop("key_")).count() == 4
+
+
+def test_every_stage_keeps_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    for c in ("k", "h", "t", "row_", "row", "hash_", "kept", "n", "score", "topic", "probability", "key", "text_"):
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.where("hash_ <> 'hash_' OR k <> 'k' OR kept <> 'kept' OR topic <> 'topic'").count() == 0, name
+    assert P.STAGES[-1][1](spark, docs, folder).count() == docs.count()
