@@ -11,11 +11,14 @@ can be searched apart from each other:
 2. an anchor with a single segment is unique;
 3. what is left, anchors with several different segments (the edges of passages, and edited
    places), goes with its bytes to shards. Each shard sorts its suffixes by Larsson-Sadakane
-   refinement in numpy up to depth L, takes common prefixes by Kasai, and marks windows that have
-   an equal neighbour;
+   refinement in numpy up to depth L, takes common prefixes by Kasai's walk over the bytes, and marks
+   windows that have an equal neighbour;
 4. an anchor with more segments than a shard may hold is split over shards. Each publishes its
    distinct windows as sorted runs of 128-bit hashes, cut by hash range; a range's runs are merged
-   by binary search for those that have an equal one in another shard.
+   in pairs by binary search, which finds those that have an equal one in another shard.
+
+Anchors are chosen by a rolling hash, which decides only where a window is searched. Equality of
+segments and published windows is that of XXH3's 128 bits over their bytes.
 
 Then repeated windows become byte runs per text, and the texts are cut.
 
@@ -110,19 +113,27 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     return place
 
 
+def digests(text: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit hashes of text[first:end], as two columns; equal bytes are known by these, wherever they stand."""
+    from xxhash import xxh3_128_digest
+
+    view = memoryview(text)
+    return np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+
+
 def segments(data: np.ndarray, length: int, powers: _Powers) -> dict[str, np.ndarray] | None:
     """The segments of one text: first window, windows, anchor's offset from the first window, anchor hash, segment hashes."""
     if len(data) < length:
         return None
-    h0, h1 = prefix_hashes(data, powers, 0), prefix_hashes(data, powers, 1)
+    h0 = prefix_hashes(data, powers, 0)
     at = np.arange(len(data) - K + 1)
     anchors = range_hash(h0, at, at + K, powers, 0)
     place = sliding_argmin(anchors, length - K + 1)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.concatenate([first, [len(place)]]))
-    end = first + count - 1 + length
     anchor = place[first]
-    return {"first": first, "count": count, "offset": anchor - first, "anchor": anchors[anchor], "h0": range_hash(h0, first, end, powers, 0), "h1": range_hash(h1, first, end, powers, 1)}
+    h = digests(data.tobytes(), first, first + count - 1 + length)
+    return {"first": first, "count": count, "offset": anchor - first, "anchor": anchors[anchor], "h0": h[:, 0], "h1": h[:, 1]}
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,32 +179,51 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def kasai(data: np.ndarray, order: np.ndarray, most: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Common prefix of each suffix of the order with the one before it, up to ``most``; 0 where either isn't ``wanted``.
 
-    The quantity of Kasai's algorithm. Its walk through the text is sequential; here all suffixes
-    are extended together in numpy, by doubling comparisons of hashed ranges.
+    Kasai's walk in text order, on bytes: if the next suffix's predecessor is the next one too, it shares one
+    byte less. Such suffixes make a chain; only the bytes of a chain's head are compared, eight at a
+    time, as far as the chain needs, and for all chains together. Where a chain runs over
+    a difference, its next suffix becomes a head.
     """
     n = len(data)
-    powers = _Powers()
-    powers.need(n + 1)
-    h = np.zeros(n + 1, np.uint64)
-    np.cumsum(VALUES[0][data] * powers.up[0][:n], out=h[1:])
-    down = powers.down[0]
-    here = np.arange(1, n)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    ok = before >= 0
     if wanted is not None:
-        w = wanted[order]
-        here = here[w[1:] & w[:-1]]
-    me, you = order[here], order[here - 1]
-    got = np.zeros(len(here), np.int64)
-    step = 1 << max(most - 1, 1).bit_length()
-    while step:
-        to = got + step
-        fits = np.flatnonzero((to <= most) & (me + to <= n) & (you + to <= n))
-        if len(fits):
-            a, b = me[fits] + got[fits], you[fits] + got[fits]
-            same = (h[a + step] - h[a]) * down[a] == (h[b + step] - h[b]) * down[b]
-            got[fits[same]] += step
-        step >>= 1
+        ok &= wanted
+        ok[ok] = wanted[before[ok]]
+    at = np.flatnonzero(ok)
     out = np.zeros(n, np.int64)
-    out[here] = got
+    if not len(at):
+        return out
+    you = before[at]
+    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (you[1:] != you[:-1] + 1)]))
+    last = np.concatenate([head[1:], [len(at)]]) - 1
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1))
+    got = np.zeros(len(at), np.int64)
+    while len(head):
+        a, b = at[head], you[head]
+        room = np.minimum(last - head + most, n - np.maximum(a, b))
+        same = np.zeros(len(head), np.int64)
+        open_ = np.flatnonzero(room > 0)
+        while len(open_):
+            x, y = a[open_] + same[open_], b[open_] + same[open_]
+            differ = word[x] != word[y]
+            step = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
+            same[open_] = np.minimum(same[open_] + step, room[open_])
+            open_ = open_[(step == 8) & (same[open_] < room[open_])]
+        # Those of a chain up to the difference follow from the head; the one there shares nothing.
+        reach = np.minimum(np.minimum(last, head + same), head + np.maximum(same, 0))
+        size = reach - head + 1
+        slot = np.repeat(head - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        got[slot] = np.repeat(same + head, size) - slot
+        more = reach < last
+        head, last = reach[more] + 1, last[more]
+    out_at = np.empty(n, np.int64)
+    out_at[order] = np.arange(n)
+    out[out_at[at]] = np.minimum(got, most)
     return out
 
 
@@ -264,7 +294,6 @@ def _search(shards: DataFrame, length: int, ranges: int) -> DataFrame:
         group = group.drop_duplicates(["content", "first"])
         rows: list[tuple] = []
         told: list[np.ndarray] = []
-        powers = _Powers()
         texts, counts = [bytes(b) for b in group["bytes"]], group["count"].tolist()
         masks = repeated_windows(texts, counts, length)
         split = group["parts"].to_numpy() > 1
@@ -273,11 +302,9 @@ def _search(shards: DataFrame, length: int, ranges: int) -> DataFrame:
             for a, b in zip(edge[::2], edge[1::2], strict=True):
                 rows.append((content, first + int(a), int(b - a), 0, None))
             if split[i]:
-                raw = np.frombuffer(texts[i], np.uint8)
                 at = np.arange(len(mask))
                 out = np.empty(len(mask), WINDOW)
-                for k in (0, 1):
-                    out[f"h{k}"] = range_hash(prefix_hashes(raw, powers, k), at, at + length, powers, k)
+                out["h0"], out["h1"] = digests(texts[i], at, at + length).T
                 out["c0"], out["c1"] = np.frombuffer(content, "<u8")
                 out["first"], out["alone"] = first + at, ~mask
                 told.append(out)
@@ -295,20 +322,48 @@ def _search(shards: DataFrame, length: int, ranges: int) -> DataFrame:
     return shards.groupBy("shard").applyInPandas(run, "content binary, first int, count int, range int, data binary")
 
 
+def meet(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two sorted runs into one by binary search of the second's windows in the first: (run, hits in a, hits in b).
+
+    Each run has a window once. Of a window in both the merged run keeps both, next to each other.
+    """
+    lo, hi = np.searchsorted(a["h0"], b["h0"], "left"), np.searchsorted(a["h0"], b["h0"], "right")
+    in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    at = lo.copy()
+    some = np.flatnonzero(hi > lo)
+    while len(some):
+        # Windows with one first half are told apart by the second.
+        same = a["h1"][at[some]] == b["h1"][some]
+        in_a[at[some[same]]] = in_b[some[same]] = True
+        # A run of several shards has a window as often as it met it.
+        at[some] += 1
+        some = some[at[some] < hi[some]]
+    out = np.empty(len(a) + len(b), a.dtype)
+    place = hi + np.arange(len(b))
+    free = np.ones(len(out), bool)
+    free[place] = False
+    out[free], out[place] = a, b
+    return out, in_a, in_b
+
+
 def _merge(published: DataFrame) -> DataFrame:
-    """Windows of split anchors that have an equal one in another shard: each is looked up in its range's sorted runs by binary search."""
+    """Windows of split anchors that have an equal one in another shard: the sorted runs of a range are merged in pairs, by binary search."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        every = np.concatenate([np.frombuffer(d, WINDOW) for d in group["data"]])
-        every = every[np.lexsort((every["h1"], every["h0"]))]
-        key = every["h0"]
-        many = np.searchsorted(key, key, "right") - np.searchsorted(key, key, "left") > 1
-        some = every[many]
-        same = (some["h0"][1:] == some["h0"][:-1]) & (some["h1"][1:] == some["h1"][:-1])
-        hit = np.zeros(len(some), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        found = np.sort(some[hit & (some["alone"] == 1)], order=["c0", "c1", "first"])
+        runs = [np.frombuffer(d, WINDOW).copy() for d in group["data"]]
+        while len(runs) > 1:
+            merged = []
+            for x, y in zip(runs[::2], runs[1::2], strict=False):
+                both, in_x, in_y = meet(x, y)
+                if in_y.any():
+                    # Equal windows were marked at both places; ``alone`` of 2 is a window that was met.
+                    x["alone"][in_x & (x["alone"] == 1)] = 2
+                    y["alone"][in_y & (y["alone"] == 1)] = 2
+                    both, _, _ = meet(x, y)
+                merged.append(both)
+            runs = merged + ([runs[-1]] if len(runs) % 2 else [])
+        found = runs[0][runs[0]["alone"] == 2]
+        found = np.sort(found, order=["c0", "c1", "first"])
         # Neighbouring windows of one text make a run.
         head = np.flatnonzero(np.concatenate([[True], (found["c0"][1:] != found["c0"][:-1]) | (found["c1"][1:] != found["c1"][:-1]) | (found["first"][1:] != found["first"][:-1] + 1)])) if len(found) else np.zeros(0, int)
         size = np.diff(np.concatenate([head, [len(found)]])).astype(int)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, tune
+from .store import materialize, shuffle_width, tune
 
 #: (host, path prefix, verdict); the longest that fits a url wins.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -97,6 +97,8 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
                 out.append(best_split(label, cost, -math.log(UNKNOWN)))
             yield pd.DataFrame({"label": batch["label"], "words": out})
 
+    # A label is few bytes but many steps, so the labels are dealt evenly whatever their size.
+    held = held.repartition(shuffle_width(labels.sparkSession), "label")
     return held.select("label", F.map_keys("known").alias("words"), F.map_values("known").alias("counts"), "total").mapInPandas(run, "label string, words array<string>")
 
 

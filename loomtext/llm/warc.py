@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import open_fs, scratch, tune
+from .store import open_fs, scratch, shuffle_width, tune
 
 # Fixed values of the public seekable format and of the WARC 1.1 standard.
 SKIPPABLE, INDEX_FRAME, SEEK_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
@@ -209,6 +209,8 @@ def write_bundles(roles: DataFrame, out_dir: str, date: str = "2020-01-01T00:00:
     return roles.sparkSession.read.schema(made.schema).parquet(f"{out_dir}/index")
 
 
+#: Bytes of records that a reading task takes on average.
+READ_BYTES = 64 << 20
 READ_SCHEMA = "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, url string, payload binary"
 
 
@@ -217,7 +219,11 @@ def read_bundles(spark: SparkSession, out_dir: str, with_payload: bool = True) -
 
     The digest of a response is taken from its payload and held against the header's.
     """
-    frames = spark.read.schema(INDEX_SCHEMA).parquet(f"{out_dir}/index").groupBy("bundle", "frame").agg(F.count("*").alias("n"))
+    frames = spark.read.schema(INDEX_SCHEMA).parquet(f"{out_dir}/index").groupBy("bundle", "frame").agg(F.sum("length").alias("size"))
+    # A row per frame is few bytes for many megabytes to read, so the tasks are counted by what they will read; neighbouring frames stay together.
+    size, n = frames.agg(F.sum("size"), F.count("*")).first()
+    tasks = max(1, -(-(size or 0) // READ_BYTES), min(n, shuffle_width(spark)))
+    frames = frames.select("bundle", "frame").repartitionByRange(tasks, "bundle", "frame")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = open_fs(out_dir)
