@@ -87,37 +87,93 @@ def test_mixing_has_no_python_on_its_path(spark, odd_docs, no_docs):
     assert out.where("text IS NULL").count() == 1
 
 
-def test_probabilities_of_the_next_symbol_add_up(spark):
-    rnd = random.Random(1)
-    docs = spark.createDataFrame([(" ".join(rnd.choice(["the", "then", "other", "tone", "note"]) for _ in range(50)),)], "t string")
-    table = kneser.model(docs).toPandas()
-    logp = {g: p for g, p in zip(table.g, table.logp, strict=True) if p == p}
-    logb = {g: b for g, b in zip(table.g, table.logb, strict=True) if b == b}
-    for h in (kneser.START, "th", "the", "zz", ""):
-        seen = {g for g in logp if len(g) == 1}
-        total = sum(math.exp(kneser.gram_score(h + c, logp, logb)) for c in seen)
-        total += (kneser.UNKNOWN - len(seen)) * math.exp(kneser.gram_score(h + "☃", logp, logb))
-        assert total == pytest.approx(1.0)
-
-
-def test_perplexity(spark, odd_docs, no_docs):
+class PlainKneserNey:
+    """Modified Kneser-Ney by its definition, over one sequence of symbols per text, with plain dictionaries."""
+
+    def __init__(self, texts, order=5):
+        self.order, self.count = order, {n: {} for n in range(1, order + 1)}
+        for t in texts:
+            for g in self.read(t):
+                self.count[len(g)][g] = self.count[len(g)].get(g, 0) + 1
+        for n in range(order - 1, 0, -1):
+            for g in self.count[n + 1]:
+                self.count[n][g[1:]] = self.count[n].get(g[1:], 0) + 1
+        self.off = {}
+        for n, c in self.count.items():
+            of = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+            if all(of):
+                y = of[0] / (of[0] + 2 * of[1])
+                self.off[n] = [min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+            else:
+                self.off[n] = [0.5, 1.0, 1.5]
+
+    def read(self, text):
+        """n-grams of all predicted symbols: words with single spaces after them; one character of the word before is seen."""
+        before = "\x02"
+        for w in text.split():
+            line = before + " " + w + " "
+            for j in range(2, len(line)):
+                yield line[:j + 1][-self.order:]
+            before = w[-1]
+
+    def p(self, g):
+        if not g:
+            return 1 / 65536
+        n, h = len(g), g[:-1]
+        after = {x: c for x, c in self.count[n].items() if x[:-1] == h}
+        total = sum(after.values())
+        if not total:
+            return self.p(g[1:])
+        off = lambda c: min(self.off[n][min(c, 3) - 1], c)
+        mine = after.get(g, 0)
+        return (mine - off(mine) if mine else 0) / total + sum(map(off, after.values())) / total * self.p(g[1:])
+
+    def perplexity(self, text):
+        logs = [math.log(self.p(g)) for g in self.read(text)]
+        return math.exp(-sum(logs) / len(logs)) if logs else None
+
+
+def test_perplexity_is_that_of_the_definition(spark, odd_docs, no_docs):
     rnd = random.Random(2)
-    good = [(i, " ".join(rnd.choice(["the", "then", "other", "tone", "note", "of"]) for _ in range(40)), "en") for i in range(60)]
-    bad = [(100, "QX!! ZZ%% JJ## " * 20, "en"), (101, None, "en"), (102, "then other", None)]
-    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
-    trusted = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
-    one = {r.doc_id: r for r in kneser.perplexities(docs, trusted).collect()}
-    two = {r.doc_id: r for r in kneser.perplexities(docs, trusted, max_entries=0).collect()}
-    assert not one[100].kept and one[100].perplexity > 10 * one[5].perplexity
-    assert one[101].perplexity is None and not one[101].kept
-    assert sum(one[i].kept for i in range(60)) >= 57
-    for k in one:
-        assert one[k].perplexity == (None if two[k].perplexity is None else pytest.approx(two[k].perplexity)) and one[k].kept == two[k].kept
+    texts = {i: " ".join(rnd.choice(["the", "then", "other", "tone", "note", "of", "été"]) for _ in range(rnd.randint(5, 25))) for i in range(40)}
+    texts |= {100: "QX!! ZZ%% JJ## " * 4, 101: None, 102: "then\tother\nthe", 103: "", 104: "o", 105: "the the the"}
+    docs = spark.createDataFrame([(k, t, "en" if (k or 1) % 3 else None) for k, t in [*texts.items(), (102, texts[102]), (None, "note of"), (102, "tone")]], "doc_id long, text string, lang string").withColumn("k", F.lit("x")).withColumn("t", F.lit(1))
+    trusted = spark.createDataFrame([(i,) for i in range(30)] + [(None,)], "doc_id long")
+    fold = {r.k for r in spark.range(200).select(F.col("id").alias("k")).where(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(kneser.FOLDS)) == 0).collect()}
+    plain = PlainKneserNey([texts[i] for i in range(30) if i not in fold])
+    got = kneser.perplexities(docs, trusted).collect()
+    assert len(got) == len(texts) + 3 and 2 <= len(fold & set(range(30))) <= 20
+    unseen = {}
+    for r in got:
+        if r.doc_id is not None and r.doc_id != 102:
+            want = plain.perplexity(texts[r.doc_id] or "")
+            assert r.perplexity == (None if want is None else pytest.approx(want, rel=1e-9))
+            assert r.symbols == sum(len(w) + 1 for w in (texts[r.doc_id] or "").split())
+            if r.doc_id in fold and r.doc_id < 30:
+                unseen.setdefault(r.lang, []).append(want)
+    for r in got:
+        assert r.threshold == pytest.approx(max(unseen[r.lang])) and r.kept == (r.symbols > 0 and r.perplexity <= r.threshold)
+    two = [r for r in got if r.doc_id == 102]
+    assert sorted(r.symbols for r in two) == [5, 15, 15] and len({r.perplexity for r in two}) == 2
+    # The order of words counts.
+    assert plain.perplexity("tone of") != pytest.approx(plain.perplexity("of tone"))
     assert kneser.perplexities(odd_docs, odd_docs.select("doc_id")).count() == odd_docs.count()
     assert kneser.perplexities(no_docs, trusted).count() == 0
     assert {r.kept for r in kneser.perplexities(docs, trusted.limit(0)).where("symbols > 0").collect()} == {True}
 
 
+def test_probabilities_of_the_next_symbol_add_up(spark):
+    rnd = random.Random(1)
+    docs = spark.createDataFrame([(" ".join(rnd.choice(["the", "then", "other", "tone", "note"]) for _ in range(50)),)], "t string")
+    table = kneser.model(docs)
+    seen = [r.g for r in table.where("length(g) = 1 AND logp IS NOT NULL").collect()]
+    histories = ["\x02 ", "e th", "e t", "zz", ""]
+    asked = spark.createDataFrame([(h + c,) for h in histories for c in [*seen, "☃"]], "g string")
+    got = {r.g: math.exp(r.s) for r in kneser.gram_scores(asked, table).collect()}
+    for h in histories:
+        assert sum(got[h + c] for c in seen) + (kneser.UNKNOWN - len(seen)) * got[h + "☃"] == pytest.approx(1.0)
+
+
 def test_toxicity_learns_words_and_their_misspellings():
     rnd = random.Random(4)
     bad = ["worthless", "disgusting", "pathetic"]
