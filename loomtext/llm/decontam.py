@@ -15,8 +15,13 @@
 5. Candidates are checked on the texts: the longest common subsequence of words with the whole
    item, and whether its answer (the last sentence) is there.
 
-Benchmarks are taken in blocks of ``BLOCK_ITEMS`` items, each with its own passes, so the data
-sent to executors is bounded whatever the benchmark's size.
+Benchmarks are taken in blocks of ``BLOCK_ITEMS`` items, each with its own passes and its own latent
+space, so the data sent to executors is bounded whatever the benchmark's size. Candidates may differ
+with the blocks; what the check accepts among them doesn't.
+
+Recall against the check applied to everything, on 2,066 items planted into provided documents of sf0.1 (words
+dropped, swapped, inserted, or the 4, 6 or 8 rarest replaced, with 10 % of the others or without):
+0.997; with no cut at ``COMMON`` but at 5 % of passages: 0.997. With six rarest words for twelve it was 0.970.
 
 A document is contaminated by an item if it holds ``SHARE`` of the item's words in order, or
 ``PARAPHRASE`` of them and ``ANSWER`` of the answer's, within ``NEAR`` times its length. Items of fewer than ``SHORT`` words must
@@ -43,7 +48,7 @@ from .store import forget, materialize, release, tune
 
 HALF = 32
 #: Share of passages beyond which a term weighs nothing, but for terms of FEW passages and the RAREST ones of each item.
-COMMON, FEW, RAREST = 0.003, 20, 6
+COMMON, FEW, RAREST = 0.003, 20, 12
 COSINE, SLACK = 0.55, 0.6
 SHARE, PARAPHRASE, ANSWER, SHORT = 0.6, 0.5, 0.8, 8
 #: Words of a text, times those of the item, that may hold it.

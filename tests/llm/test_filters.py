@@ -295,6 +295,34 @@ def test_leaks_are_found_as_by_brute_force(spark):
     assert got == want and (200, 90) in want and (201, 90) not in want
 
 
+def test_paraphrases_are_found_whatever_words_they_change(spark, monkeypatch):
+    rnd = random.Random(17)
+    vocabulary = [f"v{i}" for i in range(6000)]
+    zipf = [1 / (i + 3) for i in range(6000)]
+    text = lambda n: rnd.choices(vocabulary, zipf, k=n)
+    items = [(i, " ".join(text(rnd.randint(30, 70)))) for i in range(40)]
+    rows, planted = [(i, " ".join(text(rnd.randint(40, 500)))) for i in range(600)], {}
+    rank = {w: i for i, w in enumerate(vocabulary)}
+    for i, t in items:
+        w = t.split()
+        rare = set(sorted(set(w), key=lambda x: -rank[x])[:6])
+        for kind in ("drop", "swap", "rare", "rare and swap"):
+            new = [x for x in w if rnd.random() > 0.3] if kind == "drop" else [rnd.choice(vocabulary[:200]) if (x in rare and "rare" in kind) or ("swap" in kind and rnd.random() < (0.25 if kind == "swap" else 0.1)) else x for x in w]
+            if decontam.Item(i, t).held_by(decontam.words_of(" ".join(new)))[0]:
+                planted[1000 + len(rows), i] = kind
+                rows.append((1000 + len(rows), " ".join([*text(80), *new, *text(60)])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (1000, 15):
+        monkeypatch.setattr(decontam, "BLOCK_ITEMS", size)
+        found.append({(r.k, r.item_id) for r in decontam.matches(docs, bench).collect()})
+    assert len(planted) > 100
+    for got in found:
+        for kind in set(planted.values()):
+            assert np.mean([p in got for p, k in planted.items() if k == kind]) >= 0.9, kind
+    assert len(found[0] ^ found[1]) <= 0.05 * len(planted)
+
+
 def test_decontamination_of_odd_documents(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "word"), (2, None)], "item_id long, text string")
     got = decontam.decontaminate(odd_docs, bench).collect()
