@@ -11,12 +11,15 @@
 5. Components over the links.
 
 Images with equal pixels form a class first, and only one of each class goes on, so a picture
-that a third of all rows show costs no more than one. Every pair of a bucket is counted, whatever
-the bucket's size, and the votes of a pair are those of all buckets together, so ``n_links`` doesn't
-depend on who else is in a bucket.
+that a third of all rows show costs no more than one. Candidates are met in two steps. First every image of a bucket
+meets the one with the smallest key; links that hold make components, so that a large group of copies, whose
+pictures share their buckets, becomes one component at a cost in proportion to its size. Then images of a
+bucket that are still in different components meet, all but the bucket's largest component with all
+others, and the votes of such a pair are those of all buckets together. So no link between components is lost. What
+can still grow with the square of a bucket are pictures that share corners and are no copies.
 
-The corners kept per image and scale (``CORNERS``) are the detector's parameter: the strongest,
-by place where equal.
+The corners kept per image and scale are the detector's parameter: in every ``TILE`` x ``TILE`` pixels the ``CORNERS``
+strongest, by place where equal, so a crop of a large picture has the corners that its source has there.
 
 Defined cases: a null or undecodable image, one without pixels or without corners has no
 descriptors and is linked with equal ones only (null ones with nothing); repeated rows are in one
@@ -37,10 +40,12 @@ from .minhash import components
 from .store import forget, materialize, tune
 
 MAGIC = b"GRY1"
-BITS, TABLES, CHUNK, CORNERS, SCALES = 256, 10, 48, 24, (1.0, 0.7)
+BITS, TABLES, CHUNK, CORNERS, TILE, SCALES = 256, 10, 48, 24, 96, (1.0, 0.7)
 RADIUS, MARGIN = 9, 13
 #: Corners that must agree in a table, largest Hamming distance of a match, corners that must follow one transform, and by how many pixels they may miss.
 VOTES, NEAR, CONSENSUS, MISS = 3, 48, 8, 3.0
+#: Distances, in the order of matches, of those that name transforms together where there are many.
+STRIDES = (1, 2, 3, 5, 8, 13, 21, 34)
 #: Fixed places of the comparisons.
 _rng = np.random.default_rng(5)
 PLACES = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 2, 2)), -RADIUS, RADIUS)
@@ -127,10 +132,15 @@ def features(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     near = r[MARGIN + i : r.shape[0] - MARGIN + i, MARGIN + j : r.shape[1] - MARGIN + j]
                     top &= (inner > near) if (i, j) > (0, 0) else (inner >= near)
         at = np.flatnonzero(top & (inner > 1.0))
-        at = at[np.lexsort((at, -inner.ravel()[at]))[:CORNERS]]
         if not len(at):
             continue
         y, z = at // inner.shape[1] + MARGIN, at % inner.shape[1] + MARGIN
+        tile = y // TILE * (x.shape[1] // TILE + 1) + z // TILE
+        order = np.lexsort((at, -inner.ravel()[at], tile))
+        head = np.flatnonzero(np.concatenate([[True], np.diff(tile[order]) != 0]))
+        rank = np.arange(len(at)) - np.repeat(head, np.diff(np.concatenate([head, [len(at)]])))
+        keep = order[rank < CORNERS]
+        y, z = y[keep], z[keep]
         soft = _box(x, 2)
         patch = x[y[:, None, None] + _dy, z[:, None, None] + _dx] * _disc
         turn = np.arctan2((patch * _dy).sum((1, 2)), (patch * _dx).sum((1, 2)))
@@ -149,14 +159,18 @@ def consensus(pa: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) ->
     """Most matched corners that one shift, turn and scale carries from a to b; no corner counts twice."""
     if not len(pa) or not len(pb):
         return 0
-    dist = _POP[da[:, None, :] ^ db[None, :, :]].sum(axis=2, dtype=np.int32)
+    dist = np.concatenate([_POP[da[i : i + 256, None, :] ^ db[None, :, :]].sum(axis=2, dtype=np.int32) for i in range(0, len(da), 256)])
     to = dist.argmin(axis=1)
     i = np.flatnonzero((dist[np.arange(len(pa)), to] <= NEAR) & (dist.argmin(axis=0)[to] == np.arange(len(pa))))
     if len(i) < CONSENSUS:
         return 0
     a, b = pa[i] @ np.array([1j, 1]), pb[to[i]] @ np.array([1j, 1])
-    # Each pair of matches names a transform z -> m * z + t; every one is tried.
-    u, v = np.triu_indices(len(i), 1)
+    # Each pair of matches names a transform z -> m * z + t; every one is tried, of many matches those with a few others each.
+    if len(i) <= 64:
+        u, v = np.triu_indices(len(i), 1)
+    else:
+        u = np.repeat(np.arange(len(i)), len(STRIDES))
+        v = (u + np.tile(STRIDES, len(i))) % len(i)
     da_, db_ = a[v] - a[u], b[v] - b[u]
     ok = (np.abs(da_) > 8) & (np.abs(db_) > 8)
     u, m = u[ok], db_[ok] / da_[ok]
@@ -219,34 +233,51 @@ def _linked(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("a", "b", "pa", "da", "pb", "db").mapInPandas(run, "a long, b long, together int")
 
 
-def _pairs(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys, a < b, with enough corners of b that agree with a in any bucket of (bucket, corner, key)."""
-    both = shared.alias("l").join(shared.alias("r"), F.expr("l.bucket = r.bucket AND l.key < r.key"))
-    rows = both.select(F.col("l.key").alias("a"), F.col("r.key").alias("b"), F.col("r.corner").alias("corner"))
-    # The corners as bits of as many longs as it takes, so that they are combined before they are shuffled.
-    masks = [F.bit_or(F.when(F.floor(F.col("corner") / 64) == i, F.expr("shiftleft(1L, corner % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(-(-CORNERS * len(SCALES) // 64))]
-    votes = sum((F.bit_count(f"m{i}") for i in range(len(masks))), F.lit(0))
-    return rows.groupBy("a", "b").agg(*masks).where(votes >= VOTES).select("a", "b")
+def _voted(met: DataFrame, most_corners: int) -> DataFrame:
+    """Pairs (a, b) with enough different corners of b among (a, b, corner)."""
+    n = -(-most_corners // 64)
+    if n <= 16:
+        # The corners as bits of as many longs as it takes, so that they are combined before they are shuffled.
+        masks = [F.bit_or(F.when(F.floor(F.col("corner") / 64) == i, F.expr("shiftleft(1L, corner % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(max(n, 1))]
+        votes = sum((F.bit_count(f"m{i}") for i in range(len(masks))), F.lit(0))
+        return met.groupBy("a", "b").agg(*masks).where(votes >= VOTES).select("a", "b")
+    return met.distinct().groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= VOTES).select("a", "b")
+
+
+def _between(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b, corner) of pairs in different components that share a bucket; corners are those of b, the larger key."""
+    marked = shared.join(comp.withColumnRenamed("node", "key"), "key", "left").select("bucket", "corner", "key", F.coalesce("component", "key").alias("comp"))
+    marked = materialize(marked, "marked")
+    sizes = marked.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("n", "comp")).alias("top")).where("kinds > 1").select("bucket", "top")
+    rest = materialize(marked.join(top, "bucket"), "rest")
+    few = rest.where("comp <> top")
+    met = few.alias("l").join(rest.alias("r"), F.expr("l.bucket = r.bucket AND l.comp <> r.comp AND (r.comp = r.top OR l.key < r.key)"))
+    forget(marked)
+    return met.select(F.expr("least(l.key, r.key)").alias("a"), F.expr("greatest(l.key, r.key)").alias("b"), F.expr("if(l.key > r.key, l.corner, r.corner)").alias("corner"))
 
 
 def copies(images: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
-    """Per row: key, n_corners, component_id (smallest key reachable), n_links (linked images with other pixels), kept."""
+    """Per row: key, n_corners, component_id (smallest key reachable), kept."""
     tune(images.sparkSession, 64)
     drawn = materialize(described(images, key, image), "corners")
     classes = drawn.where("octet_length(content) > 0 AND key IS NOT NULL").groupBy("content").agg(F.min("key").alias("rep"))
     reps = drawn.join(classes, "content").where("key = rep AND n_corners > 0").dropDuplicates(["key", "content"]).select("key", "places", "descriptors")
     reps = materialize(reps, "reps")
+    most = drawn.agg(F.max("n_corners")).first()[0] or 1
     tables = _tables(reps)
-    busy = tables.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("bucket")
-    shared = materialize(tables.join(busy, "bucket", "left_semi"), "tables")
-    found = materialize(_linked(_pairs(shared), reps).select("a", "b"), "links")
+    busy = tables.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("bucket", "least")
+    # A bucket has one row on the right, so a bucket of many images is a skewed partition of the left side, which is split.
+    shared = materialize(tables.join(busy, "bucket"), "tables")
+    star = shared.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"), "corner")
+    first = materialize(_linked(_voted(star, most), reps).select("a", "b"), "star-links")
+    second = materialize(_linked(_voted(_between(shared.drop("least"), components(first, "media")), most), reps).select("a", "b"), "links")
     forget(shared)
-    comp = components(found, "media")
-    n_links = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    by_class = classes.join(comp, classes["rep"] == comp["node"], "left").drop("node").join(n_links, F.col("rep") == F.col("node"), "left")
-    by_class = materialize(by_class.select("content", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    out = drawn.join(by_class, "content", "left").withColumn("component_id", F.coalesce("component_id", "key")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    return out.select(F.col("key").alias(key), "n_corners", "component_id", "n_links", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    comp = components(first.union(second), "media")
+    by_class = classes.join(comp, classes["rep"] == comp["node"], "left").select("content", F.coalesce("component", "rep").alias("component_id"))
+    by_class = materialize(by_class, "classes")
+    out = drawn.join(by_class, "content", "left").withColumn("component_id", F.coalesce("component_id", "key"))
+    return out.select(F.col("key").alias(key), "n_corners", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def rendered(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cell: int = 6, border: int = 2) -> DataFrame:
