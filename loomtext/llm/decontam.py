@@ -331,9 +331,15 @@ def _checked(rows: DataFrame, candidates: DataFrame, items: list[Item]) -> DataF
         for batch in batches:
             out = []
             for k, h, t, c in zip(batch["k"], batch["h"], batch["t"], batch["c"], strict=True):
-                w, best = words_of(t), {}
+                w, best, fits = words_of(t), {}, {}
+                there = set(w)
                 for i, place in np.reshape(c, (-1, 2)).tolist():
                     item = items[i]
+                    # What the whole text doesn't have no part of it has; most candidates end here.
+                    if i not in fits:
+                        fits[i] = sum(map(item.times.__getitem__, item.distinct & there)) >= PARAPHRASE * len(item.words)
+                    if not fits[i]:
+                        continue
                     n = len(item.words)
                     # The item may begin before the passage or end after it.
                     got = item.held_by(w[max(0, place - n) : place + 2 * HALF + n])
