@@ -97,10 +97,26 @@ def cut_backmatter(c: Column, is_last: Column) -> Column:
 
 
 def cut_catalogue(c: Column) -> Column:
-    """Texts with two price lines end before the paragraph that names an imprint."""
+    """Texts with two price lines end before the paragraph that names an imprint; without an imprint, before the first price line."""
     paras = F.split(c, "\n\n")
     at = F.array_position(F.transform(paras, lambda p: p.rlike(IMPRINT)), True)
-    return F.when((F.regexp_count(c, F.lit(PRICE_LINE)) >= 2) & (at > 0), F.array_join(F.slice(paras, F.lit(1), (at - 1).cast("int")), "\n\n")).otherwise(c)
+    first = F.element_at(F.split(c, PRICE_LINE, 2), 1)
+    cut = F.when(at > 0, F.array_join(F.slice(paras, F.lit(1), (at - 1).cast("int")), "\n\n")).otherwise(first)
+    return F.when(F.regexp_count(c, F.lit(PRICE_LINE)) >= 2, F.rtrim(cut, F.lit(" \n\t"))).otherwise(c)
+
+
+def normalise(c: Column, form: str = "NFC") -> Column:
+    """A Unicode normal form. Spark has no function for it, so texts go to Python in Arrow batches; ASCII texts stay as they are."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.str.normalize(form)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(c)
 
 
 def key_of(c: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Distribution function of a Poisson variable of mean 1 at 0, 1, 2 and so on.
+POISSON_CUTS = [round(float(c), 12) for c in np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(8)])]
+
+
 def derangement(df: DataFrame, key: str, shift: int) -> DataFrame:
     """(key, other): every key with another one, by a cyclic shift of the sorted keys. The keys are a small label set."""
     w = Window.partitionBy(F.lit(1)).orderBy(key)
@@ -70,29 +74,37 @@ def gate(value: Column, threshold: float, higher: bool = True) -> Column:
     return value >= threshold if higher else value <= threshold
 
 
-def permutation_p(df: DataFrame, x: str, group: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """Permutation test of the difference of two groups' means, labels permuted by a hash of row and round.
+def _draw(key: str, seed: int) -> Column:
+    """A hash of key, round and seed that every engine has."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("r").cast("string"), F.lit(str(seed))))
+
+
+def permutation_p(df: DataFrame, x: str, group: str, key: str, rounds: int = 5000, seed: int = 0) -> DataFrame:
+    """(seen, p): permutation test of the difference of two groups' means (1 against 0) over units with a unique ``key``.
+
+    In each round the units are put in the order of a hash and the first get the label 1, as many as have
+    it, so group sizes never change. Rounds are dealt over tasks. Units are the unit of independence, such as books:
+    rows that belong together are averaged before. p is (extreme + 1) / (rounds + 1).
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(group).cast("int").alias("g")).where("x IS NOT NULL AND g IS NOT NULL")
+    n = rows.agg(F.sum("g").alias("ones"), (F.avg(F.when(F.col("g") == 1, F.col("x"))) - F.avg(F.when(F.col("g") == 0, F.col("x")))).alias("seen"))
+    each = rows.select("k", "x", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("r").orderBy(_draw("k", seed), "k")))
+    s = each.crossJoin(F.broadcast(n)).withColumn("one", F.col("place") <= F.col("ones")).groupBy("r", "seen").agg((F.avg(F.when(F.col("one"), F.col("x"))) - F.avg(F.when(~F.col("one"), F.col("x")))).alias("d"))  # one row
+    return s.agg(F.first("seen").alias("seen"), ((F.count_if(F.abs("d") >= F.abs("seen")) + 1) / (F.lit(rounds) + 1)).alias("p"))
+
+
+def bootstrap_ci(df: DataFrame, x: str, key: str, rounds: int = 2000, seed: int = 0) -> DataFrame:
+    """(mean, low, high): mean with a 95 % interval by the Poisson bootstrap over units with a unique ``key``.
 
-    Rounds are dealt over tasks; each gets only the counts per group and the values' partial sums.
-    p is (extreme + 1) / (rounds + 1).
+    Each unit's weight in each round comes from a hash, so rounds add up in partial sums.
     """
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(group).cast("int").alias("g"), F.xxhash64(F.struct(*df.columns)).alias("h"))
-    n = rows.agg(F.avg("g").alias("share"), (F.avg(F.when(F.col("g") == 1, F.col("x"))) - F.avg(F.when(F.col("g") == 0, F.col("x")))).alias("seen"))
-    each = rows.crossJoin(F.broadcast(n)).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))  # one row
-    u = F.pmod(F.xxhash64("h", "r", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    s = each.withColumn("one", u < F.col("share")).groupBy("r", "seen").agg(F.avg(F.when(F.col("one"), F.col("x"))).alias("a"), F.avg(F.when(~F.col("one"), F.col("x"))).alias("b"))
-    return s.agg(F.first("seen").alias("seen"), ((F.sum(F.when(F.abs(F.col("a") - F.col("b")) >= F.abs("seen"), 1).otherwise(0)) + 1) / (F.lit(rounds) + 1)).alias("p"))
-
-
-def bootstrap_ci(df: DataFrame, x: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """Mean with a 95 % interval by the Poisson bootstrap: each row's weight in each round comes from a hash, so rounds add up in partial sums."""
-    rows = df.select(F.col(x).cast("double").alias("x"), F.xxhash64(F.struct(*df.columns)).alias("h")).where("x IS NOT NULL")
-    u = F.pmod(F.xxhash64("h", "r", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cuts = np.cumsum([np.exp(-1.0)] + [np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(1, 8)])
-    weight = sum((F.when(u >= float(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    each = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)
-    means = each.groupBy("r").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    return means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).crossJoin(F.broadcast(rows.agg(F.avg("x").alias("mean")))).select("mean", F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"))
+    rows = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x")).where("x IS NOT NULL")
+    each = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    u = F.conv(F.substring(_draw("k", seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
+    means = each.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+    return means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).crossJoin(F.broadcast(rows.agg(F.avg("x").alias("mean")))).select("mean", F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"))  # one row
 
 
 def leave_one_out_corr(df: DataFrame, x: str, y: str, a: str, b: str) -> DataFrame:

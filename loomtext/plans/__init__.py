@@ -1,6 +1,6 @@
 """Registered queries with the SQL that gives the same rows."""
 
-from . import aggregates, analysis, functions, more, relational
+from . import aggregates, analysis, books, functions, more, relational
 from .base import QUERIES, SQL, Tables, query
 
-__all__ = ["QUERIES", "SQL", "Tables", "aggregates", "analysis", "functions", "more", "query", "relational"]
+__all__ = ["QUERIES", "SQL", "Tables", "aggregates", "analysis", "books", "functions", "more", "query", "relational"]

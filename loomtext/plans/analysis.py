@@ -67,18 +67,27 @@ def ve09_quantise(t: Tables):
     return q.select("vec_id", F.col("d").cast("long").alias("d"), "q")
 
 
-@query()
+_FLAT = "SELECT vec_id, d, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 4) AS x FROM (SELECT vec_id, unnest(range(len(embedding))) AS d, unnest(list_reverse(embedding))::DOUBLE AS x FROM embeddings)"
+
+
+def _flat(df):
+    return df.select("vec_id", F.posexplode("embedding").alias("d", "x")).select("vec_id", F.col("d").cast("long").alias("d"), F.round("x", 4).alias("x"))
+
+
+@query(_FLAT)
 def ve10_procrustes(t: Tables):
+    """The targets are the vectors turned round, which an orthogonal map reaches exactly."""
     pairs = t.embeddings.select("vec_id", "embedding", F.reverse("embedding").alias("target"))
     m = M.fit_procrustes(pairs, "embedding", "target")
-    return M.apply_map(pairs.select("vec_id", "embedding"), "embedding", m).select("vec_id", F.round(F.get("embedding", F.lit(0)), 4).alias("x0"))
+    return _flat(M.apply_map(pairs.select("vec_id", "embedding"), "embedding", m))
 
 
-@query()
+@query(_FLAT)
 def ve11_ridge(t: Tables):
+    """As above; with next to no penalty the linear map is that turn too."""
     pairs = t.embeddings.select("vec_id", "embedding", F.reverse("embedding").alias("target"))
-    m = M.fit_ridge(pairs, "embedding", "target", 1.0)
-    return M.apply_map(pairs.select("vec_id", "embedding"), "embedding", m).select("vec_id", F.round(F.get("embedding", F.lit(0)), 4).alias("x0"))
+    m = M.fit_ridge(pairs, "embedding", "target", 1e-9)
+    return _flat(M.apply_map(pairs.select("vec_id", "embedding"), "embedding", m))
 
 
 @query(f"SELECT doc_id, term, round(w, 6) AS w FROM ({_TFIDF('doc_id', 'documents')})")
@@ -208,7 +217,7 @@ def ml03_silhouette(t: Tables):
 
 @query()
 def ml04_ag25_topics(t: Tables):
-    model, theta, _ = M.topics(t.documents, "doc_id", "text", k=6, rounds=3)
+    model, theta, _ = M.topics(t.documents, "doc_id", "text", k=12, rounds=20)
     from pyspark.ml.functions import vector_to_array
 
     x = theta.select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "p")).join(t.documents.select("doc_id", "source"), "doc_id")
@@ -225,23 +234,23 @@ def ml05_nmi(t: Tables):
 def ml06_ml09_hmm(t: Tables):
     f = t.conversations.select("conv_id", "turn", F.length("text").cast("double").alias("f1"), F.regexp_count("text", F.lit("[.!?]")).cast("double").alias("f2"))
     f = f.select("conv_id", "turn", R.zscore("f1", ["conv_id"]).alias("f1"), R.zscore("f2", ["conv_id"]).alias("f2"))
-    model = M.hmm_fit(f, "conv_id", "turn", ["f1", "f2"], k=3, rounds=3)
+    model = M.hmm_fit(f, "conv_id", "turn", ["f1", "f2"], k=5, rounds=30)
     return M.viterbi(f, "conv_id", "turn", ["f1", "f2"], model)
 
 
-_DELTA = f"""t AS (SELECT doc_id, unnest({_TOK}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS c FROM t GROUP BY ALL), w AS (SELECT word FROM c GROUP BY word ORDER BY sum(c) DESC, word LIMIT 50), s AS (SELECT doc_id, sum(c) AS total FROM c GROUP BY doc_id),
+_DELTA = f"""t AS (SELECT doc_id, unnest({_TOK}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS c FROM t GROUP BY ALL), w AS (SELECT word FROM c GROUP BY word ORDER BY sum(c) DESC, word LIMIT 150), s AS (SELECT doc_id, sum(c) AS total FROM c GROUP BY doc_id),
 f AS (SELECT s.doc_id, w.word, coalesce(c.c, 0) / s.total AS f FROM s CROSS JOIN w LEFT JOIN c ON c.doc_id = s.doc_id AND c.word = w.word), z AS (SELECT doc_id, word, (f - avg(f) OVER p) / greatest(stddev_pop(f) OVER p, 1e-9) AS z FROM f WINDOW p AS (PARTITION BY word))"""
 
 
 @query(f"WITH {_DELTA} SELECT doc_id, word, round(z, 4) AS z FROM z")
 def ml10_delta_profile(t: Tables):
-    return M.delta_profile(t.documents, "doc_id", "text", 50).select("doc_id", "word", F.round("z", 4).alias("z"))
+    return M.delta_profile(t.documents, "doc_id", "text", 150).select("doc_id", "word", F.round("z", 4).alias("z"))
 
 
 @query(f"""WITH {_DELTA}, p AS (SELECT z.doc_id, word, z, lang FROM z JOIN documents USING (doc_id)), g AS (SELECT lang AS other, word, sum(z) AS s, count(*) AS n FROM p GROUP BY ALL),
 d AS (SELECT doc_id, lang, other, avg(abs(z - CASE WHEN lang = other THEN (s - z) / (n - 1) ELSE s / n END)) AS d FROM p JOIN g USING (word) GROUP BY ALL) SELECT doc_id, lang, min_by(other, (round(d, 9), other)) AS guess FROM d GROUP BY ALL""")
 def ml11_ml12_attribution(t: Tables):
-    p = M.delta_profile(t.documents, "doc_id", "text", 50)
+    p = M.delta_profile(t.documents, "doc_id", "text", 150)
     return M.attribute(p, t.documents.select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "lang", "guess")
 
 
@@ -269,10 +278,19 @@ def ss01_pearson(t: Tables):
     return t.lineitem.agg(F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("r"))
 
 
-@query()
+def _permutation_sql(rows: str, rounds: int = 5000) -> str:
+    return f"""WITH d AS ({rows}), n AS (SELECT CAST(sum(g) AS BIGINT) AS ones, avg(x) FILTER (g = 1) - avg(x) FILTER (g = 0) AS seen FROM d),
+e AS (SELECT r, x, row_number() OVER (PARTITION BY r ORDER BY md5(concat(k, ':', r, ':0')), k) AS place FROM d, range(1, {rounds + 1}) t(r)),
+s AS (SELECT r, avg(x) FILTER (place <= ones) - avg(x) FILTER (place > ones) AS d FROM e, n GROUP BY r)
+SELECT round(first(seen), 6) AS seen, round((count(*) FILTER (abs(d) >= abs(seen) - 1e-12) + 1) / {rounds + 1}, 6) AS p FROM s, n"""
+
+
+@query(_permutation_sql("SELECT source || '/' || lang AS k, avg(CAST(n_chars AS DOUBLE)) AS x, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS g FROM documents GROUP BY source, lang"))
 def ss02_ss04_permutation(t: Tables):
-    d = t.documents.select("doc_id", "n_chars").join(t.labels.select("doc_id", "toxic"), "doc_id")
-    return E.permutation_p(d, "n_chars", "toxic", rounds=200)
+    """Labels permuted over books (the documents of one source and language), not over their texts."""
+    d = t.documents.groupBy("source", "lang").agg(F.avg(F.col("n_chars").cast("double")).alias("x"))
+    d = d.select(F.concat_ws("/", "source", "lang").alias("k"), "x", F.when(F.col("lang") == "en", 1).otherwise(0).alias("g"))
+    return E.permutation_p(d, "x", "g", "k", rounds=5000).select(F.round("seen", 6).alias("seen"), F.round("p", 6).alias("p"))
 
 
 @query("""WITH p AS (SELECT s_suppkey % 5 AS a, (s_suppkey * 3 + s_nationkey) % 5 AS b, s_acctbal AS x, s_acctbal * 0.5 + s_nationkey * 100 AS y FROM supplier), g AS (SELECT DISTINCT a AS k FROM p UNION SELECT DISTINCT b FROM p)
@@ -282,9 +300,13 @@ def ss03_leave_one_out(t: Tables):
     return E.leave_one_out_corr(p, "x", "y", "a", "b").select("left", F.round("r", 6).alias("r"))
 
 
-@query()
+_CUTS = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in E.POISSON_CUTS)
+
+
+@query(f"""WITH e AS (SELECT r, quality AS x, CAST('0x' || substr(md5(concat(doc_id, ':', r, ':0')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM labels, range(1, 2001) t(r)), m AS (SELECT r, sum(({_CUTS}) * x) / sum({_CUTS}) AS m FROM e GROUP BY r)
+SELECT round((SELECT avg(quality) FROM labels), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def ss05_bootstrap(t: Tables):
-    return E.bootstrap_ci(t.labels, "quality", rounds=200)
+    return E.bootstrap_ci(t.labels, "quality", "doc_id", rounds=2000).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("SELECT round((avg(n_chars) FILTER (toxic = 1) - avg(n_chars) FILTER (toxic = 0)) / sqrt(((count(*) FILTER (toxic = 1) - 1) * var_samp(n_chars) FILTER (toxic = 1) + (count(*) FILTER (toxic = 0) - 1) * var_samp(n_chars) FILTER (toxic = 0)) / (count(*) - 2)), 6) AS d FROM documents JOIN labels USING (doc_id)")

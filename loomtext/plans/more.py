@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 from ..functions import arrays as V
 from ..operators import evaluation as E
 from ..operators import relational as R
-from ..operators import splitting as P
 from ..operators import vectors as K
 from .base import Tables, query
 
@@ -93,19 +92,33 @@ def ss14_shuffled_order(t: Tables):
     return c.select("conv_id", F.array_join(F.transform("r", lambda x: x["turn"]), ",").alias("shuffled"))
 
 
-@query("SELECT count(*) FILTER (contains(text || ' it must be so.', ' it must be so.')) / count(*) AS hit_rate FROM documents")
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), i AS (SELECT doc_id, list_aggregate(w[1:len(w) // 2] || ['a', 'child', 'is', 'born'] || w[len(w) // 2 + 1:], 'string_agg', ' ') AS t FROM w), c AS (SELECT doc_id, (length(lower(t)) - length(replace(lower(t), 'child', ''))) // 5 AS after FROM i),
+b AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'child', ''))) // 5 AS before FROM documents) SELECT count(*) FILTER (after > 0) / count(*) AS hit_rate, count(*) FILTER (after = before + 1) / count(*) AS gain_rate, count(*) FILTER (before > 0) / count(*) AS base_rate FROM c JOIN b USING (doc_id)""")
 def ss13_positive_control(t: Tables):
-    d = t.documents.select(F.concat("text", F.lit(" it must be so.")).alias("x"))
-    return d.agg((F.count_if(F.col("x").contains(" it must be so.")) / F.count("*")).alias("hit_rate"))
+    """A sentence is put into the middle of each text; the label's own trigger counter has to see it, once, and not before."""
+    from ..functions import text as X
 
+    d = t.documents.select("text", X.insert_middle(X.words(F.col("text")), "a child is born").alias("with"))
+    d = d.select(X.occurrences(F.lower("text"), "child").alias("before"), X.occurrences(F.lower("with"), "child").alias("after"))
+    return d.agg((F.count_if(F.col("after") > 0) / F.count("*")).alias("hit_rate"), (F.count_if(F.col("after") == F.col("before") + 1) / F.count("*")).alias("gain_rate"), (F.count_if(F.col("before") > 0) / F.count("*")).alias("base_rate"))
 
-@query()
+
+def _pairs_sql() -> str:
+    from .analysis import _permutation_sql
+
+    return _permutation_sql("SELECT doc_id AS k, CAST(CASE WHEN quality = toxic THEN 1 ELSE 0 END AS DOUBLE) AS x, toxic AS g FROM labels WHERE doc_id < 400")
+
+
+@query(_pairs_sql())
 def ss12_pair_agreement(t: Tables):
-    d = t.labels.select("doc_id", (F.col("quality") == F.col("toxic")).cast("double").alias("agree"), "toxic")
-    return E.permutation_p(d, "agree", "toxic", rounds=200)
+    """Agreement of two labels on a stated set of pairs (the first documents), tested by 5000 permutations."""
+    d = t.labels.where("doc_id < 400").select("doc_id", (F.col("quality") == F.col("toxic")).cast("double").alias("agree"), "toxic")
+    return E.permutation_p(d, "agree", "toxic", "doc_id", rounds=5000).select(F.round("seen", 6).alias("seen"), F.round("p", 6).alias("p"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT vec_id, label, d, x - avg(x) OVER (PARTITION BY label, d) AS y FROM e), n AS (SELECT vec_id, label, CAST(list(y ORDER BY d) AS FLOAT[]) AS v FROM (SELECT vec_id, label, d, y / greatest(sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 1e-12) AS y FROM c) GROUP BY vec_id, label),
+a AS (SELECT 'after' AS variant, a.vec_id, a.label AS la, max_by(b.label, (list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[]), -b.vec_id)) AS lb FROM n a JOIN n b ON a.vec_id <> b.vec_id GROUP BY ALL), z AS (SELECT 'before' AS variant, a.vec_id, a.label AS la, max_by(b.label, ({_DOT}, -b.vec_id)) AS lb FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL)
+SELECT variant, round(avg(CASE WHEN la = lb THEN 1.0 ELSE 0.0 END), 6) AS hit1 FROM (SELECT * FROM a UNION ALL SELECT * FROM z) GROUP BY variant""")
 def ir09_debias(t: Tables):
     """Nearest-neighbour label hits before and after the labels' means are taken off."""
     from ..operators.aggregates import vector_mean
@@ -119,20 +132,6 @@ def ir09_debias(t: Tables):
     return hits[0].union(hits[1])
 
 
-@query()
-def wn15_st18_split_by_contents(t: Tables):
-    P.register(t.spark)
-    t.documents.createOrReplaceTempView("split_documents_")
-    return t.spark.sql("SELECT doc_id, s.pos, s.title, s.line FROM split_documents_, LATERAL split_contents(text) s")
-
-
-@query()
-def st19_split_numbered(t: Tables):
-    P.register(t.spark)
-    t.documents.createOrReplaceTempView("split_documents_")
-    return t.spark.sql("SELECT doc_id, s.pos, s.title, s.line, s.problem FROM split_documents_, LATERAL split_numerals(text) s")
-
-
 @query("SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS BIGINT) AS following FROM conversations")
 def wn16_following_length(t: Tables):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, 3)

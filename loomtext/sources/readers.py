@@ -126,3 +126,33 @@ def pack(spark: SparkSession, path: str, key: str, vec: str, expected: int | Non
     d = spark.read.parquet(path)
     d = counted(d, expected) if expected is not None else d
     return d.select(key, F.transform(vec, lambda x: x.cast("double") * F.col("scale") / 127).alias(vec))
+
+
+def windows(spark: SparkSession, path: str, owner: str, offset: str, vec: str, expected: int | None = None) -> DataFrame:
+    """(owner, offset, vec) of a window pack, the mean still off; as many rows as its ``meta`` says, and as ``expected``."""
+    meta = spark.read.json(f"{path}/meta").first()
+    d = spark.read.parquet(f"{path}/windows")
+    for n in {meta["n"], meta["n"] if expected is None else expected}:
+        d = counted(d, n)
+    return d.select(owner, offset, F.transform(vec, lambda x: x.cast("double") * F.lit(meta["scale"]) / 127).alias(vec))
+
+
+def window_mean(spark: SparkSession, path: str) -> DataFrame:
+    """(mean): the one mean vector of a window pack, which a query takes off before it meets the windows."""
+    return spark.read.json(f"{path}/meta").select("mean")
+
+
+def documents(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """A table per named JSON document below ``root``, read when it is used and registered as a view of its name."""
+    out = {}
+    for name in names:
+        out[name] = spark.read.option("multiLine", True).json(f"{root}/{name}.json")
+        out[name].createOrReplaceTempView(name)
+    return out
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title, formats) of cached catalogue answers, one JSON document each; an answer of another id than its file's stops the query."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("long").alias("asked"), F.from_json("value", "id long, title string, formats map<string,string>").alias("d"))
+    same = F.assert_true(F.col("d.id").eqNullSafe(F.col("asked")), F.lit("a catalogue answer has another id"))
+    return raw.withColumn("ok_", same).where("ok_ IS NULL").select("d.*")

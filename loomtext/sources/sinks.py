@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 BLOCK, LEVELS = 4096, 3
 
 
+def _told(c: str):
+    """A value as text in which nulls and separators can't be taken for anything else."""
+    t = F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
+    return F.coalesce(t, F.lit("\\n"))
+
+
 def fingerprint(df: DataFrame, cols: list[str], order: str) -> DataFrame:
     """First 16 hex digits of a SHA-256 tree over all rows in the order of an integer key, one row.
 
     Blocks of 4096 neighbouring keys are hashed, then blocks of 4096 blocks, and so on, so no task
     holds more than a block; whatever changes in a row changes the root.
     """
-    now = df.select(F.col(order).cast("long").alias("o_"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("row_"))
+    now = df.select(F.col(order).cast("long").alias("o_"), F.concat_ws("|", *[_told(c) for c in cols]).alias("row_"))
     for _ in range(LEVELS):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_", "row_"))), lambda s: s["row_"]), "\n")
         now = now.groupBy(F.floor(F.col("o_") / BLOCK).cast("long").alias("b_")).agg(F.sha2(joined, 256).alias("row_")).withColumnRenamed("b_", "o_")
@@ -63,6 +69,45 @@ def write_pack(df: DataFrame, key: str, vec: str, path: str) -> float:
     return float(scale)
 
 
+def write_windows(df: DataFrame, owner: str, offset: str, vec: str, path: str, budget: int | None = None) -> dict:
+    """Windows as bytes under one scale after the mean vector is taken off, by owner and offset; returns what the pack's ``meta`` says.
+
+    The mean, the scale and the smallest cosine of a window with what is read back are written beside the rows. A
+    pack over ``budget`` bytes (one per coordinate) isn't written.
+    """
+    from ..functions import arrays as V
+    from ..operators.aggregates import vector_mean
+
+    one = vector_mean(df.withColumn("all_", F.lit(1)), ["all_"], vec).select("mean")
+    rows = df.select(owner, offset, vec).crossJoin(F.broadcast(one)).withColumn("c_", V.minus(F.transform(vec, lambda x: x.cast("double")), F.col("mean")))  # one row
+    said = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.array_max(F.transform("c_", F.abs))), F.lit(0.0)).alias("scale"), F.coalesce(F.sum(F.size("c_")), F.lit(0)).alias("bytes")).first()
+    if budget is not None and said["bytes"] > budget:
+        raise ValueError(f"{said['bytes']} bytes of windows where {budget} are allowed")
+    scale = said["scale"] or 1.0
+    packed = rows.select(owner, offset, F.transform(V.quantise(F.col("c_"), F.lit(scale)), lambda x: x.cast("tinyint")).alias(vec))
+    packed.write.mode("overwrite").parquet(f"{path}/windows")
+    back = F.transform(V.quantise(F.col("c_"), F.lit(scale)), lambda x: x.cast("double") * scale / 127)
+    cosine = V.dot(F.col("c_"), back) / F.greatest(V.norm(F.col("c_")) * V.norm(back), F.lit(1e-12))
+    meta = one.crossJoin(F.broadcast(rows.agg(F.min(cosine).alias("min_cosine")))).select("mean", F.lit(scale).alias("scale"), F.lit(said["n"]).alias("n"), "min_cosine")  # one row each
+    meta.write.mode("overwrite").json(f"{path}/meta")
+    return {"n": said["n"], "scale": scale, "bytes": said["bytes"]}
+
+
+def write_report(sections: DataFrame, expected: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, found, expected, ok) of a split: written as JSON lines and returned; ``expected`` has (key, expected)."""
+    found = sections.groupBy(F.col("book").alias(key)).agg(F.count("*").alias("found"))
+    report = expected.join(found, key, "left").select(key, F.coalesce("found", F.lit(0)).alias("found"), "expected").withColumn("ok", F.col("found") == F.col("expected"))
+    report.write.mode("overwrite").json(path)
+    return report
+
+
+def publish(frames: dict[str, DataFrame], path: str) -> list[str]:
+    """Named artefacts as JSON documents, a folder each; returns the names in order."""
+    for name, df in sorted(frames.items()):
+        df.write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/{name}")
+    return sorted(frames)
+
+
 def export_star(events: DataFrame, key: list[str], kind: str, path: str) -> None:
     """fact_events, fact_keys and dim_kind as tables below ``path``."""
     events.write.mode("overwrite").parquet(f"{path}/fact_events")

@@ -82,3 +82,16 @@ def test_quantise_round_trip(spark):
     q = one(spark, v, "array<double>", lambda c: V.quantise(c, F.lit(1.0)))
     back = one(spark, q, "array<int>", lambda c: V.dequantise(c, F.lit(1.0)))
     assert q[1] == -127 and max(abs(a - b) for a, b in zip(v, back, strict=True)) <= 0.5 / 127
+
+
+def test_normal_forms(spark):
+    assert one(spark, "e\u0301\uff21", "string", X.normalise) == "\u00e9\uff21"
+    assert one(spark, "e\u0301\uff21", "string", lambda c: X.normalise(c, "NFKC")) == "\u00e9A"
+    assert one(spark, None, "string", X.normalise) is None
+
+
+def test_catalogue_of_a_publisher(spark):
+    prices = "[Two Shillings]\n\nB\n\n[Sixpence]\n\nC"
+    assert one(spark, f"tale\n\nA\n\n{prices}", "string", X.cut_catalogue) == "tale\n\nA"
+    assert one(spark, f"tale\n\nLONDON: X\n\nA\n\n{prices}", "string", X.cut_catalogue) == "tale"
+    assert one(spark, "tale\n\n[Sixpence]", "string", X.cut_catalogue) == "tale\n\n[Sixpence]"

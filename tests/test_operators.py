@@ -53,9 +53,14 @@ def test_kappa(spark, a, b, k):
 
 def test_permutation_and_bootstrap(spark):
     far = spark.createDataFrame([(i, float(i % 2 * 10 + i / 100), i % 2) for i in range(60)], "i int, x double, g int")
-    assert E.permutation_p(far, "x", "g", 99).first().p < 0.05
-    got = E.bootstrap_ci(far, "x", 100).first()
-    assert got.low < got.mean < got.high
+    assert E.permutation_p(far, "x", "g", "i", 99).first().p < 0.05
+    # Equal rows move apart, and group sizes stay: with three values there are three ways to pick one.
+    flat = spark.createDataFrame([(0, 1.0, 1), (1, 1.0, 0), (2, 4.0, 0)], "i int, x double, g int")
+    assert E.permutation_p(flat, "x", "g", "i", 3000).first().p == pytest.approx(2 / 3 + 1 / 3, abs=1e-9)
+    near = spark.createDataFrame([(0, 4.0, 1), (1, 1.0, 0), (2, 1.0, 0)], "i int, x double, g int")
+    assert E.permutation_p(near, "x", "g", "i", 3000).first().p == pytest.approx(1 / 3, abs=0.03)
+    got = E.bootstrap_ci(far, "x", "i", 400).first()
+    assert got.low < got.mean < got.high and got.high - got.low == pytest.approx(4 * 4.99 / 60**0.5, rel=0.2)
 
 
 def test_corrections(spark):
@@ -170,3 +175,61 @@ def test_trailing_notes():
     text, notes = trailing_notes("A tale.\nIt ends.\n\n[1] A note.\n[2] Another\nthat is folded.")
     assert text == "A tale.\nIt ends." and notes.startswith("[1]")
     assert trailing_notes("A tale.\n[1] one mark alone")[1] == ""
+
+
+def test_window_packs(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(20, 6)) + 3
+    d = spark.createDataFrame([(i // 4, i % 4, x.tolist()) for i, x in enumerate(v)], "owner int, at int, v array<double>")
+    said = sinks.write_windows(d, "owner", "at", "v", str(tmp_path / "w"), budget=120)
+    assert said["n"] == 20 and said["bytes"] == 120
+    back = {(r.owner, r["at"]): r.v for r in readers.windows(spark, str(tmp_path / "w"), "owner", "at", "v", 20).collect()}
+    mean = readers.window_mean(spark, str(tmp_path / "w")).first()["mean"]
+    assert np.allclose(mean, v.mean(0)) and all(np.abs(np.array(back[i // 4, i % 4]) - (v[i] - v.mean(0))).max() <= said["scale"] / 254 + 1e-9 for i in range(20))
+    assert spark.read.json(str(tmp_path / "w/meta")).first().min_cosine > 0.99
+    with pytest.raises(ValueError, match="allowed"):
+        sinks.write_windows(d, "owner", "at", "v", str(tmp_path / "x"), budget=119)
+    with pytest.raises(ValueError, match="expected"):
+        readers.windows(spark, str(tmp_path / "w"), "owner", "at", "v", 19)
+
+
+def test_fingerprints_tell_nulls_and_separators_apart(spark):
+    rows = [("a", None), (None, "a"), ("a|", ""), ("a", "|"), ("", ""), (None, None), ("\\n", None)]
+    seen = {sinks.fingerprint(spark.createDataFrame([(1, *r)], "k int, x string, y string"), ["x", "y"], "k").first()[0] for r in rows}
+    assert len(seen) == len(rows)
+
+
+def test_catalogue_answers_and_documents(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/7.json").write_text('{"id": 7, "title": "x", "formats": {"text/plain": "http://u/7.txt"}}')
+    assert readers.catalogue(spark, str(tmp_path / "c")).first().formats["text/plain"].endswith("7.txt")
+    (tmp_path / "c/8.json").write_text('{"id": 9}')
+    with pytest.raises(Exception, match="another id"):
+        readers.catalogue(spark, str(tmp_path / "c")).collect()
+    (tmp_path / "one.json").write_text('{"a": 1}')
+    assert readers.documents(spark, str(tmp_path), ["one"])["one"].first().a == 1 and spark.sql("SELECT a FROM one").first().a == 1
+    assert sinks.publish({"b": spark.range(2), "a": spark.range(1)}, str(tmp_path / "out")) == ["a", "b"]
+
+
+BOOK = "By A\n\nCONTENTS.\n\nPREFACE  1\nThe Fox .... 3\nThe Very Long Tale of the Crow and\nthe Well  9\nWhom the King Honors  11\nThe Sun  12\nThe Moon and the Sea  13\n\nILLUSTRATIONS\n\nThe Fox 3\n\n\n\n\n\n"
+
+
+def test_books_by_contents(spark):
+    from loomtext.operators import books as B
+
+    parts = [("PREFACE", 130), ("“THE FOX”", 1), ("THE FOX", 140), ("THE VERY LONG TALE OF THE CROW AND THE WELL", 130), ("WHOM THE KING HONOURS", 125), ("The Sun [12]", 130), ("THE MOON AND THE SEA\nA STORY OF OLD", 122), ("INDEX OF NAMES", 500)]
+    text = BOOK + "\n\n\n".join(f"{h}\n\n{'w ' * n}".strip() for h, n in parts)
+    d = spark.createDataFrame([("b", text), ("none", "no contents"), ("null", None)], "id string, text string")
+    got = B.by_contents(d, "id", "text", alias={"Whom the King Honors": "Whom the King Honours"}, stop_at="^INDEX OF NAMES$").orderBy("start").collect()
+    assert [(r.book, r.pos, r.title, len(r.body.split())) for r in got] == [("b", 0, "The Fox", 140), ("b", 1, "The Very Long Tale of the Crow and the Well", 130), ("b", 2, "Whom the King Honors", 125), ("b", 3, "The Sun", 130), ("b", 4, "The Moon and the Sea", 122)]
+
+
+def test_books_by_numbers(spark):
+    from loomtext.operators import books as B
+
+    body = "w " * 125
+    text = f"I.\n\n[Illustration]\n\nTHE DEATH OF MAUI\n\n{body}\n\nII.\n\nSECOND\n\n{body}\nIII. is no heading\n\nIV. Fourth\n\n{body}"
+    d = spark.createDataFrame([("b", text)], "id string, text string")
+    got, problems = B.by_numbers(d, "id", "text", r"^([IVXLC]+)\.(?:\s+(\S.*))?$")
+    assert [(r.title, len(r.body.split())) for r in got.orderBy("start").collect()] == [("THE DEATH OF MAUI", 125), ("SECOND", 129), ("Fourth", 125)]
+    assert [tuple(r) for r in problems.collect()] == [("b", "not consecutive at 4")]
