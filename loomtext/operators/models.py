@@ -30,13 +30,19 @@ def delta_profile(docs: DataFrame, key: str, text: str, top: int = 150) -> DataF
 
 
 def attribute(profile: DataFrame, authors: DataFrame, key: str, author: str) -> DataFrame:
-    """(key, author, guess): nearest centroid by mean absolute difference, the document itself left out of its author's."""
+    """(key, author, guess): nearest centroid by mean absolute difference, the document itself left out of its author's.
+
+    A profile has a bounded number of words, so documents and centroids are arrays over them in the order of the
+    words; each document meets one row per author.
+    """
     p = profile.join(authors, key)
-    sums = p.groupBy(author, "word").agg(F.sum("z").alias("s"), F.count("*").alias("n")).select(F.col(author).alias("other"), "word", "s", "n")
-    j = p.join(sums, "word")
+    sums = p.groupBy(author, "word").agg(F.sum("z").alias("s"), F.count("*").alias("n"))
+    centres = sums.groupBy(F.col(author).alias("other")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "s"))), lambda x: x["s"]).alias("s"), F.max("n").alias("n"))
+    docs = p.groupBy(key, author).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "z"))), lambda x: x["z"]).alias("z"))
+    small = F.broadcast(centres) if centres.count() <= 10_000 else centres  # one row of top words per author
     own = F.col(author) == F.col("other")
-    centre = F.when(own & (F.col("n") == 1), None).when(own, (F.col("s") - F.col("z")) / (F.col("n") - 1)).otherwise(F.col("s") / F.col("n"))
-    d = j.groupBy(key, author, "other").agg(F.coalesce(F.avg(F.abs(F.col("z") - centre)), F.lit(1e9)).alias("d"))
+    gap = F.aggregate(F.zip_with("z", "s", lambda z, c: F.abs(z - F.when(own, (c - z) / (F.col("n") - 1)).otherwise(c / F.col("n")))), F.lit(0.0), lambda a, x: a + x) / F.size("z")
+    d = docs.crossJoin(small).select(key, author, "other", F.when(own & (F.col("n") == 1), 1e9).otherwise(gap).alias("d"))
     return d.groupBy(key, author).agg(F.min_by("other", F.struct("d", "other")).alias("guess"))
 
 

@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays as V
 
-#: Rows of a block of the blocked product.
-BLOCK = 4096
+#: Rows of a block of the blocked product, and of the tile of it that is multiplied at once.
+BLOCK, TILE = 32768, 256
 
 
 def knn(queries: DataFrame, pool: DataFrame, qkey: str, key: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:
@@ -35,13 +35,20 @@ def knn(queries: DataFrame, pool: DataFrame, qkey: str, key: str, vec: str, k: i
         if not len(a) or not len(b):
             return empty
         x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
-        s = x @ y.T
         qs, ps = a["q"].to_numpy(), b["q"].to_numpy()
-        s[qs[:, None] == ps[None, :]] = -np.inf
-        n = min(k, s.shape[1])
-        best = np.argsort(-s, axis=1, kind="stable")[:, :n]
-        out = pd.DataFrame({"q": np.repeat(qs, n), "p": ps[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
-        return out[np.isfinite(out["score"])]
+        n, out = min(k, len(ps)), []
+        for at in range(0, len(qs), TILE):
+            s = x[at : at + TILE] @ y.T
+            s[qs[at : at + TILE, None] == ps[None, :]] = -np.inf
+            # All that reach the n-th best score, so that ties go by key; then the first n of each query.
+            row, col = np.nonzero(s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n])
+            score = s[row, col]
+            order = np.lexsort((ps[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            fits = (place < n) & np.isfinite(score)
+            out.append(pd.DataFrame({"q": qs[at + row[fits]], "p": ps[col[fits]], "score": score[fits]}))
+        return pd.concat(out)
 
     part = left.union(right).groupBy("i", "j").applyInPandas(product, "q long, p long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "p")
@@ -49,30 +56,41 @@ def knn(queries: DataFrame, pool: DataFrame, qkey: str, key: str, vec: str, k: i
     return out.select(F.col("q").alias(qkey), F.col("p").alias("neighbour" if qkey == key else key), "score", "rank")
 
 
-def pair_statistics(df: DataFrame, key: str, vec: str, group: str, block: int = BLOCK) -> DataFrame:
-    """(ga, gb, n, s, ss): count, sum and sum of squares of the dot products of all unordered pairs, by groups, from block products."""
-    d = df.select(F.col(key).cast("long").alias("k"), F.col(group).cast("string").alias("g"), F.col(vec).alias("v"))
-    n = max(1, -(-d.count() // block))
-    d = d.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-    pairs = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "k", "g", "v")
+def pair_statistics(df: DataFrame, key: str, vec: str, group: str) -> DataFrame:
+    """(ga, gb, n, s, ss): count, sum and sum of squares of the dot products of all unordered pairs, by groups.
 
-    def stats(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        a, b = g[g["b"] == i], g[g["b"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["ga", "gb", "n", "s", "ss"])
-        s = np.stack(a["v"].to_numpy()).astype(float) @ np.stack(b["v"].to_numpy()).astype(float).T
-        names = sorted(set(a["g"]) | set(b["g"]))
-        ca, cb = pd.Categorical(a["g"], names).codes, pd.Categorical(b["g"], names).codes
-        keep = a["k"].to_numpy()[:, None] < b["k"].to_numpy()[None, :] if i == j else np.ones(s.shape, bool)
-        lo, hi = np.minimum(ca[:, None], cb[None, :])[keep], np.maximum(ca[:, None], cb[None, :])[keep]
-        code, x, m = lo * len(names) + hi, s[keep], len(names) ** 2
-        n_, s_, q_ = np.bincount(code, minlength=m), np.bincount(code, x, m), np.bincount(code, x * x, m)
-        at = np.flatnonzero(n_)
-        return pd.DataFrame({"ga": [names[c // len(names)] for c in at], "gb": [names[c % len(names)] for c in at], "n": n_[at], "s": s_[at], "ss": q_[at]})
+    No pair is made: dot products of two groups add up to that of their sums, and their squares to the
+    product, cell by cell, of the groups' matrices of cross products. Tasks add these up before anything moves.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
 
-    got = pairs.groupBy("i", "j").applyInPandas(stats, "ga string, gb string, n long, s double, ss double")
-    return got.groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([(g, *map(float, x[:3]), x[3].tolist(), x[4].ravel().tolist()) for g, x in held.items()], columns=["g", "n", "q", "q4", "sum", "cross"])
+
+        for batch in batches:
+            for g, rows in batch.groupby("g"):
+                x = np.stack(rows["v"].to_numpy()).astype(float)
+                q = (x * x).sum(axis=1)
+                new = [len(x), q.sum(), (q * q).sum(), x.sum(axis=0), x.T @ x]
+                held[g] = [a + b for a, b in zip(held[g], new, strict=True)] if g in held else new
+            if len(held) > 256:
+                yield told()
+                held = {}
+        yield told()
+
+    rows = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(vec).alias("v"))
+    parts = rows.mapInPandas(run, "g string, n double, q double, q4 double, sum array<double>, cross array<double>")
+    flat = parts.select("g", F.posexplode(F.concat(F.array("n", "q", "q4"), "sum", "cross")).alias("i", "x"), F.size("sum").alias("d"))
+    cells = flat.groupBy("g", "i").agg(F.sum("x").alias("x"), F.max("d").alias("d"))
+    both = cells.alias("a").join(cells.alias("b"), F.expr("a.i = b.i AND a.g <= b.g"))  # groups by groups, one row per cell
+    prod, own = F.col("a.x") * F.col("b.x"), F.col("a.g") == F.col("b.g")
+    i, d = F.col("a.i"), F.col("a.d")
+    at = lambda k: F.sum(F.when(i == k, F.col("a.x")))
+    got = both.groupBy(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).agg(F.sum(F.when(i == 0, prod)).alias("nn"), at(0).alias("n"), at(1).alias("q"), at(2).alias("q4"), F.sum(F.when((i >= 3) & (i < 3 + d), prod)).alias("s"), F.sum(F.when(i >= 3 + d, prod)).alias("ss"), F.first(own).alias("own"))
+    half = lambda c, less: F.when(F.col("own"), (F.col(c) - F.col(less)) / 2).otherwise(F.col(c))
+    return got.select("ga", "gb", half("nn", "n").cast("long").alias("n"), half("s", "q").alias("s"), half("ss", "q4").alias("ss")).where("n > 0")
 
 
 def mean_similarity(df: DataFrame, key: str, vec: str, group: str) -> DataFrame:
@@ -141,10 +159,10 @@ def best_by_owner(queries: DataFrame, pool: DataFrame, qkey: str, qvec: str, own
         if not len(a) or not len(b):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "o": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
         b = b.sort_values("o")
-        s = np.stack(a["v"].to_numpy()).astype(float) @ np.stack(b["v"].to_numpy()).astype(float).T
+        x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float).T
         names = b["o"].to_numpy()
         first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        m = np.maximum.reduceat(s, first, axis=1)
+        m = np.concatenate([np.maximum.reduceat(x[at : at + TILE] @ y, first, axis=1) for at in range(0, len(x), TILE)])
         return pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), len(first)), "o": np.tile(names[first], len(a)), "score": m.ravel()})
 
     part = q.select("i", "j", "q", "v").groupBy("i", "j").cogroup(p.groupBy("i", "j")).applyInPandas(product, "q long, o string, score double")

@@ -112,9 +112,9 @@ def ag14_name_like(t: Tables):
     return A.name_like(t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("tok")))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) SELECT term, count(*) AS df, md5(string_agg(doc_id, ',' ORDER BY doc_id)) AS postings FROM w GROUP BY term HAVING count(*) <= floor((SELECT count(*) FROM documents) * 0.4)""")
+@query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents), f AS (SELECT term, count(*) AS df FROM w GROUP BY term HAVING count(*) <= floor((SELECT count(*) FROM documents) * 0.4)) SELECT term, df, doc_id // 65536 AS shard, md5(string_agg(doc_id, ',' ORDER BY doc_id)) AS postings FROM w JOIN f USING (term) GROUP BY term, df, doc_id // 65536""")
 def ag15_inverted_index(t: Tables):
-    return inverted_index(t.documents, "doc_id", "text").select("term", "df", F.md5(F.array_join("postings", ",")).alias("postings"))
+    return inverted_index(t.documents, "doc_id", "text").select("term", "df", "shard", F.md5(F.array_join("postings", ",")).alias("postings"))
 
 
 @query(f"""WITH w AS (SELECT source, unnest({_TOK}) AS tok FROM documents) SELECT source, count(*) FILTER (tok = 'the') AS the, count(*) FILTER (tok = 'of') AS of, count(*) FILTER (tok = 'que') AS que FROM w WHERE tok IN ('the', 'of', 'que') GROUP BY source""")

@@ -232,8 +232,7 @@ def jn18_reject_unknown(t: Tables):
 
 @query("""WITH c AS (SELECT source, list(doc_id ORDER BY doc_id)[1:6] AS ids FROM documents GROUP BY source), x AS (SELECT source, unnest(ids) AS doc_id FROM c) SELECT source, string_agg(lang || doc_id, ',' ORDER BY doc_id) AS titles FROM x JOIN documents d USING (source, doc_id) GROUP BY source""")
 def jn19_cluster_titles(t: Tables):
-    c = t.documents.groupBy("source").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 6).alias("ids"))
-    x = c.select("source", F.explode("ids").alias("doc_id")).join(t.documents.select("doc_id", "lang", "source"), ["source", "doc_id"])
+    x = R.top_k(t.documents.select("doc_id", "lang", "source"), ["source"], [F.asc("doc_id")], 6)
     return x.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda r: F.concat(r["lang"], r["doc_id"])), ",").alias("titles"))
 
 
@@ -290,9 +289,10 @@ def se01_union(t: Tables):
 @query("""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS ws FROM documents), b AS (SELECT list_distinct(regexp_extract_all(lower(string_agg(text, ' ')), '[a-zà-ÿ]+')) AS q FROM benchmark)
 SELECT doc_id, round(len(list_intersect(ws, q)) / greatest(1, len(ws)), 6) AS overlap FROM w, b""")
 def se02_overlap(t: Tables):
-    q = t.benchmark.agg(F.array_distinct(F.flatten(F.collect_list(X.tokens(F.col("text"))))).alias("q"))
-    w = t.documents.select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("ws")).crossJoin(F.broadcast(q))  # one row
-    return w.select("doc_id", F.round(F.size(F.array_intersect("ws", "q")) / F.greatest(F.lit(1), F.size("ws")), 6).alias("overlap"))
+    q = t.benchmark.select(F.explode(X.tokens(F.col("text"))).alias("w")).distinct().withColumn("in_", F.lit(1))
+    # Tokens meet tokens: the other side has one row per token, whatever the benchmark's size.
+    w = t.documents.select("doc_id", F.explode_outer(F.array_distinct(X.tokens(F.col("text")))).alias("w")).join(q, "w", "left")
+    return w.groupBy("doc_id").agg(F.round(F.count("in_") / F.greatest(F.lit(1), F.count("w")), 6).alias("overlap"))
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
