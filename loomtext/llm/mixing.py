@@ -1,8 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting, in DataFrame functions only.
 
 Token weights of the cells (source, language, topic) are raked in turn to the target shares
-of each of the three marginals until their weights fit, and documents are drawn with the
-calibrated probability of their cell. A target may be named per value; the others of a
+of each of the three marginals until no marginal misses its target by more than ``TOLERANCE`` of it, or
+``MOST`` rounds are over; targets that contradict each other are never met, and then a warning says by how
+much they are missed. Documents are drawn with the calibrated probability of their cell. A target may be named per value; the others of a
 marginal share what is left in proportion to their observed shares to the power ``ALPHA``,
 which lifts small sources and holds a source with a third of all tokens in check.
 
@@ -25,6 +26,8 @@ their names; the columns this operator adds are named by the caller.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +35,8 @@ from pyspark.sql.window import Window
 from .store import materialize
 
 ALPHA, ROUNDS, SEED = 0.7, 12, 17
+#: Largest miss of a marginal that ends the raking, and rounds after which it ends in any case.
+TOLERANCE, MOST = 1e-6, 60
 #: Share of the tokens that is drawn without a budget, and of the target weight that named targets may lose to cells at probability 1.
 SHARE, LOST = 0.5, 0.005
 #: Shares of a text's characters from which it counts as figures or marked, and characters below which it is short.
@@ -56,7 +61,7 @@ def topic_of(text: str):
 
 
 def marks_of(text: str):
-    """The kind of text as a topic: table, noise, shout, code or prose, by plain marks that either engine can find."""
+    """The kind of text as a topic: table, noise, shout, short or prose, by plain marks that either engine can find."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return F.when(t.contains(" | "), "table").when(t.contains("%%%") | t.contains("$$$"), "noise").when(t.contains("!! "), "shout").when(F.length(t) < 600, "short").otherwise("prose")
 
@@ -80,8 +85,14 @@ def _targets(cells: DataFrame, col: str, named: dict[str, float], alpha: float)
     return seen.select(col, (F.col("w") / F.sum("w").over(over)).alias("share"))
 
 
-def rake(cells: DataFrame, cols: list[str], targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``weight``: the mass share of each cell after raking."""
+def misfit(now: DataFrame, cols: list[str]) -> float:
+    """Largest relative miss of any target share by the weights."""
+    miss = [F.abs(F.sum("weight").over(Window.partitionBy(c)) / F.col(f"share_{c}") - 1) for c in cols]
+    return now.select(F.greatest(*miss).alias("miss")).agg(F.max("miss")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, cols: list[str], targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = MOST, tolerance: float | None = TOLERANCE) -> DataFrame:
+    """Cells with ``weight``: the mass share of each cell after raking; without a ``tolerance`` after exactly ``rounds`` rounds."""
     targets = targets or {}
     now = cells
     for c in cols:
@@ -92,6 +103,11 @@ def rake(cells: DataFrame, cols: list[str], targets: dict[str, dict[str, float]]
             now = now.withColumn("weight", F.col("weight") * F.col(f"share_{c}") / F.sum("weight").over(Window.partitionBy(c)))
         if k % CUT == CUT - 1:
             now = materialize(now, "rake", 1)
+            if tolerance is not None and misfit(now, cols) <= tolerance:
+                break
+    else:
+        if tolerance is not None and (miss := misfit(now, cols)) > tolerance:
+            warnings.warn(f"after {rounds} rounds a marginal misses its target by {miss:.3g} of it", stacklevel=2)
     return now.select(*cols, "mass", "weight")
 
 
@@ -129,7 +145,7 @@ def uniform(key: str, seed: int = SEED):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic=None, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float | None = None, share: float = SHARE, largest: bool = False, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic=None, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, rounds: int = MOST, tolerance: float | None = TOLERANCE, budget: float | None = None, share: float = SHARE, largest: bool = False, seed: int = SEED) -> DataFrame:
     """(k, source, lang, topic, n_tokens, probability, kept) per row of ``docs``, and its columns in the struct ``row``.
 
     ``targets`` has shares by marginal (source, lang, topic) and value; ``topic`` is a column,
@@ -140,7 +156,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     cols = ["source", "lang", "topic"]
     cells = materialize(_cells(rows.select(*cols, "n_tokens"), cols, "n_tokens"), "cells", 1)
     size = {"share": None} if largest else {"budget": budget, "share": share, "lost": LOST if targets else None}
-    drawn = materialize(probabilities(rake(cells, cols, targets, alpha, rounds), cols, **size), "probabilities", 1)
+    drawn = materialize(probabilities(rake(cells, cols, targets, alpha, rounds, tolerance), cols, **size), "probabilities", 1)
     out = rows.join(drawn, cols, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     return out.withColumn("kept", uniform("k", seed) < F.col("probability")).select("k", *cols, "n_tokens", "probability", "kept", "row")
 

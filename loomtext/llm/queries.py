@@ -44,7 +44,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated probability and draw of every document, by the topic and to the size that the query's SQL defines."""
-    got = mixing.mix(_table(spark, sf_dir, "documents"), topic=mixing.marks_of("text"), largest=True)
+    got = mixing.mix(_table(spark, sf_dir, "documents"), topic=mixing.marks_of("text"), largest=True, rounds=mixing.ROUNDS, tolerance=None)
     return got.select(F.col("k").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 

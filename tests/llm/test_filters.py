@@ -52,6 +52,18 @@ def test_raked_weights_meet_their_targets(spark):
     assert set(less) < set(more)
 
 
+def test_raking_ends_when_targets_are_met_and_tells_when_they_are_not(spark):
+    rows = [("a", "x", 10.0), ("a", "y", 30.0), ("b", "x", 5.0), ("b", "y", 1.0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, mass double")
+    targets = {"source": {"a": 0.3, "b": 0.7}, "lang": {"x": 0.6, "y": 0.4}}
+    got = mixing.rake(cells, ["source", "lang"], targets).toPandas()
+    for c, want in targets.items():
+        assert got.groupby(c).weight.sum().to_dict() == pytest.approx(want, rel=1e-5)
+    # Nothing of source b is in language y, and nothing of a in x: the marginals contradict each other.
+    with pytest.warns(UserWarning, match="misses its target"):
+        mixing.rake(cells.where("(source = 'a') = (lang = 'y')"), ["source", "lang"], targets, rounds=8)
+
+
 def test_one_rare_document_does_not_decide_the_draw(spark):
     rnd = random.Random(4)
     rows = [(i, "w " * rnd.randint(20, 60), rnd.choice(["en", "en", "fr"]), "hot" if rnd.random() < 0.4 else f"s{rnd.randint(0, 5)}") for i in range(900)]
