@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .store import materialize
 
-ALPHA, ROUNDS, SEED = 0.7, 12, 17
+ALPHA, SEED = 0.7, 17
 #: Largest miss of a marginal that ends the raking, and rounds after which it ends in any case.
 TOLERANCE, MOST = 1e-6, 60
 #: Share of the tokens that is drawn without a budget, and of the target weight that named targets may lose to cells at probability 1.
@@ -60,12 +60,6 @@ def topic_of(text: str):
     return F.when(some(DIGITS) > FIGURES * F.length(t), "figures").when(some(SIGNS) > MARKED * F.length(t), "marked").when(F.length(t) < BRIEF, "short").otherwise("prose")
 
 
-def marks_of(text: str):
-    """The kind of text as a topic: table, noise, shout, short or prose, by plain marks that either engine can find."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return F.when(t.contains(" | "), "table").when(t.contains("%%%") | t.contains("$$$"), "noise").when(t.contains("!! "), "shout").when(F.length(t) < 600, "short").otherwise("prose")
-
-
 def _cells(docs: DataFrame, cols: list[str], tokens: str) -> DataFrame:
     return docs.groupBy(*cols).agg(F.sum(F.col(tokens).cast("double")).alias("mass")).where("mass > 0")
 
