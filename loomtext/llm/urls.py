@@ -5,7 +5,8 @@ words, with word frequencies counted over the corpus (page texts and the seed wo
 multinomial naive Bayes over the words of host and path gives the verdict where no rule fits.
 
 The classes are learned from the corpus itself: urls whose segmented host has a seed word are
-the examples to block, all others those to allow. Counts cover all rows.
+the examples to block, all others those to allow. Counts cover all rows; every word counts once
+more in each class, and so does one word not seen.
 
 Nothing that grows with the corpus is broadcast: candidate substrings of the distinct labels
 are joined with the word counts, and url words with the table of word weights.

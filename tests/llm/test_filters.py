@@ -36,6 +36,87 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_equal_a_brute_force_version(spark):
+    rnd = random.Random(11)
+    words = ["poem", "poems", "day", "casino", "win", "wind", "river", "a", "bet", "bets", "alpha", "be", "t"]
+    name = lambda: "".join(rnd.choices(words, k=rnd.randint(1, 3)))
+    ends = ["", "/", "/en/1", "/en/12?x=/de/", "/es/a", "/fr/b#c", "/de/win-big/Day", "#only", "?q"]
+    rows = [(i, f"{rnd.choice(['http', 'HTTPS', 'x'])}://{rnd.choice(['', 'WWW.', '-.'])}{name()}{rnd.choice(['.com', '.example.org', '.net', '7.org', ''])}{rnd.choice(ends)}", rnd.choice([None, "", "<p>poems of the day</p><script>win win</script>", "<style>bet</style>a Casino by the river", "wind BE t"])) for i in range(300)]
+    rows += [(900, "http://hot.net/" + "casino/" * 30, "x")] * 60 + [(901, "http://" + "ab" * 400 + ".net/" + "day-" * 2000, "y" * 3000), (902, None, None), (None, "", "")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+
+    def parts(u):
+        if u is None or "://" not in u:
+            return "", ""
+        rest = u[u.index("://") + 3 :]
+        cut = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+        tail = rest[cut:]
+        return rest[:cut].lower(), tail[: min([tail.index(c) for c in "?#" if c in tail] or [len(tail)])]
+
+    def runs(t):
+        return [x for x in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in t.lower()).split(" ") if x]
+
+    def plain(html):
+        out, i, low = [], 0, html or ""
+        while i < len(low):
+            if low[i] == "<" and ">" in low[i:]:
+                tag = next((x for x in ("script", "style") if low.startswith(f"<{x}", i) and f"</{x}>" in low[i:]), None)
+                i = low.index(f"</{tag}>", i) + len(tag) + 3 if tag else low.index(">", i) + 1
+                out.append(" ")
+            else:
+                out.append(low[i])
+                i += 1
+        return "".join(out)
+
+    counts = {w: urls.SEED_COUNT for w in urls.SEEDS}
+    for _, _, h in rows:
+        for w in runs(plain(h)):
+            if len(w) <= urls.LONGEST:
+                counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    costs = {w: -math.log(n / total) for w, n in counts.items()}
+
+    def cheapest(label):
+        # All splits from the back, kept per place: (cost, words).
+        best = [(0.0, [])] + [None] * len(label)
+        for j in range(1, len(label) + 1):
+            for i in range(j):
+                w = label[i:j]
+                c = costs.get(w, -math.log(urls.UNKNOWN) if len(w) == 1 else None)
+                if c is not None and (best[j] is None or best[i][0] + c < best[j][0]):
+                    best[j] = (best[i][0] + c, [*best[i][1], w])
+        return best[-1][0]
+
+    worth = lambda ws: sum(costs.get(w, -math.log(urls.UNKNOWN)) for w in ws)
+    classes, bags = [{}, {}], []
+    for r in got:
+        host = [w for label in runs(r.host) for w in [label]]
+        path = runs(r.path)
+        ws = list(r.words)
+        split = ws[: len(ws) - len(path)]
+        assert "".join(sorted("".join(split))) == "".join(sorted("".join(host))) and ws[len(split) :] == path
+        assert worth(split) == pytest.approx(sum(cheapest(x) for x in host))
+        bad = bool(set(split) & set(urls.SEEDS))
+        bags.append((ws, bad))
+        for w in ws:
+            classes[bad][w] = classes[bad].get(w, 0) + 1
+    size = len(classes[0].keys() | classes[1].keys())
+    n = [sum(c.values()) + size + 1 for c in classes]  # one more for a word not seen
+    n_bad = sum(bad for _, bad in bags)
+    prior = math.log((n_bad + 1) / (len(rows) - n_bad + 1))
+    urls_of = {}
+    for k, u, _ in rows:
+        urls_of.setdefault(k, u)
+    assert len(got) == len(rows) and 0 < n_bad < len(rows)
+    for r, (ws, _) in zip(got, bags, strict=True):
+        assert (r.host, r.path) == parts(urls_of[r.page_id])
+        score = prior + sum(math.log((classes[1].get(w, 0) + 1) / n[1]) - math.log((classes[0].get(w, 0) + 1) / n[0]) for w in ws)
+        assert r.score == pytest.approx(score, abs=1e-6)
+        fits = [(h + p, v) for h, p, v in urls.RULES if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, "block" if score > 0 else "allow")
+        assert (r.rule, r.verdict) == (rule, verdict), r
+
+
 def test_raked_weights_meet_their_targets(spark):
     rnd = random.Random(3)
     rows = [(i, "w " * rnd.randint(1, 60), rnd.choice(["en", "en", "fr"]), "hot" if rnd.random() < 0.4 else f"s{rnd.randint(0, 5)}") for i in range(900)]
