@@ -14,27 +14,18 @@ from .base import Tables, query
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 
 
-def _literals(t: Tables, rows: list[tuple], schema: str):
-    return t.spark.createDataFrame(rows, schema)
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    q = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return f"(VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) v({names})"
-
-
 @query(r"""SELECT page_id, md5(trim(regexp_extract(html, '(?s)<article>(.*)</article>', 1))) AS body FROM pages""")
 def st01_strip_boilerplate(t: Tables):
     inner = F.element_at(F.split(F.element_at(F.split("html", "<article>", 2), 2), "</article>", 2), 1)
     return t.pages.select("page_id", F.md5(F.trim(inner)).alias("body"))
 
 
-_MARKED = [("noise\n*** START OF THE BOOK ***\nbody one\n\nbody two\n*** END OF THE BOOK ***\ntail", "body one\n\nbody two"), ("no marks at all", "no marks at all"), ("x\n***START OF A\nonly start", "only start")]
-
-
-@query("SELECT * FROM " + _values([(i, b) for i, (_, b) in enumerate(_MARKED)], "i, body"))
+@query(r"""SELECT doc_id, md5(trim(text, ' ' || chr(10))) AS body FROM documents""")
 def st01b_markers(t: Tables):
-    return _literals(t, [(i, a) for i, (a, _) in enumerate(_MARKED)], "i int, text string").select("i", F.btrim(X.strip_boilerplate(F.col("text")), F.lit(" \n")).alias("body"))
+    """Texts with both marker lines, with the first alone and with none have the same body."""
+    start, end = F.lit("front\n*** START OF THE BOOK ***\n"), F.lit("\n*** END OF THE BOOK ***\ntail")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(start, "text", end)).when(F.col("doc_id") % 3 == 1, F.concat(start, "text")).otherwise(F.col("text"))
+    return t.documents.select("doc_id", F.md5(F.btrim(X.strip_boilerplate(text), F.lit(" \n"))).alias("body"))
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), E' \n\t')) AS clean FROM documents""")
@@ -42,12 +33,16 @@ def st02_clean_text(t: Tables):
     return t.documents.select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("clean"))
 
 
-_TITLES = [("XII. THE KING OF THE HILLS", "The King of the Hills"), ("3) \"Old Tom\",", "Old Tom\""), ("A Plain Title.", "A Plain Title"), ("THE FOX AND THE CROW", "The Fox and the Crow")]
+_SMALL = ", ".join(f"'{w}'" for w in X.SMALL_WORDS)
 
 
-@query("SELECT * FROM " + _values([(i, b) for i, (_, b) in enumerate(_TITLES)], "i, title"))
+@query(f"""WITH w AS (SELECT p_partkey, string_split('the ' || lower(p_name) || ' of the ' || lower(p_type), ' ') AS ws FROM part)
+SELECT p_partkey, list_aggregate(list_transform(ws, lambda x, i: CASE WHEN i > 1 AND x IN ({_SMALL}) THEN x ELSE upper(x[1:1]) || x[2:] END), 'string_agg', ' ') AS title FROM w""")
 def st03_clean_title(t: Tables):
-    return _literals(t, [(i, a) for i, (a, _) in enumerate(_TITLES)], "i int, raw string").select("i", X.clean_title(F.col("raw")).alias("title"))
+    """Numbered, quoted titles in capitals."""
+    number = F.when(F.col("p_partkey") % 2 == 0, F.lit("XIV. ")).otherwise(F.concat((F.col("p_partkey") % 90 + 1).cast("string"), F.lit(") ")))
+    raw = F.concat(number, F.lit("\"THE "), F.upper("p_name"), F.lit(" OF THE "), F.upper("p_type"), F.lit(",\" "))
+    return t.part.select("p_partkey", X.clean_title(raw).alias("title"))
 
 
 @query("""WITH w AS (SELECT n_nationkey, n_name, list_filter(string_split(lower(n_name), ' '), lambda x: x <> '') AS ws FROM nation)
@@ -56,12 +51,12 @@ def st04_title_case(t: Tables):
     return t.nation.select("n_nationkey", X.title_case(F.col("n_name")).alias("title"))
 
 
-_NUMERALS = [("XLIX|body a|body b|12.", "body a|body b"), ("body", "body"), ("I|II", ""), ("a|XX|b", "a|XX|b")]
-
-
-@query("SELECT * FROM " + _values([(i, b) for i, (_, b) in enumerate(_NUMERALS)], "i, body"))
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE replace(p_name, ' ', '|') || '|IV|' || p_type END AS body FROM part")
 def st05_trim_numerals(t: Tables):
-    return _literals(t, [(i, a) for i, (a, _) in enumerate(_NUMERALS)], "i int, t string").select("i", F.array_join(X.trim_numerals(F.split("t", r"\|")), "|").alias("body"))
+    """Numerals alone go from both ends and stay in the middle; every fifth row has nothing else."""
+    edge = F.array(F.lit("XLIX"), F.lit("12."))
+    body = F.when(F.col("p_partkey") % 5 == 0, edge).otherwise(F.concat(edge, F.split("p_name", " "), F.array(F.lit("IV"), F.col("p_type")), edge))
+    return t.part.select("p_partkey", F.array_join(X.trim_numerals(body), "|").alias("body"))
 
 
 @query()
@@ -93,12 +88,12 @@ def st10_key_without_numeral(t: Tables):
     return t.conversations.select("conv_id", "turn", X.key_without_numeral(F.col("text")).alias("k"))
 
 
-_ENTRIES = [("The Fox . . . . . 12", "The Fox"), ("Tom Thumb 7", "Tom Thumb"), ("Plain", "Plain"), ("Dots ....", "Dots")]
-
-
-@query("SELECT * FROM " + _values([(i, b) for i, (_, b) in enumerate(_ENTRIES)], "i, entry"))
+@query(r"SELECT p_partkey, regexp_replace(p_name, '[\s.·…]+$', '') AS entry FROM part")
 def st11_clean_entry(t: Tables):
-    return _literals(t, [(i, a) for i, (a, _) in enumerate(_ENTRIES)], "i int, raw string").select("i", X.clean_entry(F.col("raw")).alias("entry"))
+    """Lines of a contents table with leaders and page, with a page alone, with leaders alone, and bare."""
+    k, page = F.col("p_partkey") % 4, (F.col("p_size") + 100).cast("string")
+    raw = F.when(k == 0, F.concat("p_name", F.lit(" . . . . . "), page)).when(k == 1, F.concat("p_name", F.lit(" "), page)).when(k == 2, F.concat("p_name", F.lit(" ....… "))).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", X.clean_entry(raw).alias("entry"))
 
 
 @query("""WITH k AS (SELECT DISTINCT substr(p_name, 1, 6) AS key FROM part), m AS (SELECT key, p_partkey FROM k JOIN part ON starts_with(p_name, key)) SELECT key, min(p_partkey) AS p_partkey FROM m GROUP BY key HAVING count(*) = 1""")
@@ -187,17 +182,19 @@ def st31_strip_ends(t: Tables):
     return t.documents.where(F.size(w) > 0).select("doc_id", F.md5(F.array_join(F.transform(w, lambda x: X.strip_ends(F.lower(x))), " ")).alias("h"))
 
 
-_ROMAN = [("XIV", 14), ("MCMXC", 1990), ("IIII", None), ("", None), ("abc", None), ("XLIX", 49)]
-
-
-@query("SELECT i, CAST(n AS INT) AS n FROM " + _values([(i, n) for i, (_, n) in enumerate(_ROMAN)], "i, n"))
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN CAST(p_partkey % 3999 + 1 AS INT) END AS n FROM part")
 def st32_roman(t: Tables):
-    return _literals(t, [(i, r) for i, (r, _) in enumerate(_ROMAN)], "i int, r string").select("i", X.roman_to_int(F.col("r")).alias("n"))
+    """Numbers of up to 3999 written as numerals; every seventh has a letter too many."""
+    n = F.col("p_partkey") % 3999 + 1
+    place = lambda unit, one, five, ten: F.element_at(F.array(*[F.lit(x) for x in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)]), (F.floor(n / unit) % 10 + 1).cast("int"))
+    numeral = F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), place(100, "C", "D", "M"), place(10, "X", "L", "C"), place(1, "I", "V", "X"))
+    return t.part.select("p_partkey", X.roman_to_int(F.when(F.col("p_partkey") % 7 == 0, F.concat(numeral, F.lit("VX"))).otherwise(numeral)).alias("n"))
 
 
-@query("SELECT 1 AS i, 'Tōkyō Ō ū' AS s")
+@query("SELECT p_partkey, translate(p_name || ' ' || p_type, 'aeiouAEIOU', 'āēīōūĀĒĪŌŪ') AS s FROM part")
 def st33_macrons(t: Tables):
-    return _literals(t, [(1, "T[=o]ky[=o] [=O] [=u]")], "i int, raw string").select("i", X.decode_macrons(F.col("raw")).alias("s"))
+    raw = F.regexp_replace(F.concat_ws(" ", "p_name", "p_type"), "([aeiouAEIOU])", "[=$1]")
+    return t.part.select("p_partkey", X.decode_macrons(raw).alias("s"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
@@ -206,10 +203,11 @@ def st34_key_values(t: Tables):
     return t.events.select("event_id", X.parse_pairs(line)["k"].alias("k"))
 
 
-@query("SELECT * FROM (VALUES (0, 'plain ', FALSE), (1, 'strong', TRUE), (2, ' end', FALSE)) v(pos, text, emphasised)")
+@query("""SELECT p_partkey, CAST(0 AS INT) AS pos, 'plain ' AS text, FALSE AS emphasised FROM part
+UNION ALL SELECT p_partkey, 1, p_name, TRUE FROM part UNION ALL SELECT p_partkey, 2, ' and ', FALSE FROM part UNION ALL SELECT p_partkey, 3, p_type, TRUE FROM part""")
 def st35_emphasis(t: Tables):
-    d = _literals(t, [("plain _strong_ end",)], "s string").select(F.posexplode(X.emphasis(F.col("s"))).alias("pos", "r"))
-    return d.select("pos", "r.text", "r.emphasised")
+    line = F.concat(F.lit("plain _"), "p_name", F.lit("_ and _"), "p_type", F.lit("_"))
+    return t.part.select("p_partkey", F.posexplode(X.emphasis(line)).alias("pos", "r")).select("p_partkey", "pos", "r.text", "r.emphasised")
 
 
 @query("SELECT n_nationkey, n_name AS s FROM nation")

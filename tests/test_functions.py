@@ -95,3 +95,21 @@ def test_catalogue_of_a_publisher(spark):
     assert one(spark, f"tale\n\nA\n\n{prices}", "string", X.cut_catalogue) == "tale\n\nA"
     assert one(spark, f"tale\n\nLONDON: X\n\nA\n\n{prices}", "string", X.cut_catalogue) == "tale"
     assert one(spark, "tale\n\n[Sixpence]", "string", X.cut_catalogue) == "tale\n\n[Sixpence]"
+
+
+def test_strings_by_hand(spark):
+    cases = {
+        "strip_boilerplate": [("noise\n*** START OF THE BOOK ***\nbody one\n\nbody two\n*** END OF THE BOOK ***\ntail", "body one\n\nbody two"), ("no marks at all", "no marks at all"), ("x\n***START OF A\nonly start", "only start"), (None, None)],
+        "clean_title": [("XII. THE KING OF THE HILLS", "The King of the Hills"), ('3) "Old Tom",', 'Old Tom"'), ("A Plain Title.", "A Plain Title"), ("", "")],
+        "clean_entry": [("The Fox . . . . . 12", "The Fox"), ("Tom Thumb 7", "Tom Thumb"), ("Plain", "Plain"), ("Dots ....", "Dots"), ("", "")],
+        "roman_to_int": [("XIV", 14), ("MCMXC", 1990), ("IIII", None), ("", None), ("abc", None), ("xlix", 49)],
+        "decode_macrons": [("T[=o]ky[=o] [=O] [=u]", "Tōkyō Ō ū"), ("[=x]", "[=x]"), (None, None)],
+    }
+    for name, rows in cases.items():
+        d = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, s string")
+        got = [r.x.strip(" \n") if isinstance(r.x, str) else r.x for r in d.select("i", getattr(X, name)(F.col("s")).alias("x")).orderBy("i").collect()]
+        assert got == [b for _, b in rows], name
+    d = spark.createDataFrame([("XLIX|body a|body b|12.",), ("body",), ("I|II",), ("a|XX|b",)], "s string")
+    assert [r.x for r in d.select(F.array_join(X.trim_numerals(F.split("s", r"\|")), "|").alias("x")).collect()] == ["body a|body b", "body", "", "a|XX|b"]
+    got = spark.createDataFrame([("plain _strong_ end",)], "s string").select(X.emphasis(F.col("s")).alias("x")).first().x
+    assert [(r.text, r.emphasised) for r in got] == [("plain ", False), ("strong", True), (" end", False)]
