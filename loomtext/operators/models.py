@@ -206,10 +206,11 @@ def clusters(df: DataFrame, key: str, vec: str, k: int = 10, seed: int = 3) -> D
     return BisectingKMeans(k=k, seed=seed).fit(v).transform(v).select(key, F.col("prediction").alias("cluster"))
 
 
-def lsa(docs: DataFrame, key: str, text: str, dims: int = 50, terms: int = 1000) -> DataFrame:
+def lsa(docs: DataFrame, key: str, text: str, dims: int = 300, terms: int = 1000) -> DataFrame:
     """(key, vec): TF-IDF rows over the corpus' ``terms`` most widespread terms, projected on their leading singular vectors.
 
-    Tasks add up the terms' cross products; the driver decomposes one array of terms by terms.
+    Tasks add up the terms' cross products; the driver decomposes one array of terms by terms. Documents
+    with none of these terms have no row.
     """
     from .search import tfidf
 
@@ -236,9 +237,11 @@ def lsa(docs: DataFrame, key: str, text: str, dims: int = 50, terms: int = 1000)
         for batch in batches:
             yield pd.DataFrame({key: batch[key], "vec": list(dense(batch) @ basis)})
 
+    # The tasks' arrays are added up as a plan, so the driver gets one array of terms by terms, not one from each task.
+    sums = rows.mapInPandas(share, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
     g = np.zeros((len(at), len(at)))
-    for r in rows.mapInPandas(share, "i int, g array<double>").toLocalIterator():  # one array of terms by terms from each task
-        g[r.i] += r.g
+    for r in sums.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("g")).collect():  # a row per term
+        g[r.i] = r.g
     value, vector = np.linalg.eigh(g)
     basis = vector[:, np.argsort(-value)[:dims]]
     return rows.mapInPandas(project, f"{key} {kind}, vec array<double>")

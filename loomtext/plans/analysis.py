@@ -114,7 +114,9 @@ def ir03_bm25(t: Tables):
 
 @query()
 def ir04_lsa(t: Tables):
-    return M.lsa(t.documents, "doc_id", "text").select("doc_id", F.size("vec").alias("dims"))
+    """Dimensions, and how much of a document's unit length lies in them, with its place on the first axis, which has no fixed sign."""
+    squares = F.aggregate(F.transform("vec", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
+    return M.lsa(t.documents, "doc_id", "text").select("doc_id", F.size("vec").alias("dims"), F.round(F.sqrt(squares), 6).alias("held"), F.round(F.abs(F.get("vec", F.lit(0))), 6).alias("first_axis"))
 
 
 @query(f"""WITH s AS (SELECT a.vec_id AS q, b.label AS lb, a.label AS la, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT q, min(k) FILTER (la = lb) AS rank FROM s GROUP BY q)

@@ -65,6 +65,7 @@ def test_query_without_sql_keeps_its_rules(spark, name):
 WHOLE = {"ve01_encode": ("documents", "doc_id"), "st06_backmatter": ("documents", "doc_id"), "st07_catalogue": ("documents", "doc_id"), "st08_trailing_nonprose": ("documents", "doc_id"), "ml01_layout": ("embeddings", "vec_id"), "ml02_clusters": ("embeddings", "vec_id"), "ir13_rank_preservation": ("embeddings", "vec_id"), "ml13_correspondence": ("documents", "source")}
 MAY_BE_EMPTY = {"pf15_suspicious_edges", "st25_candidate_names"}
 CHECKS = {
+    "ir04_lsa": lambda d: d["held"].between(0, 1 + 1e-6).all() and d["held"].mean() > 0.5 and (d["first_axis"] <= d["held"] + 1e-6).all(),
     "ve01_encode": lambda d: ((d["norm"] - 1).abs() < 1e-3).mean() > 0.9,
     "ir13_rank_preservation": lambda d: d["overlap"].between(0.5, 1).all(),
     "ml06_ml09_hmm": lambda d: d["state"].between(0, 4).all() and d["state"].nunique() > 1 and not d.duplicated(["conv_id", "turn"]).any(),
