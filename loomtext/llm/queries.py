@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kneser, media, minhash, mixing, suffix, tokens, toxicity, urls, warc
+from . import decontam, kneser, media, merkle, minhash, mixing, suffix, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,5 +73,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether it verifies after one in seven was tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    hit = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    claim = F.when(hit, merkle.leaf_of("doc_id", "source", "lang", F.col("n_chars") + 1, "text"))
+    got = merkle.manifest(docs, extra={"claim": claim})
+    got = got.select(F.col("key").alias("doc_id"), *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")], merkle.proof_digest("proof").alias("proof_sha256"), merkle.folded(F.coalesce("claim", "leaf"), "proof").alias("folded_root"))
+    return got.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}

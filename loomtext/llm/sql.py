@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .sql_merkle import merkle_sql
 from .sql_mixing import mixing_sql
 
 OP1_WARC = """
@@ -30,4 +31,4 @@ FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_WARC, "op2_minhash": OP2_MINHASH, "op6_mixing": mixing_sql()}
+    return {"op1_warc": OP1_WARC, "op2_minhash": OP2_MINHASH, "op6_mixing": mixing_sql(), "op11_merkle": merkle_sql()}
