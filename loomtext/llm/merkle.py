@@ -25,6 +25,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .ordinal import numbered
 from .store import materialize, tune
@@ -80,7 +81,7 @@ def _steps(proof: bytes):
         at = end
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(leaf: pd.Series, proof: pd.Series) -> pd.Series:
     """The root that a leaf and its proof lead to."""
     out = []
@@ -92,7 +93,7 @@ def folded(leaf: pd.Series, proof: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def proof_digest(proof: pd.Series) -> pd.Series:
     """H of a proof's siblings, level by level, left to right."""
     return pd.Series([hashlib.sha256(b"".join(a + b for a, b in _steps(bytes(p))).hex().encode()).hexdigest() for p in proof], dtype=object)

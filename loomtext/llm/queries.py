@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kneser, media, merkle, minhash, mixing, suffix, tokens, toxicity, urls, warc
+from . import decontam, kneser, media, merkle, minhash, mixing, suffix, tokens, toxicity, trie, urls, warc
+from .ordinal import numbered
+from .store import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,5 +85,24 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations with the first turns of their hundred's first one, and all their ids: (c, depth, role, text), (conv_id)."""
+    kept = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("c"), "turn", *[F.coalesce(x, F.lit("")).alias(x) for x in ("role", "text")])
+    placed = materialize(numbered(kept, "c", ["turn", "role", "text"], "turns-placed"), "turns-numbered")
+    convs = placed.select("c", "n").distinct().select("c", (F.crc32(F.col("c").cast("string")) % 6).alias("h"), (F.col("c") - F.col("c") % 100).alias("base"))
+    # A base gives five turns at most, to a hundred conversations at most.
+    heads = materialize(placed.where("c % 100 = 0 AND i < 5").select(F.col("c").alias("base"), "n", "i", "role", "text"), "heads")
+    convs = materialize(convs.join(heads.select("base", "n").distinct(), "base", "left").select("c", "base", "h", F.least("h", F.coalesce("n", F.lit(0))).alias("taken")), "convs")
+    lent = convs.join(heads, "base").where("i < h").select("c", F.col("i").alias("depth"), "role", "text")
+    own = placed.join(convs, "c").where("i >= h").select("c", (F.col("taken") + F.col("i") - F.col("h")).alias("depth"), "role", "text")
+    return lent.union(own).withColumnRenamed("c", "conv_id"), convs.select(F.col("c").alias("conv_id"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    turns, convs = rebuilt(_table(spark, sf_dir, "conversations"))
+    return trie.trie(turns, convs, order=("depth",))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .sql_merkle import merkle_sql
 from .sql_mixing import mixing_sql
+from .sql_trie import trie_sql
 
 OP1_WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -31,4 +32,4 @@ FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_WARC, "op2_minhash": OP2_MINHASH, "op6_mixing": mixing_sql(), "op11_merkle": merkle_sql()}
+    return {"op1_warc": OP1_WARC, "op2_minhash": OP2_MINHASH, "op6_mixing": mixing_sql(), "op11_merkle": merkle_sql(), "op12_trie": trie_sql()}
