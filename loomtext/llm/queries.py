@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kneser, media, merkle, minhash, mixing, suffix, tokens, toxicity, trie, urls, warc
+from . import decontam, kneser, media, merkle, minhash, mixing, ngramjoin, suffix, tokens, toxicity, trie, urls, warc
 from .ordinal import numbered
 from .store import materialize
 
@@ -104,5 +104,10 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(turns, convs, order=("depth",))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles are alike, by vertical partitioning."""
+    return ngramjoin.jaccard_join(_table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}

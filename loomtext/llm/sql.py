@@ -18,18 +18,23 @@ FROM q
 """
 
 
-OP2_MINHASH = r"""
+_LINKED = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i, i + 3), ' ')) AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i) WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i, i + <width> - 1), ' ')) AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - <width> + 1, 1) + 1)) AS i) WHERE len(ws) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
 r AS (SELECT doc_id, doc_id AS node FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.node),
 c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id<kept>
 FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def linked_sql(width: int, kept: bool) -> str:
+    """Components of documents whose shingles are alike."""
+    return _LINKED.replace("<width>", str(width)).replace("<kept>", ", w.doc_id = c.component_id AS kept" if kept else "")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_WARC, "op2_minhash": OP2_MINHASH, "op6_mixing": mixing_sql(), "op11_merkle": merkle_sql(), "op12_trie": trie_sql()}
+    return {"op1_warc": OP1_WARC, "op2_minhash": linked_sql(4, kept=True), "op6_mixing": mixing_sql(), "op11_merkle": merkle_sql(), "op12_trie": trie_sql(), "op13_ngram_join": linked_sql(5, kept=False)}
