@@ -36,12 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kneser import NO_KEY, among
 from .minhash import WordHash, _mix, components, shingle_hashes, word_split
 from .store import forget, materialize, release, shuffle_width, tune, worker_cache
 
 #: N-grams that a task holds before it deals them to fragments, documents among them, and fragments per shuffle partition.
 HELD, DOCS, SPREAD = 2_000_000, 65_000, 3
+#: Bits of the bitmap of keys whose texts are read again, and what stands for no key.
+BITS, NO_KEY = 1 << 26, -(1 << 62)
 #: Fragments of the order by frequency, and how many of them are counted before pairs are dropped.
 FRAGMENTS, EARLY = 8, 3
 
@@ -113,7 +114,10 @@ SKETCH = ["key", "n", "content", "met", "load", "place", "fragment", "places", "
 
 
 def met_elsewhere(parts: DataFrame) -> DataFrame:
-    """(load, place, met): how many n-grams of a document a document of another load has, added up over the fragments."""
+    """(load, place, met): how many n-grams of a document a document of another load has, added up over the fragments.
+
+    A fragment's counts leave it as one row for each load.
+    """
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["hashes"]), "<u4")
@@ -125,10 +129,18 @@ def met_elsewhere(parts: DataFrame) -> DataFrame:
         shared = order[np.repeat(size > 1, size)]
         shared = shared[place[shared] != 65535]
         which, n = np.unique(row[shared] * 65536 + place[shared], return_counts=True)
-        return pd.DataFrame({"load": pdf["load"].to_numpy()[which // 65536], "place": which % 65536, "met": n})
+        cut = np.flatnonzero(np.r_[True, which[1:] // 65536 != which[:-1] // 65536]) if len(which) else np.zeros(0, np.int64)
+        at, ends = which // 65536, np.r_[cut[1:], len(which)][: len(cut)]
+        low, n = (which % 65536).astype("<u2"), n.astype("<u4")
+        return pd.DataFrame({"load": pdf["load"].to_numpy()[at[cut]], "places": [low[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], "counts": [n[a:z].tobytes() for a, z in zip(cut, ends, strict=True)]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.bincount(np.frombuffer(b"".join(pdf["places"]), "<u2"), np.frombuffer(b"".join(pdf["counts"]), "<u4"))
+        place = np.flatnonzero(total)
+        return pd.DataFrame({"load": pdf["load"].iloc[0], "place": place, "met": total[place].astype(np.int64)})
 
-    counts = parts.groupBy("fragment").applyInPandas(count, "load long, place long, met long")
-    return counts.groupBy("load", "place").agg(F.sum("met").alias("met"))
+    counts = parts.groupBy("fragment").applyInPandas(count, "load long, places binary, counts binary")
+    return counts.groupBy("load").applyInPandas(add, "load long, place long, met long")
 
 
 def full_sets(docs: DataFrame, live: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -143,7 +155,13 @@ def full_sets(docs: DataFrame, live: DataFrame, key: str, text: str, width: int)
             yield pd.DataFrame({"key": batch["k"], "content": [xxhash.xxh3_128_digest(w.tobytes()) for w in words], "set": [_mix(shingle_hashes(w, width)).view(np.int64) for w in words]})
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).where("k IS NOT NULL")
-    read = among(rows, live.select(F.col("key").alias("k")).distinct()).select("k", "t").mapInPandas(run, "key long, content binary, set array<long>")
+    # A bitmap of hashed keys, BITS / 8 bytes whatever their number, lets few other texts through; none is shuffled.
+    h = F.pmod(F.xxhash64("k"), F.lit(BITS))
+    placed = lambda d: d.withColumn("b_", F.floor(h / 32768).cast("long")).withColumn("p_", (h % 32768).cast("long"))
+    bitmap = placed(live.select(F.col("key").alias("k"))).groupBy("b_").agg(F.expr("bitmap_construct_agg(p_)").alias("bits_"))
+    byte = F.expr("cast(conv(hex(substring(bits_, cast(p_ div 8 as int) + 1, 1)), 16, 10) as int)")
+    near = placed(rows).join(F.broadcast(bitmap), "b_").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(p_ % 8 as int))")) != 0)
+    read = near.select("k", "t").mapInPandas(run, "key long, content binary, set array<long>")
     return read.join(live, ["key", "content"]).groupBy("id").agg(F.first("n").alias("n"), F.first("set").alias("set"))
 
 
