@@ -40,9 +40,11 @@ from .minhash import WordHash, _mix, components, shingle_hashes, word_split
 from .store import forget, materialize, release, shuffle_width, tune, worker_cache
 
 #: N-grams that a task holds before it deals them to fragments, documents among them, and fragments per shuffle partition.
-HELD, DOCS, SPREAD = 2_000_000, 65_000, 3
+HELD, DOCS, SPREAD = 1_000_000, 65_000, 3
 #: Bits of the bitmap of keys whose texts are read again, and what stands for no key.
 BITS, NO_KEY = 1 << 26, -(1 << 62)
+#: Words whose hashes a worker remembers: two workers have to fit beside an executor.
+WORDS = 60_000
 #: Fragments of the order by frequency, and how many of them are counted before pairs are dropped.
 FRAGMENTS, EARLY = 8, 3
 
@@ -71,7 +73,7 @@ def drafted(docs: DataFrame, key: str, text: str, width: int, percent: int, frag
         import xxhash
         from pyspark import TaskContext
 
-        hashed, part, seq = worker_cache("words", WordHash), TaskContext.get().partitionId(), 0
+        hashed, part, seq = worker_cache("fewer_words", lambda: WordHash(WORDS)), TaskContext.get().partitionId(), 0
 
         def dealt(rows: list[tuple], firsts: list[np.ndarray]) -> pd.DataFrame:
             nonlocal seq
@@ -149,7 +151,7 @@ def full_sets(docs: DataFrame, live: DataFrame, key: str, text: str, width: int)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        hashed = worker_cache("words", WordHash)
+        hashed = worker_cache("fewer_words", lambda: WordHash(WORDS))
         for batch in batches:
             words = [hashed(word_split(t)) for t in batch["t"]]
             yield pd.DataFrame({"key": batch["k"], "content": [xxhash.xxh3_128_digest(w.tobytes()) for w in words], "set": [_mix(shingle_hashes(w, width)).view(np.int64) for w in words]})
