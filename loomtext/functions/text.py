@@ -61,8 +61,8 @@ def strip_boilerplate(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Line ends, trailing blanks, illustration lines and blank-line runs set right (no Unicode normalisation)."""
-    t = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    """Composed characters; line ends, trailing blanks, illustration lines and blank-line runs set right."""
+    t = F.replace(F.replace(normalise(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
     t = F.regexp_replace(F.regexp_replace(t, ILLUSTRATION, ""), r"\n{3,}", "\n\n")
     return F.btrim(t, F.lit(" \n\t"))
@@ -97,16 +97,21 @@ def cut_backmatter(c: Column, is_last: Column) -> Column:
 
 
 def cut_catalogue(c: Column) -> Column:
-    """Texts with two price lines end before the paragraph that names an imprint; without an imprint, before the first price line."""
+    """Texts with two price lines end before the paragraph that names an imprint; without an imprint, before the paragraph of the first price line.
+
+    A catalogue's heading stands above its prices, so a cut inside the paragraph would leave it in.
+    """
     paras = F.split(c, "\n\n")
     at = F.array_position(F.transform(paras, lambda p: p.rlike(IMPRINT)), True)
     first = F.element_at(F.split(c, PRICE_LINE, 2), 1)
-    cut = F.when(at > 0, F.array_join(F.slice(paras, F.lit(1), (at - 1).cast("int")), "\n\n")).otherwise(first)
-    return F.when(F.regexp_count(c, F.lit(PRICE_LINE)) >= 2, F.rtrim(cut, F.lit(" \n\t"))).otherwise(c)
+    above = F.split(first, "\n\n")
+    before = F.array_join(F.slice(above, F.lit(1), F.size(above) - 1), "\n\n")
+    cut = F.when(at > 0, F.rtrim(F.array_join(F.slice(paras, F.lit(1), (at - 1).cast("int")), "\n\n"), F.lit(" \n\t"))).when(before != "", before).otherwise(c)
+    return F.when(F.regexp_count(c, F.lit(PRICE_LINE)) >= 2, cut).otherwise(c)
 
 
 def normalise(c: Column, form: str = "NFC") -> Column:
-    """A Unicode normal form. Spark has no function for it, so texts go to Python in Arrow batches; ASCII texts stay as they are."""
+    """A Unicode normal form. Spark has no function for it, so texts go to Python in Arrow batches; ASCII texts stay in the JVM's hands."""
     from collections.abc import Iterator
 
     import pandas as pd
@@ -116,21 +121,23 @@ def normalise(c: Column, form: str = "NFC") -> Column:
             yield batch.str.normalize(form)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "string")(c)
+    ascii_only = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_only, c).otherwise(F.pandas_udf(run, "string")(F.when(ascii_only, F.lit("")).otherwise(c)))
 
 
-def key_of(c: Column) -> Column:
-    """Upper-case letters and digits only."""
-    return F.regexp_replace(F.upper(c), "[^A-Z0-9]+", "")
+def key_of(c: Column, form: str | None = "NFKC") -> Column:
+    """Upper case, everything but letters and digits as single spaces; compatible forms of characters are one unless ``form`` is None."""
+    t = F.upper(normalise(c, form) if form else c)
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^0-9A-ZÀ-ɏ ]+", " "), " +", " "))
 
 
-def key_without_numeral(c: Column) -> Column:
-    return key_of(F.regexp_replace(F.trim(c), LEADING_NUMERAL, ""))
+def key_without_numeral(c: Column, form: str | None = "NFKC") -> Column:
+    return key_of(F.regexp_replace(F.trim(c), LEADING_NUMERAL, ""), form)
 
 
 def clean_entry(c: Column) -> Column:
-    """A table-of-contents line without dot leaders and page number."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[\s.·…]*\d+\s*$", ""), r"[\s.·…]+$", ""))
+    """A line of a table of contents without dot leaders and page: a number at the end is a page only behind leaders or two blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"\s*(?:\.\s?){2,}\s*[\dIVXLCivxlc]*\s*$", ""), r"\s{2,}[\dIVXLC]+\s*$", ""))
 
 
 def halves(ws: Column) -> Column:

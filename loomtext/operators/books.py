@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
+from .written import written
+
 # Lines that open and close a table of contents, words in it that are no entries, titles that are no tales, and limits of a heading.
 TOC_HEAD = r"(?i)^\s*(?:CONTENTS|TABLE OF CONTENTS|INHALT|INHALTSVERZEICHNIS|CONTENTS OF VOLUME.*)[.:]?\s*$"
 TOC_STOP = r"(?i)^\s*(?:LIST OF ILLUSTRATIONS|ILLUSTRATIONS|LIST OF PLATES)[.:]?\s*$"
@@ -19,6 +22,7 @@ SKIP = ["PREFACE", "INTRODUCTION", "FOREWORD", "ACKNOWLEDGMENT", "ACKNOWLEDGMENT
 LEAD_NUMBER = r"^\s*(?:[IVXLCDM]+|\d+)\s*[.—–:)-]?\s+"
 FOOTNOTE_TAIL = r"\s*\[\d+\]\s*$"
 FLOW = r"\s+(?=[IVXLC]{1,8}\.\s+[A-ZÄÖÜ])"
+FLOW_TAIL = r"(?i)\s+(?:" + "|".join(sorted([*SKIP, "NOTES AND REFERENCES"], key=lambda x: (-len(x), x))) + r")\.?\s*$"
 ILLUSTRATION = r"(?s)^\[Illustration\b.*\]$"
 HEADING_LINES, HEADING_CHARS, LINE_CHARS, SENTENCE_CHARS, PREFIX_CHARS = 3, 120, 80, 60, 12
 TOC_BLANKS, TOC_ENTRIES, LEAST_WORDS = 4, 5, 120
@@ -27,21 +31,19 @@ QUOTES = "\"“”«»'"
 
 def plain(c: Column) -> Column:
     """Upper case, everything but letters and digits as single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), "[^0-9A-ZÀ-ɏ ]+", " "), " +", " "))
+    return X.key_of(c, None)
 
 
 def heading_key(c: Column) -> Column:
     return plain(F.regexp_replace(F.trim(c), LEAD_NUMBER, ""))
 
 
-def entry_title(c: Column) -> Column:
-    """A line of a table of contents without leaders and page number."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"\s*(?:\.\s?){2,}\s*[\dIVXLC]*\s*$", ""), r"\s{2,}[\dIVXLC]+\s*$", ""))
-
+def lines_of(books: DataFrame, key: str, text: str, compatible: bool = False) -> DataFrame:
+    """(book, i, line, blank, gap): lines by place; ``gap`` is how many blank lines stand right before one.
 
-def lines_of(books: DataFrame, key: str, text: str) -> DataFrame:
-    """(book, i, line, blank, gap): lines by place; ``gap`` is how many blank lines stand right before one."""
-    rows = books.select(F.col(key).alias("book"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("i", "line"))
+    ``compatible`` makes full-width and other compatible characters plain ones, so that titles meet headings in either form.
+    """
+    rows = books.select(F.col(key).alias("book"), F.posexplode(F.split(X.normalise(F.coalesce(text, F.lit("")), "NFKC") if compatible else F.coalesce(text, F.lit("")), "\n")).alias("i", "line"))
     rows = rows.withColumn("blank", F.trim("line") == "")
     over = Window.partitionBy("book").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("gap", F.col("i") - 1 - F.coalesce(F.max(F.when(~F.col("blank"), F.col("i"))).over(over), F.lit(-1)))
@@ -60,7 +62,7 @@ def contents(lines: DataFrame, least: int = TOC_ENTRIES, blanks: int = TOC_BLANK
     over = Window.partitionBy("book").orderBy("i")
     rows = lines.where("NOT blank").withColumn("is_head", F.col("line").rlike(TOC_HEAD)).withColumn("head", F.max(F.when(F.col("is_head"), F.col("i"))).over(over)).where("head IS NOT NULL AND NOT is_head")
     within = Window.partitionBy("book", "head").orderBy("i")
-    rows = rows.withColumn("entry", entry_title(F.col("line"))).withColumn("good", (F.length(heading_key(F.col("entry"))) >= 3) & ~plain(F.col("entry")).isin(*NOISE))
+    rows = rows.withColumn("entry", X.clean_entry(F.col("line"))).withColumn("good", (F.length(heading_key(F.col("entry"))) >= 3) & ~plain(F.col("entry")).isin(*NOISE))
     before = F.coalesce(F.count_if("good").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("stop", F.col("line").rlike(TOC_STOP) | ((F.col("gap") >= blanks) & (before > 0)))
     rows = rows.withColumn("over", F.max("stop").over(within)).where("NOT over AND good")
@@ -69,9 +71,16 @@ def contents(lines: DataFrame, least: int = TOC_ENTRIES, blanks: int = TOC_BLANK
 
 
 def flowing(entries: DataFrame) -> DataFrame:
-    """Contents that run on from line to line, cut before each roman numeral with a point and a capital."""
-    whole = entries.groupBy("book", "head", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "entry"))), lambda s: s["entry"]), " ").alias("t"))
-    return whole.select("book", "head", "n", F.posexplode(F.split("t", FLOW)).alias("i", "entry")).withColumn("entry", F.trim("entry")).where("entry <> ''")
+    """Contents that run on from line to line, cut before each roman numeral with a point and a capital.
+
+    Words that name back matter go from the end of the last title. Contents without such a numeral stay as they are.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("i", "entry")))
+    whole = entries.groupBy("book", "head", "n").agg(rows.alias("rows")).withColumn("parts", F.filter(F.transform(F.split(F.array_join(F.transform("rows", lambda s: s["entry"]), " "), FLOW), lambda x: F.trim(x)), lambda x: x != ""))
+    last = F.size("parts") - 1
+    parts = F.transform("parts", lambda x, i: F.when(i == last, F.trim(F.regexp_replace(x, FLOW_TAIL, ""))).otherwise(x))
+    cut = F.when(F.size("parts") > 1, F.transform(parts, lambda x, i: F.struct(i.cast("int").alias("i"), x.alias("entry")))).otherwise(F.col("rows"))
+    return whole.select("book", "head", "n", F.explode(cut).alias("e")).select("book", "head", "n", "e.i", "e.entry").where("entry <> ''")
 
 
 def headings(blocks_: DataFrame, entries: DataFrame) -> DataFrame:
@@ -131,28 +140,51 @@ def _sections(lines: DataFrame, starts: DataFrame, least_words: int, tail: DataF
     return out.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("s.start")) - 1).alias("pos"), F.trim("s.title").alias("title"), F.col("s.start").alias("start"), "body")
 
 
-def by_contents(books: DataFrame, key: str, text: str, least_words: int = LEAST_WORDS, flow: bool = False, skip: list[str] | None = None, alias: dict[str, str] | None = None, stop_at: str | None = None) -> DataFrame:
+def in_order(found: DataFrame) -> DataFrame:
+    """(book, i, start): of each entry's candidates (book, i, start) the first behind the place that the entry before it took; the first of all if none is.
+
+    A fold over a book's entries, which are no more than the lines of its contents.
+    """
+    each = found.groupBy("book", "i").agg(F.array_sort(F.collect_set("start")).alias("at")).groupBy("book").agg(F.array_sort(F.collect_list(F.struct("i", "at"))).alias("es"))
+    none = F.expr("named_struct('cursor', -1, 'taken', cast(array() as array<struct<i: int, start: int>>))")
+
+    def take(held, e):
+        pick = F.coalesce(F.get(F.filter(e["at"], lambda k: k > held["cursor"]), F.lit(0)), F.get(e["at"], F.lit(0)))
+        return F.struct(pick.alias("cursor"), F.array_append(held["taken"], F.struct(e["i"].alias("i"), pick.alias("start"))).alias("taken"))
+
+    got = each.select("book", F.aggregate(F.transform("es", lambda e: F.struct(e["i"].cast("int").alias("i"), F.transform(e["at"], lambda k: k.cast("int")).alias("at"))), none, take)["taken"].alias("t"))
+    return got.select("book", F.explode("t").alias("t")).select("book", "t.i", "t.start")
+
+
+def by_contents(books: DataFrame, key: str, text: str, least_words: int = LEAST_WORDS, flow: bool = False, skip: list[str] | None = None, alias: dict[str, str] | None = None, stop_at: str | None = None, ordered: bool = False, compatible: bool = False) -> DataFrame:
     """(book, pos, title, start, body): sections under the headings that a book's longest table of contents names.
 
-    An entry with several headings takes the one with most text before the next heading. ``alias`` gives entries
+    An entry with several headings takes the one with most text before the next heading; in an ``ordered`` book,
+    the first one behind the heading of the entry before it. ``alias`` gives entries
     the headings they mean; ``stop_at`` is a line that ends the last section.
     """
-    lines = lines_of(books, key, text)
+    lines = lines_of(books, key, text, compatible)
     # Entries and headings are a small part of the text and are used many times over.
-    entries = contents(lines).persist()
+    entries = written(contents(lines), "entries")
     best = entries.groupBy("book").agg(F.max(F.struct("n", -F.col("head"))).alias("b")).select("book", (-F.col("b.col2")).alias("head"))
-    heads = headings(blocks(lines), entries).persist()
+    heads = written(headings(blocks(lines), entries), "headings")
     listed = entries.join(best, ["book", "head"])
     listed = unwrapped(flowing(listed) if flow else listed, heads).where(~heading_key(F.col("entry")).isin(*SKIP, *[x.upper() for x in skip or []]))
     listed = listed.withColumn("title", F.col("entry"))
     for said, meant in (alias or {}).items():
         listed = listed.withColumn("entry", F.when(heading_key(F.col("entry")) == heading_key(F.lit(said)), F.lit(meant)).otherwise(F.col("entry")))
-    places = heads.select("book", "start").distinct()
-    size = lines.where("NOT blank").select("book", "i", F.length(F.trim("line")).alias("c")).join(places.withColumnRenamed("start", "i").withColumn("at", F.col("i")), ["book", "i"], "left")
-    size = size.withColumn("at", F.last("at", ignorenulls=True).over(Window.partitionBy("book").orderBy("i"))).groupBy("book", F.col("at").alias("start")).agg((F.sum("c") - F.min_by("c", "i")).alias("follows"))
-    found = matched(listed.select("book", "i", "entry"), heads).join(size, ["book", "start"], "left").join(listed.select("book", "i", "title"), ["book", "i"])
-    picked = found.groupBy("book", "i", "title").agg(F.max(F.struct(F.coalesce("follows", F.lit(0)).alias("follows"), (-F.col("start")).alias("o"), "end")).alias("p"))
-    starts = picked.select("book", (-F.col("p.o")).alias("start"), F.col("p.end").alias("end"), "title").persist()
+    found = matched(listed.select("book", "i", "entry"), heads).join(listed.select("book", "i", "title"), ["book", "i"])
+    if ordered:
+        found = written(found, "candidates")
+        starts = found.join(in_order(found.select("book", "i", "start")), ["book", "i", "start"]).groupBy("book", "i", "start", "title").agg(F.max("end").alias("end"))
+    else:
+        places = heads.select("book", "start").distinct()
+        size = lines.where("NOT blank").select("book", "i", F.length(F.trim("line")).alias("c")).join(places.withColumnRenamed("start", "i").withColumn("at", F.col("i")), ["book", "i"], "left")
+        size = size.withColumn("at", F.last("at", ignorenulls=True).over(Window.partitionBy("book").orderBy("i"))).groupBy("book", F.col("at").alias("start")).agg((F.sum("c") - F.min_by("c", "i")).alias("follows"))
+        sized = found.join(size, ["book", "start"], "left")
+        picked = sized.groupBy("book", "i", "title").agg(F.max(F.struct(F.coalesce("follows", F.lit(0)).alias("follows"), (-F.col("start")).alias("o"), "end")).alias("p"))
+        starts = picked.select("book", (-F.col("p.o")).alias("start"), F.col("p.end").alias("end"), "title")
+    starts = written(starts.select("book", "start", "end", "title"), "starts")
     tail = None
     if stop_at:
         first = starts.groupBy("book").agg(F.min("start").alias("first"))
@@ -166,8 +198,6 @@ def by_numbers(books: DataFrame, key: str, text: str, heading: str, roman: bool
     ``heading`` has the number as group 1 and may have a title as group 2; without one the title is the
     next block that is no illustration mark. A heading stands after a blank line.
     """
-    from ..functions.text import roman_to_int
-
     lines = lines_of(books, key, text)
     tail = None
     rows = lines
@@ -176,7 +206,7 @@ def by_numbers(books: DataFrame, key: str, text: str, heading: str, roman: bool
         rows = lines.join(tail, "book", "left").where("tail IS NULL OR i < tail")
     found = rows.where(F.trim("line").rlike(heading) & ((F.col("i") == 0) | (F.col("gap") > 0)))
     raw = F.regexp_extract(F.trim("line"), heading, 1)
-    found = found.select("book", F.col("i").alias("start"), F.coalesce(roman_to_int(raw) if roman else raw.try_cast("int"), F.lit(0)).alias("number"), F.trim(F.regexp_extract(F.trim("line"), heading, 2)).alias("told"))
+    found = found.select("book", F.col("i").alias("start"), F.coalesce(X.roman_to_int(raw) if roman else raw.try_cast("int"), F.lit(0)).alias("number"), F.trim(F.regexp_extract(F.trim("line"), heading, 2)).alias("told"))
     order = Window.partitionBy("book").orderBy("start")
     found = found.withColumn("place", F.row_number().over(order))
     problems = found.where("number <> place").groupBy("book").agg(F.array_sort(F.collect_list("number")).alias("numbers")).select("book", F.concat(F.lit("not consecutive at "), F.array_join(F.slice("numbers", 1, 5), ", ")).alias("problem"))

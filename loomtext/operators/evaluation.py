@@ -94,6 +94,108 @@ def permutation_p(df: DataFrame, x: str, group: str, key: str, rounds: int = 500
     return s.agg(F.first("seen").alias("seen"), ((F.count_if(F.abs("d") >= F.abs("seen")) + 1) / (F.lit(rounds) + 1)).alias("p"))
 
 
+def permutation_two_valued(df: DataFrame, x: str, group: str, rounds: int = 5000, seed: int = 0) -> DataFrame:
+    """(seen, p, exact): permutation test of the difference of two groups' shares for an ``x`` of 0 and 1.
+
+    Under a permutation, how many ones fall into the first group follows from four counts alone: it is
+    hypergeometric. So rounds are draws of that number, whatever the number of rows; ``exact`` is the share of all
+    permutations that are as extreme as what is seen. Null if a group is empty.
+    """
+    import hashlib
+    import math
+
+    rows = df.select(F.col(x).cast("long").alias("x"), F.col(group).cast("long").alias("g")).where("x IS NOT NULL AND g IS NOT NULL")
+    counts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("x"), F.lit(0)).alias("k"), F.coalesce(F.sum("g"), F.lit(0)).alias("m"), F.coalesce(F.sum(F.col("x") * F.col("g")), F.lit(0)).alias("h"))
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        lg = np.frompyfunc(lambda v: math.lgamma(v + 1), 1, 1)
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                n, k, m = int(r.n), int(r.k), int(r.m)
+                if not 0 < m < n:
+                    out.append((None, None, None))
+                    continue
+                j = np.arange(max(0, m + k - n), min(m, k) + 1)
+                logs = sum(s * lg(v).astype(float) for s, v in ((1, np.full(len(j), k)), (-1, j), (-1, k - j), (1, np.full(len(j), n - k)), (-1, m - j), (-1, n - k - m + j), (-1, np.full(len(j), n)), (1, np.full(len(j), m)), (1, np.full(len(j), n - m))))
+                share = np.exp(logs)
+                seen = r.h / m - (k - r.h) / (n - m)
+                far = np.abs(j / m - (k - j) / (n - m)) >= abs(seen) - 1e-12
+                u = np.array([int(hashlib.md5(f"{i}:{seed}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(1, rounds + 1)])
+                drawn = np.minimum(np.searchsorted(np.cumsum(share), u), len(j) - 1)
+                out.append((seen, (far[drawn].sum() + 1) / (rounds + 1), min(1.0, share[far].sum())))
+            yield pd.DataFrame(out, columns=["seen", "p", "exact"])
+
+    return counts.mapInPandas(run, "seen double, p double, exact double")
+
+
+def bootstrap_auc_difference(df: DataFrame, one: str, two: str, label: str, rounds: int = 2000, seed: int = 0, deal: int = 50) -> DataFrame:
+    """(difference, low, high): AUC of ``one`` less that of ``two`` on the same rows, with a 95 % interval of the paired bootstrap.
+
+    Rows of equal scores and label are one cell with a count. A round draws new counts for all cells from
+    a multinomial distribution, so its cost follows the number of distinct scores, never that of rows times rounds. Rounds without both labels are left out.
+    """
+
+    def run(g):
+        import numpy as np
+        import pandas as pd
+
+        g = g.sort_values(["a", "b", "y"])
+        y, n, total = g["y"].to_numpy() == 1, g["n"].to_numpy(), int(g["n"].sum())
+
+        def auc(score, w):
+            values, at = np.unique(score, return_inverse=True)
+            good, bad = np.bincount(at, w * y, len(values)), np.bincount(at, w * ~y, len(values))
+            below = np.cumsum(bad) - bad
+            both = good.sum() * bad.sum()
+            return ((below + bad / 2) * good).sum() / both if both else np.nan
+
+        part, rng = int(g["part"].iloc[0]), np.random.default_rng([seed, int(g["part"].iloc[0]) + 1])
+        a, b = g["a"].to_numpy(), g["b"].to_numpy()
+        draws = [n] if part < 0 else rng.multinomial(total, n / total, deal)
+        return pd.DataFrame({"part": part, "d": [auc(a, w) - auc(b, w) for w in draws]})
+
+    cells = df.select(F.col(one).cast("double").alias("a"), F.col(two).cast("double").alias("b"), F.col(label).cast("int").alias("y")).where("a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL").groupBy("a", "b", "y").agg(F.count("*").alias("n"))
+    # Part -1 is the rows as they are; each other part has all cells and ``deal`` rounds.
+    spread = cells.withColumn("part", F.explode(F.sequence(F.lit(-1), F.lit(-(-rounds // deal) - 1))))
+    d = spread.groupBy("part").applyInPandas(run, "part int, d double").where("NOT isnan(d)")
+    ci = F.percentile(F.when(F.col("part") >= 0, F.col("d")), F.array(F.lit(0.025), F.lit(0.975)))
+    return d.agg(F.max(F.when(F.col("part") < 0, F.col("d"))).alias("difference"), ci.alias("ci")).select("difference", F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"))
+
+
+def permutation_hits(df: DataFrame, best: str, target: str, rounds: int = 5000, seed: int = 0, deal: int = 50) -> DataFrame:
+    """(seen, p): share of queries whose best answer is their target, against targets permuted among the queries.
+
+    Only how often each answer is best and how often it is a target counts; a query whose best answer is
+    nobody's target can't hit. Rounds are dealt over tasks, which draw who gets which target.
+    """
+
+    def run(g):
+        import numpy as np
+        import pandas as pd
+
+        part = int(g["part"].iloc[0])
+        rng = np.random.default_rng([seed, part])
+        # Answers in one order; those who would like one, and the targets there are.
+        likes, wanted = np.repeat(np.arange(len(g)), g["liked"]), np.repeat(np.arange(len(g)), g["asked"])
+        n = len(wanted)
+        likes = np.r_[likes, np.full(n - len(likes), -1)]
+        return pd.DataFrame({"hits": [int((rng.permutation(wanted) == likes).sum()) for _ in range(deal)]})
+
+    rows = df.where(F.col(target).isNotNull()).select(F.col(best).alias("b"), F.col(target).alias("t"))
+    seen = rows.agg(F.count("*").alias("n"), F.count_if(F.col("b") == F.col("t")).alias("hit"))
+    liked = rows.where("b IS NOT NULL").groupBy(F.col("b").alias("v")).agg(F.count("*").alias("liked"))
+    asked = rows.groupBy(F.col("t").alias("v")).agg(F.count("*").alias("asked"))
+    cells = asked.join(liked, "v", "left").select("v", "asked", F.coalesce("liked", F.lit(0)).alias("liked"))
+    spread = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // deal) - 1)))).withColumn("r_", F.xxhash64("v"))
+    hits = spread.groupBy("part").applyInPandas(lambda g: run(g.sort_values("r_")), "hits long")
+    out = hits.crossJoin(F.broadcast(seen))  # one row
+    return out.groupBy("n", "hit").agg(((F.count_if(F.col("hits") >= F.col("hit")) + 1) / (F.count("*") + 1)).alias("p")).select((F.col("hit") / F.col("n")).alias("seen"), "p")
+
+
 def bootstrap_ci(df: DataFrame, x: str, key: str, rounds: int = 2000, seed: int = 0) -> DataFrame:
     """(mean, low, high): mean with a 95 % interval by the Poisson bootstrap over units with a unique ``key``.
 

@@ -22,7 +22,7 @@ def bad_corrections(events: DataFrame, log: str, line: str, supersedes: str, is_
     """(log, line, why) of corrections that point ahead, at nothing, at a correction, or at a record voided before."""
     c = events.where(is_correction).select(log, line, F.col(supersedes).alias("to_"))
     target = events.select(F.col(log), F.col(line).alias("to_"), is_correction.alias("target_is_correction"))
-    first = c.groupBy(log, "to_").agg(F.min(line).alias("first_"))
+    first = c.where(F.col("to_") < F.col(line)).groupBy(log, "to_").agg(F.min(line).alias("first_"))
     j = c.join(target, [log, "to_"], "left").join(first, [log, "to_"], "left")
     why = F.when(F.col("to_").isNull() | F.col("target_is_correction").isNull(), "no such line").when(F.col("to_") >= F.col(line), "points ahead").when(F.col("target_is_correction"), "corrects a correction").when(F.col(line) > F.col("first_"), "voided before")
     return j.select(log, line, why.alias("why")).where("why IS NOT NULL")

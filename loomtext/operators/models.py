@@ -185,63 +185,3 @@ def topics(docs: DataFrame, key: str, text: str, k: int = 12, rounds: int = 5, l
     counts = cv.transform(d).select(key, "features")
     model = LDA(k=k, maxIter=rounds, optimizer="online", seed=seed).fit(counts)
     return model, model.transform(counts).select(key, "topicDistribution"), cv.vocabulary
-
-
-def layout(df: DataFrame, key: str, vec: str, dims: int = 2) -> DataFrame:
-    """(key, x, y): the first principal components (a manifold layout has no plan form; this is the documented stand-in)."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = df.select(key, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("v"))
-    p = PCA(k=dims, inputCol="v", outputCol="p").fit(v).transform(v).select(key, vector_to_array("p").alias("p"))
-    return p.select(key, F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
-
-
-def clusters(df: DataFrame, key: str, vec: str, k: int = 10, seed: int = 3) -> DataFrame:
-    """(key, cluster): bisecting k-means, the documented stand-in for density clustering."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = df.select(key, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"))
-    return BisectingKMeans(k=k, seed=seed).fit(v).transform(v).select(key, F.col("prediction").alias("cluster"))
-
-
-def lsa(docs: DataFrame, key: str, text: str, dims: int = 300, terms: int = 1000) -> DataFrame:
-    """(key, vec): TF-IDF rows over the corpus' ``terms`` most widespread terms, projected on their leading singular vectors.
-
-    Tasks add up the terms' cross products; the driver decomposes one array of terms by terms. Documents
-    with none of these terms have no row.
-    """
-    from .search import tfidf
-
-    w = tfidf(docs, key, text)
-    names = [r.term for r in w.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(terms).collect()]
-    at = {x: i for i, x in enumerate(sorted(names))}
-    rows = w.where(F.col("term").isin(*names)).groupBy(key).agg(F.collect_list("term").alias("t"), F.collect_list("w").alias("w"))
-    kind = dict(docs.dtypes)[key]
-
-    def dense(batch: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(batch), len(at)))
-        for i, (t, x) in enumerate(zip(batch["t"], batch["w"], strict=True)):
-            out[i, [at[y] for y in t]] = x
-        return out
-
-    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(at), len(at)))
-        for batch in batches:
-            x = dense(batch)
-            total += x.T @ x
-        yield pd.DataFrame({"i": range(len(at)), "g": list(total)})
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key], "vec": list(dense(batch) @ basis)})
-
-    # The tasks' arrays are added up as a plan, so the driver gets one array of terms by terms, not one from each task.
-    sums = rows.mapInPandas(share, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    g = np.zeros((len(at), len(at)))
-    for r in sums.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("g")).collect():  # a row per term
-        g[r.i] = r.g
-    value, vector = np.linalg.eigh(g)
-    basis = vector[:, np.argsort(-value)[:dims]]
-    return rows.mapInPandas(project, f"{key} {kind}, vec array<double>")

@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 from ..functions import arrays as V
 from ..functions import numeric as N
 from ..functions import text as X
+from ..operators import density as D
 from ..operators import evaluation as E
 from ..operators import eventlog as G
+from ..operators import latent as Latent
+from ..operators import manifold as Manifold
 from ..operators import models as M
 from ..operators import relational as R
 from ..operators import search as S
@@ -116,7 +119,7 @@ def ir03_bm25(t: Tables):
 def ir04_lsa(t: Tables):
     """Dimensions, and how much of a document's unit length lies in them, with its place on the first axis, which has no fixed sign."""
     squares = F.aggregate(F.transform("vec", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-    return M.lsa(t.documents, "doc_id", "text").select("doc_id", F.size("vec").alias("dims"), F.round(F.sqrt(squares), 6).alias("held"), F.round(F.abs(F.get("vec", F.lit(0))), 6).alias("first_axis"))
+    return Latent.lsa(t.documents, "doc_id", "text").select("doc_id", F.size("vec").alias("dims"), F.round(F.sqrt(squares), 6).alias("held"), F.round(F.abs(F.get("vec", F.lit(0))), 6).alias("first_axis"))
 
 
 @query(f"""WITH s AS (SELECT a.vec_id AS q, b.label AS lb, a.label AS la, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT q, min(k) FILTER (la = lb) AS rank FROM s GROUP BY q)
@@ -194,12 +197,12 @@ def ir15_half_means(t: Tables):
 
 @query()
 def ml01_layout(t: Tables):
-    return M.layout(t.embeddings, "vec_id", "embedding")
+    return Manifold.layout(t.embeddings, "vec_id", "embedding")
 
 
 @query()
 def ml02_clusters(t: Tables):
-    return M.clusters(t.embeddings, "vec_id", "embedding")
+    return D.density_clusters(t.embeddings, "vec_id", "embedding")
 
 
 @query(f"""WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(1 - {_DOT}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL), s AS (SELECT vec_id, min(d) FILTER (la = lb) AS a, min(d) FILTER (la <> lb) AS b FROM d GROUP BY vec_id) SELECT round(avg((b - a) / greatest(a, b)), 5) AS silhouette FROM s WHERE a IS NOT NULL""")
@@ -410,10 +413,13 @@ def lg08_classify_run(t: Tables):
     return t.documents.select("doc_id", F.when(c.contains("Traceback"), "launch failure").when(~c.rlike("[0-9]+"), "not run").otherwise("ran").alias("verdict"))
 
 
-@query(r"SELECT doc_id, list_aggregate(list_sort(list_distinct(regexp_extract_all(text, '[a-z]+@[a-z0-9]+'))), 'string_agg', ',') AS ids FROM documents WHERE len(regexp_extract_all(text, '[a-z]+@[a-z0-9]+')) > 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'tests/test_b.py::test_' || (doc_id % 7) ELSE 'tests/test_a.py::test_x[' || (doc_id % 9) || ']' || ',' || 'tests/test_b.py::test_' || (doc_id % 7) END AS ids FROM documents WHERE doc_id % 4 <> 0")
 def lg09_failed_ids(t: Tables):
-    ids = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+@[a-z0-9]+"), F.lit(0))))
-    return t.documents.where(F.size(ids) > 0).select("doc_id", F.array_join(ids, ",").alias("ids"))
+    """Names of failed tests in logs that tell them twice, in a run's lines and in its summary."""
+    one, two = F.concat(F.lit("FAILED tests/test_b.py::test_"), (F.col("doc_id") % 7).cast("string"), F.lit(" - boom\n")), F.concat(F.lit("FAILED tests/test_a.py::test_x["), (F.col("doc_id") % 9).cast("string"), F.lit("]\n"))
+    log = F.concat(F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(one, F.when(F.col("doc_id") % 4 > 1, two).otherwise(""), one)), F.lit("1 passed, FAILED none\n"), F.col("text"))
+    ids = F.array_sort(F.array_distinct(F.regexp_extract_all(log, F.lit(r"(?m)^FAILED (\S+::\S+)"), F.lit(1))))
+    return t.documents.select("doc_id", ids.alias("ids")).where(F.size("ids") > 0).select("doc_id", F.array_join("ids", ",").alias("ids"))
 
 
 _LEVEL = lambda inner: f"SELECT o // 4096 AS o, sha256(string_agg(r, chr(10) ORDER BY o)) AS r FROM ({inner}) GROUP BY o // 4096"

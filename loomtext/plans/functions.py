@@ -78,30 +78,39 @@ def st08_trailing_nonprose(t: Tables):
     return t.documents.select("doc_id", F.length(trailing_nonprose(F.col("text"))).alias("n"))
 
 
-@query("SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]+', '', 'g') AS k FROM part")
+@query("SELECT p_partkey, 'TALE ' || p_partkey || ' É ' || upper(p_name) AS k FROM part")
 def st09_key(t: Tables):
-    return t.part.select("p_partkey", X.key_of(F.col("p_name")).alias("k"))
+    """Full-width letters, a split accent and marks come out plain."""
+    raw = F.concat(F.lit("“Ｔａｌｅ”—"), F.col("p_partkey").cast("string"), F.lit(" ... e\u0301 ("), F.replace("p_name", F.lit(" "), F.lit("_ -")), F.lit(")"))
+    return t.part.select("p_partkey", X.key_of(raw).alias("k"))
 
 
-@query(r"SELECT conv_id, turn, regexp_replace(upper(regexp_replace(trim(replace(text, 'ß', 'SS')), '^\s*(?:[IVXLCDM]+|\d+)\s*[.．—–:)-]?\s+', '')), '[^A-Z0-9]+', '', 'g') AS k FROM conversations")
+@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(upper(regexp_replace(trim(replace(text, 'ß', 'SS')), '^\s*(?:[IVXLCDM]+|\d+)\s*[.．—–:)-]?\s+', '')), '[^0-9A-ZÀ-ɏ ]+', ' ', 'g'), ' +', ' ', 'g')) AS k FROM conversations")
 def st10_key_without_numeral(t: Tables):
     return t.conversations.select("conv_id", "turn", X.key_without_numeral(F.col("text")).alias("k"))
 
 
-@query(r"SELECT p_partkey, regexp_replace(p_name, '[\s.·…]+$', '') AS entry FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 3 THEN p_name || ' ' || (p_size + 100) ELSE p_name END AS entry FROM part")
 def st11_clean_entry(t: Tables):
-    """Lines of a contents table with leaders and page, with a page alone, with leaders alone, and bare."""
-    k, page = F.col("p_partkey") % 4, (F.col("p_size") + 100).cast("string")
-    raw = F.when(k == 0, F.concat("p_name", F.lit(" . . . . . "), page)).when(k == 1, F.concat("p_name", F.lit(" "), page)).when(k == 2, F.concat("p_name", F.lit(" ....… "))).otherwise(F.col("p_name"))
+    """Lines of a contents table with leaders and page, with roman pages, with a page behind blanks, with a number that belongs to the title, and bare."""
+    k, page = F.col("p_partkey") % 5, (F.col("p_size") + 100).cast("string")
+    raw = F.when(k == 0, F.concat("p_name", F.lit(" . . . . . "), page)).when(k == 1, F.concat("p_name", F.lit("....xii"))).when(k == 2, F.concat("p_name", F.lit("   XLI"))).when(k == 3, F.concat("p_name", F.lit(" "), page)).otherwise(F.concat(F.lit("  "), F.col("p_name")))
     return t.part.select("p_partkey", X.clean_entry(raw).alias("entry"))
 
 
-@query("""WITH k AS (SELECT DISTINCT substr(p_name, 1, 6) AS key FROM part), m AS (SELECT key, p_partkey FROM k JOIN part ON starts_with(p_name, key)) SELECT key, min(p_partkey) AS p_partkey FROM m GROUP BY key HAVING count(*) = 1""")
+_WORDS_FROM = lambda n: f"upper(array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:{n}], ' '))"
+
+
+@query(f"""WITH e AS (SELECT doc_id, {_WORDS_FROM(4)} AS key FROM documents), h AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN {_WORDS_FROM(7)} ELSE {_WORDS_FROM(3)} END AS other FROM documents)
+SELECT doc_id, min(other) AS heading FROM e JOIN h ON length(key) >= 12 AND length(other) >= 12 AND (starts_with(key, other) OR starts_with(other, key)) GROUP BY doc_id HAVING count(*) = 1""")
 def st16_prefix_match(t: Tables):
-    k = t.part.select(F.substring("p_name", 1, 6).alias("key")).distinct()
-    # Equality on the prefix of that length is what startswith means, and can be hashed.
-    m = k.join(t.part.select("p_partkey", F.substring("p_name", 1, 6).alias("key")), "key")
-    return m.groupBy("key").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).where("n = 1").select("key", "p_partkey")
+    """Entries of a document's first four words against headings of seven or of three: matched where just one begins the other."""
+    first = lambda n: F.upper(F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, n), " "))
+    e = t.documents.select("doc_id", first(4).alias("key")).where("length(key) >= 12").withColumn("p", F.substring("key", 1, 12))
+    h = t.documents.select(F.when(F.col("doc_id") % 2 == 0, first(7)).otherwise(first(3)).alias("other")).distinct().where("length(other) >= 12").withColumn("p", F.substring("other", 1, 12))
+    # Where one of two keys of twelve letters begins the other, they share these, and those can be hashed.
+    met = e.join(h, "p").where("startswith(key, other) OR startswith(other, key)")
+    return met.groupBy("doc_id").agg(F.min("other").alias("heading"), F.count("*").alias("n")).where("n = 1").select("doc_id", "heading")
 
 
 @query(r"""SELECT doc_id, len(p) AS n, md5(list_aggregate(p, 'string_agg', '|')) AS h FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n{1,}'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents) WHERE len(p) > 0""")

@@ -103,17 +103,14 @@ def ss13_positive_control(t: Tables):
     return d.agg((F.count_if(F.col("after") > 0) / F.count("*")).alias("hit_rate"), (F.count_if(F.col("after") == F.col("before") + 1) / F.count("*")).alias("gain_rate"), (F.count_if(F.col("before") > 0) / F.count("*")).alias("base_rate"))
 
 
-def _pairs_sql() -> str:
-    from .analysis import _permutation_sql
-
-    return _permutation_sql("SELECT doc_id AS k, CAST(CASE WHEN quality = toxic THEN 1 ELSE 0 END AS DOUBLE) AS x, toxic AS g FROM labels WHERE doc_id < 400")
-
-
-@query(_pairs_sql())
+@query("""WITH r AS (SELECT CAST(quality = toxic AS INT) AS x, CAST(toxic AS INT) AS g FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), c AS (SELECT count(*) AS n, CAST(sum(x) AS BIGINT) AS k, CAST(sum(g) AS BIGINT) AS m, CAST(sum(x * g) AS BIGINT) AS h FROM r),
+v AS (SELECT j, exp(lgamma(k + 1) - lgamma(j + 1) - lgamma(k - j + 1) + lgamma(n - k + 1) - lgamma(m - j + 1) - lgamma(n - k - m + j + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1)) AS p, abs(j / m - (k - j) / (n - m)) >= abs(h / m - (k - h) / (n - m)) - 1e-12 AS far FROM c, range(greatest(0, m + k - n), least(m, k) + 1) t(j)),
+s AS (SELECT j, far, sum(p) OVER (ORDER BY j) AS upto FROM v), u AS (SELECT r, CAST('0x' || substr(md5(concat(r, ':0')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM range(1, 5001) t(r)), d AS (SELECT r, min_by(far, j) AS far FROM u JOIN s ON upto >= u GROUP BY r)
+SELECT (SELECT round(h / m - (k - h) / (n - m), 6) FROM c) AS seen, round((count(*) FILTER (far) + 1) / 5001, 6) AS p, (SELECT round(least(1.0, sum(p) FILTER (far)), 6) FROM v) AS exact FROM d""")
 def ss12_pair_agreement(t: Tables):
-    """Agreement of two labels on a stated set of pairs (the first documents), tested by 5000 permutations."""
-    d = t.labels.where("doc_id < 400").select("doc_id", (F.col("quality") == F.col("toxic")).cast("double").alias("agree"), "toxic")
-    return E.permutation_p(d, "agree", "toxic", "doc_id", rounds=5000).select(F.round("seen", 6).alias("seen"), F.round("p", 6).alias("p"))
+    """Agreement of two labels over all labelled documents: 5000 permutations from four counts, and the share of all permutations."""
+    d = t.labels.select((F.col("quality") == F.col("toxic")).alias("agree"), "toxic")
+    return E.permutation_two_valued(d, "agree", "toxic", rounds=5000).select(*[F.round(c, 6).alias(c) for c in ("seen", "p", "exact")])
 
 
 @query(f"""WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT vec_id, label, d, x - avg(x) OVER (PARTITION BY label, d) AS y FROM e), n AS (SELECT vec_id, label, CAST(list(y ORDER BY d) AS FLOAT[]) AS v FROM (SELECT vec_id, label, d, y / greatest(sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 1e-12) AS y FROM c) GROUP BY vec_id, label),

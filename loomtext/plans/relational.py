@@ -128,9 +128,11 @@ def pf19_stray_cr(t: Tables):
     return t.pages.select("page_id", X.stray_cr(F.col("html")).alias("stray_cr"))
 
 
-@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')")
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 = 0 OR regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')")
 def pf20_control_chars(t: Tables):
-    return t.documents.where(F.col("text").rlike(X.CONTROL)).select("doc_id")
+    """Texts with a control character put into every fifth one, and with tabs and line ends, which are none, into the others."""
+    odd = F.when(F.col("doc_id") % 5 == 0, F.char(1 + F.col("doc_id") % 8)).otherwise(F.lit("\t\r\n"))
+    return t.documents.where(F.concat("text", odd, F.lit("end")).rlike(X.CONTROL)).select("doc_id")
 
 
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")

@@ -233,15 +233,3 @@ def test_books_by_numbers(spark):
     got, problems = B.by_numbers(d, "id", "text", r"^([IVXLC]+)\.(?:\s+(\S.*))?$")
     assert [(r.title, len(r.body.split())) for r in got.orderBy("start").collect()] == [("THE DEATH OF MAUI", 125), ("SECOND", 129), ("Fourth", 125)]
     assert [tuple(r) for r in problems.collect()] == [("b", "not consecutive at 4")]
-
-
-def test_latent_coordinates_equal_a_dense_decomposition(spark):
-    rnd = np.random.default_rng(4)
-    docs = spark.createDataFrame([(i, " ".join(rnd.choice(["ab", "cd", "ef", "gh", "ij", "kl"], 12))) for i in range(30)] + [(30, ""), (31, None)], "k long, text string")
-    w = S.tfidf(docs, "k", "text").toPandas().pivot(index="k", columns="term", values="w").fillna(0.0)
-    u, s, _ = np.linalg.svd(w.to_numpy(), full_matrices=False)
-    want = u[:, :3] * s[:3]
-    got = M.lsa(docs, "k", "text", dims=3).orderBy("k").toPandas()
-    vec = np.stack(got["vec"].to_numpy())
-    assert got["k"].tolist() == w.index.tolist()
-    assert np.allclose(vec @ vec.T, want @ want.T, atol=1e-8)
