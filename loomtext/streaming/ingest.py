@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.relational import latest_wins
+from .corrections import keep_state
 
 BATCH = "id string, paragraphs array<string>, version long"
 
@@ -39,31 +40,52 @@ def upsert_to(store: str, rejects: str, key: list[str], version: str, bad):
     return run
 
 
-def assemble(parts: DataFrame, timeout: str = "1 hour") -> DataFrame:
-    """(key, paragraphs, complete) from a stream of (key, part, parts, paragraphs): held until all parts are there or time is up."""
+class Assembly(StatefulProcessor):
+    """Parts of one message by number, and how many there are to be."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.total = handle.getValueState("total", "n int")
+        self.parts = handle.getMapState("parts", "number int", "paragraphs array<string>")
+
+    def _told(self, key: tuple, complete: bool) -> pd.DataFrame:
+        held = sorted((k[0], list(v[0])) for k, v in self.parts.iterator())
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.parts.clear()
+        self.total.clear()
+        return pd.DataFrame({"key": [key[0]], "paragraphs": [[p for _, ps in held for p in ps]], "complete": [complete]})
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[str]] = {}
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         total = 0
-        if state.exists:
-            total, numbers, texts = state.get
-            held = dict(zip(numbers, [list(x) for x in texts], strict=True))
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "paragraphs": [[p for n in sorted(held) for p in held[n]]], "complete": [False]})
-            return
-        for batch in batches:
+        for batch in rows:
             for n, m, ps in zip(batch["part"], batch["parts"], batch["paragraphs"], strict=True):
-                held[int(n)], total = list(ps), int(m)
-        if set(held) == set(range(1, total + 1)):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"key": [key[0]], "paragraphs": [[p for n in sorted(held) for p in held[n]]], "complete": [True]})
+                self.parts.updateValue((int(n),), (list(ps),))
+                total = int(m)
+        self.total.update((total,))
+        if {k[0] for k in self.parts.keys()} == set(range(1, total + 1)):
+            yield self._told(key, True)
         else:
-            state.update((total, sorted(held), [held[n] for n in sorted(held)]))
-            state.setTimeoutDuration(timeout)
+            # Time runs from the last part that came.
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
-    return parts.groupBy("key").applyInPandasWithState(run, "key string, paragraphs array<string>, complete boolean", "total int, numbers array<int>, texts array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.total.exists():
+            yield self._told(key, False)
+
+    def close(self) -> None:
+        pass
+
+
+def assemble(parts: DataFrame, wait_ms: int = 3_600_000) -> DataFrame:
+    """(key, paragraphs, complete) from a stream of (key, part, parts, paragraphs): held until all parts are there or time is up."""
+    keep_state(parts.sparkSession)
+    return parts.groupBy("key").transformWithStateInPandas(Assembly(wait_ms), "key string, paragraphs array<string>, complete boolean", "Append", "ProcessingTime")
 
 
 def windowed_counts(events: DataFrame, ts: str, kind: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
