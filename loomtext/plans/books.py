@@ -49,7 +49,7 @@ def wn15_st18_split_by_contents(t: Tables):
     return got.select(F.col("book").alias("source"), F.col("pos").cast("long").alias("pos"), "title", F.md5("body").alias("body"))
 
 
-@query(f"WITH {_TALES(_BOOK)}, {_LISTED} SELECT source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS pos, title, md5('Told again.' || chr(10) || chr(10) || upper(title) || chr(10) || chr(10) || body) AS body FROM s JOIN n USING (source) WHERE entries >= 5")
+@query(f"WITH {_TALES(_BOOK)}, {_LISTED} SELECT source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS pos, title, md5('Told again.' || chr(10) || chr(10) || upper(title) || chr(10) || chr(10) || body) AS body FROM x JOIN n USING (source) WHERE entries >= 5 AND 2 + len(string_split(title, ' ')) + len(string_split(body, ' ')) >= 120")
 def wn15_ordered_split(t: Tables):
     """Books in the order of their contents whose titles stand in the text once more, with more text behind them than behind the heading (WN-15)."""
     text = F.concat(F.lit("\n\n\n"), F.upper("title"), F.lit("\n\nTold again.\n\n"), F.upper("title"), F.lit("\n\n"), F.col("body"), F.lit("\n"))
