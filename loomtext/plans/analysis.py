@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 from ..functions import arrays as V
 from ..functions import numeric as N
 from ..functions import text as X
+from ..operators import alignment as Align
 from ..operators import density as D
 from ..operators import evaluation as E
 from ..operators import eventlog as G
+from ..operators import ivf as Ivf
 from ..operators import latent as Latent
 from ..operators import manifold as Manifold
 from ..operators import models as M
@@ -42,11 +44,31 @@ def ve03_l2(t: Tables):
     return t.embeddings.select("vec_id", F.posexplode(v).alias("d", "x")).select("vec_id", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
 
 
-@query(f"""WITH s AS (SELECT a.vec_id, b.vec_id AS neighbour, {_DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT vec_id, neighbour, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS rank FROM s) WHERE rank <= 20""")
+_NEAREST = f"""WITH s AS (SELECT a.vec_id, b.vec_id AS neighbour, {_DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT vec_id, neighbour, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS rank FROM s) WHERE rank <= 20"""
+
+
+@query(_NEAREST)
 def jn08_ve05_neighbours(t: Tables):
     return K.knn(t.embeddings, t.embeddings, "vec_id", "vec_id", "embedding", 20).select("vec_id", "neighbour", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_NEAREST)
+def ve05_inverted_file(t: Tables):
+    """The same neighbours through the inverted-file index, in its exact form."""
+    index = Ivf.build(t.embeddings, "vec_id", "embedding", lists=32)
+    got = Ivf.search(index, t.embeddings, "vec_id", "embedding", 20, probes=4, exact=True)
+    return got.select(F.col("q").alias("vec_id"), F.col("key").alias("neighbour"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def ve13_residual_map(t: Tables):
+    """Loss by epoch of a residual map from vectors to a bent form of them."""
+    pairs = t.embeddings.select("vec_id", F.col("embedding").alias("x"), V.l2(F.transform("embedding", lambda x: F.abs(x) + 0.3 * x)).alias("y"))
+    model = Align.fit_residual(pairs, "vec_id", "x", "y", hidden=64, epochs=6, rate=5e-3)
+    rows = F.array(*[F.struct(F.lit(i).alias("epoch"), F.lit(x).alias("loss")) for i, x in enumerate(model.losses)])
+    return t.embeddings.agg(F.count("*").alias("n")).select("n", F.explode(rows).alias("r")).select("r.epoch", "r.loss", "n")
+
+
 @query("""WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT vec_id, d, x - avg(x) OVER (PARTITION BY label, d) AS y FROM e), n AS (SELECT vec_id, d, y / greatest(sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 1e-12) AS y FROM c)
 SELECT vec_id, round(sum(y), 5) AS total FROM n GROUP BY vec_id""")
 def ve06_centring(t: Tables):
@@ -202,7 +224,8 @@ def ml01_layout(t: Tables):
 
 @query()
 def ml02_clusters(t: Tables):
-    return D.density_clusters(t.embeddings, "vec_id", "embedding")
+    """Density clusters of the layout in eight dimensions."""
+    return D.density_clusters(Manifold.embedded(t.embeddings, "vec_id", "embedding", dims=8, min_dist=0.0), "vec_id", "p")
 
 
 @query(f"""WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(1 - {_DOT}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL), s AS (SELECT vec_id, min(d) FILTER (la = lb) AS a, min(d) FILTER (la <> lb) AS b FROM d GROUP BY vec_id) SELECT round(avg((b - a) / greatest(a, b)), 5) AS silhouette FROM s WHERE a IS NOT NULL""")

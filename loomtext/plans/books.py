@@ -72,9 +72,9 @@ def st19_split_numbered(t: Tables):
 _ROMAN = "(['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX'])[k // 10 + 1] || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[k % 10 + 1]"
 
 
-@query(f"WITH {_TALES(_SHELF)} SELECT source, k - 1 AS pos, {_ROMAN} || '. ' || title AS entry FROM x")
+@query(f"WITH {_TALES(_SHELF)} SELECT source, k - 1 AS pos, {_ROMAN} || '. ' || title || CASE WHEN count(*) OVER (PARTITION BY source) = 1 THEN ' Notes and References.' ELSE '' END AS entry FROM x")
 def st14_flowing_contents(t: Tables):
-    """Contents that run on over lines: numerals with points cut them into titles, and what follows the last one goes."""
+    """Contents that run on over lines: numerals with points cut them into titles, and what follows the last one goes; a lone title stays as it is."""
     tens, ones = F.floor(F.col("k") / 10).cast("int"), (F.col("k") % 10).cast("int")
     names = lambda xs: F.array(*map(F.lit, xs))
     roman = F.concat(F.get(names(["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX"]), tens), F.get(names(["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]), ones))

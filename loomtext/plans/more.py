@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays as V
 from ..operators import evaluation as E
+from ..operators import pairscore as P
 from ..operators import relational as R
 from ..operators import vectors as K
 from .base import Tables, query
@@ -135,9 +136,38 @@ def wn16_following_length(t: Tables):
     return t.conversations.select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("following"))
 
 
-@query("SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 12")
+@query(f"""WITH s AS (SELECT a.vec_id, a.label AS la, b.vec_id AS n, b.label AS lb, {_DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, n) AS k FROM s)
+SELECT vec_id, '{{"vec_id":' || vec_id || ',"label":' || any_value(la) || ',"neighbours":[' || string_agg('{{"vec_id":' || n || ',"score_e4":' || CAST(round(s * 10000) AS BIGINT) || ',"same_label":' || CASE WHEN la = lb THEN 'true' ELSE 'false' END || '}}', ',' ORDER BY k) || ']}}' AS document FROM r WHERE k <= 12 GROUP BY vec_id""")
 def sk06_denormalised(t: Tables):
-    return R.top_k(t.embeddings, ["label"], [F.asc("vec_id")], 12).select("vec_id", "label")
+    """One JSON document per vector with its twelve neighbours in order."""
+    label = t.embeddings.select("vec_id", "label")
+    near = K.knn(t.embeddings, t.embeddings, "vec_id", "vec_id", "embedding", 12).join(label, "vec_id").join(label.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("lb")), "neighbour")
+    one = F.struct("rank", F.struct(F.col("neighbour").alias("vec_id"), F.round(F.col("score") * 10000).cast("long").alias("score_e4"), (F.col("label") == F.col("lb")).alias("same_label")).alias("d"))
+    rows = near.groupBy("vec_id", "label").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["d"]).alias("neighbours"))
+    return rows.select("vec_id", F.to_json(F.struct("vec_id", "label", "neighbours")).alias("document"))
+
+
+_HYPOTHESES = {"wh": "the wh and of", "de": "der die und zu", "que": "de la que el"}
+_ASKED = ", ".join(f"('{k}', '{v}')" for k, v in _HYPOTHESES.items())
+
+
+def _shares():
+    """A scorer: the share of a hypothesis' words that the premise has."""
+    import numpy as np
+
+    def score(pairs):
+        return np.array([np.mean([w in held for w in h.split()]) for held, h in ((set(p.split()), h) for p, h in pairs)])
+
+    return score
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS ws FROM documents), c AS (SELECT doc_id, i AS chunk, list_slice(ws, i * 300 + 1, (i + 1) * 300) AS ws FROM w, LATERAL (SELECT unnest(range(0, greatest(1, (len(ws) + 299) // 300))) AS i)), h(label, h) AS (VALUES {_ASKED}),
+s AS (SELECT doc_id, label, chunk, len(list_filter(string_split(h, ' '), lambda x: list_contains(ws, x))) / len(string_split(h, ' ')) AS score FROM c, h)
+SELECT doc_id AS id, label, max(score) AS score, CAST(min_by(chunk, (-score, chunk)) AS BIGINT) AS position, max(score) >= 0.5 AS assigned FROM s GROUP BY doc_id, label""")
+def ml15_pair_scores(t: Tables):
+    """Every chunk of every text against three hypotheses; the best chunk of a text and where it is."""
+    s = P.chunk_scores(t.documents, "doc_id", "text", _HYPOTHESES, _shares, "shares of words")
+    return P.document_scores(s, _HYPOTHESES).withColumn("position", F.col("position").cast("long"))
 
 
 @query("SELECT doc_id, md5(text) AS fp FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))")

@@ -71,6 +71,7 @@ CHECKS = {
     "ml06_ml09_hmm": lambda d: d["state"].between(0, 4).all() and d["state"].nunique() > 1 and not d.duplicated(["conv_id", "turn"]).any(),
     "ml04_ag25_topics": lambda d: d["topic"].between(0, 11).all() and (d["mass"] >= 0).all(),
     "ml02_clusters": lambda d: d["cluster"].min() >= -1 and (d.groupby("cluster")["size"].first() == d["cluster"].value_counts()).all(),
+    "ve13_residual_map": lambda d: d.sort_values("epoch")["loss"].iloc[-1] < 0.9 * d.sort_values("epoch")["loss"].iloc[0],
     "ml13_correspondence": lambda d: sorted(d["axis"].unique()) == [0, 1],
     "ml14_correspondence_without": lambda d: "src0" not in set(d["source"]),
 }
