@@ -25,7 +25,7 @@ FLOW = r"\s+(?=[IVXLC]{1,8}\.\s+[A-ZÄÖÜ])"
 FLOW_TAIL = r"(?i)\s+(?:" + "|".join(sorted([*SKIP, "NOTES AND REFERENCES"], key=lambda x: (-len(x), x))) + r")\.?\s*$"
 ILLUSTRATION = r"(?s)^\[Illustration\b.*\]$"
 HEADING_LINES, HEADING_CHARS, LINE_CHARS, SENTENCE_CHARS, PREFIX_CHARS = 3, 120, 80, 60, 12
-TOC_BLANKS, TOC_ENTRIES, LEAST_WORDS = 4, 5, 120
+TOC_BLANKS, TOC_ENTRIES, LEAST_WORDS, ENOUGH = 4, 5, 120, 4000
 QUOTES = "\"“”«»'"
 
 
@@ -140,6 +140,16 @@ def _sections(lines: DataFrame, starts: DataFrame, least_words: int, tail: DataF
     return out.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("s.start")) - 1).alias("pos"), F.trim("s.title").alias("title"), F.col("s.start").alias("start"), "body")
 
 
+def following(lines: DataFrame, places: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(book, start, follows): the letters between a heading and the next one; counting ends with the line that brings more than ``enough``."""
+    marks = places.select("book", F.col("start").alias("i"), F.col("start").alias("at"))
+    rows = lines.select("book", "i", F.length(F.trim("line")).alias("c")).join(marks, ["book", "i"], "left")
+    rows = rows.withColumn("at", F.last("at", ignorenulls=True).over(Window.partitionBy("book").orderBy("i"))).where("i > at")
+    upto = rows.withColumn("upto", F.sum("c").over(Window.partitionBy("book", "at").orderBy("i")))
+    size = upto.groupBy("book", F.col("at").alias("start")).agg(F.coalesce(F.min(F.when(F.col("upto") > enough, F.col("upto"))), F.max("upto")).alias("follows"))
+    return places.join(size, ["book", "start"], "left").select("book", "start", F.coalesce("follows", F.lit(0)).cast("long").alias("follows"))
+
+
 def in_order(found: DataFrame) -> DataFrame:
     """(book, i, start): of each entry's candidates (book, i, start) the first behind the place that the entry before it took; the first of all if none is.
 
@@ -178,10 +188,7 @@ def by_contents(books: DataFrame, key: str, text: str, least_words: int = LEAST_
         found = written(found, "candidates")
         starts = found.join(in_order(found.select("book", "i", "start")), ["book", "i", "start"]).groupBy("book", "i", "start", "title").agg(F.max("end").alias("end"))
     else:
-        places = heads.select("book", "start").distinct()
-        size = lines.where("NOT blank").select("book", "i", F.length(F.trim("line")).alias("c")).join(places.withColumnRenamed("start", "i").withColumn("at", F.col("i")), ["book", "i"], "left")
-        size = size.withColumn("at", F.last("at", ignorenulls=True).over(Window.partitionBy("book").orderBy("i"))).groupBy("book", F.col("at").alias("start")).agg((F.sum("c") - F.min_by("c", "i")).alias("follows"))
-        sized = found.join(size, ["book", "start"], "left")
+        sized = found.join(following(lines.where("NOT blank"), heads.select("book", "start").distinct()), ["book", "start"], "left")
         picked = sized.groupBy("book", "i", "title").agg(F.max(F.struct(F.coalesce("follows", F.lit(0)).alias("follows"), (-F.col("start")).alias("o"), "end")).alias("p"))
         starts = picked.select("book", (-F.col("p.o")).alias("start"), F.col("p.end").alias("end"), "title")
     starts = written(starts.select("book", "start", "end", "title"), "starts")

@@ -60,103 +60,6 @@ HEADING_LINES, HEADING_CHARS, PREFIX_CHARS = 3, 120, 12
 _ROMAN_VALUES = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 
-def numeral(s: str) -> int | None:
-    """Value of an Arabic or a well-formed roman numeral."""
-    if s.isdigit():
-        return int(s)
-    if not s or not ROMAN.match(s):
-        return None
-    v = [_ROMAN_VALUES[c] for c in s]
-    return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0], strict=True))
-
-
-def heading_key(s: str) -> str:
-    """Letters and digits of a heading, compatibility forms folded, upper case, without a leading numeral."""
-    import unicodedata
-
-    s = unicodedata.normalize("NFKC", s).strip()
-    m = NUMERAL_LINE.match(s)
-    if m and m[2]:
-        s = m[2]
-    return re.sub(r"[\W_]+", "", s.upper())
-
-
-def headings(lines: list[str]) -> list[tuple[int, int, str]]:
-    """(first line, line after, key) of the blank-delimited groups short enough to be headings."""
-    out, i = [], 0
-    while i < len(lines):
-        if not lines[i].strip():
-            i += 1
-            continue
-        j = i
-        while j < len(lines) and lines[j].strip():
-            j += 1
-        group = " ".join(x.strip() for x in lines[i:j])
-        if j - i <= HEADING_LINES and len(group) <= HEADING_CHARS:
-            out.append((i, j, heading_key(group)))
-        i = j
-    return out
-
-
-def contents(lines: list[str], least: int = 3) -> list[str]:
-    """Entries of the first table of contents: a run of at least ``least`` short lines after a line that says so; four blank lines end it."""
-    for i, line in enumerate(lines):
-        if heading_key(line) in ("CONTENTS", "TABLEOFCONTENTS", "INHALT"):
-            found, blank = [], 0
-            for x in lines[i + 1 :]:
-                if not x.strip():
-                    blank += 1
-                    if blank >= 4:
-                        break
-                    continue
-                blank = 0
-                found.append(re.sub(r"[\s.·…]*\d*\s*$", "", x).strip())
-            return [x for x in found if x] if len(found) >= least else []
-    return []
-
-
-def split_by_contents(text: str, entries: list[str] | None = None, least_words: int = 20) -> list[dict]:
-    """Sections that start at the headings named by the table of contents, in its order; each ends where the next starts."""
-    lines = text.split("\n")
-    wanted = entries if entries is not None else contents(lines)
-    places = headings(lines)
-    cursor, starts = -1, []
-    for entry in wanted:
-        key = heading_key(entry)
-        hits = [p for p in places if p[2] == key] or [p for p in places if min(len(p[2]), len(key)) >= PREFIX_CHARS and (p[2].startswith(key) or key.startswith(p[2]))]
-        later = [p for p in hits if p[0] > cursor]
-        # A table of contents lists the titles before the texts do, so the place with text after it is meant.
-        for p in later:
-            end = next((q[0] for q in places if q[0] > p[0] and q[2] in {heading_key(e) for e in wanted}), len(lines))
-            if sum(len(x.split()) for x in lines[p[1] : end]) >= least_words:
-                starts.append((p[0], p[1], entry))
-                cursor = p[0]
-                break
-    stops = [s[0] for s in starts[1:]] + [len(lines)]
-    return [{"title": t, "line": a, "text": "\n".join(lines[b:stop]).strip()} for (a, b, t), stop in zip(starts, stops, strict=False)]
-
-
-def split_numbered(text: str, least_words: int = 20) -> tuple[list[dict], str | None]:
-    """Sections headed by consecutive numerals from 1, and why the numbering can't be trusted, if so."""
-    lines = text.split("\n")
-    found = []
-    for i, j, _ in headings(lines):
-        m = NUMERAL_LINE.match(lines[i])
-        n = numeral(m[1]) if m else None
-        if n is not None:
-            found.append((i, j, n, (m[2] or "").strip()))
-    kept = []
-    for k, (i, j, n, title) in enumerate(found):
-        stop = found[k + 1][0] if k + 1 < len(found) else len(lines)
-        if sum(len(x.split()) for x in lines[j:stop]) >= least_words:
-            kept.append((i, j, n, title))
-    stops = [k[0] for k in kept[1:]] + [len(lines)]
-    sections = [{"title": t or str(n), "line": i, "text": "\n".join(lines[j:stop]).strip()} for (i, j, n, t), stop in zip(kept, stops, strict=False)]
-    numbers = [k[2] for k in kept]
-    gaps = [f"{a}->{b}" for a, b in zip([0, *numbers], numbers, strict=False) if b != a + 1]
-    return sections, f"not consecutive: {', '.join(gaps)}" if gaps else None
-
-
 def trailing_notes(text: str, gap: int = 8, density: float = 0.25) -> tuple[str, str]:
     """(text, notes): a dense run of ``[n]`` lines at the end goes to the notes."""
     lines = text.split("\n")
@@ -170,24 +73,3 @@ def trailing_notes(text: str, gap: int = 8, density: float = 0.25) -> tuple[str,
     if len(run) < 2 or len(run) < density * filled:
         return text, ""
     return "\n".join(lines[: run[0]]).strip(), "\n".join(lines[run[0] :]).strip()
-
-
-def register(spark) -> None:
-    """Table functions ``split_contents(text)`` and ``split_numerals(text)`` for SQL and lateral joins."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="pos int, title string, line int, body string")
-    class ByContents:
-        def eval(self, text: str):
-            for i, s in enumerate(split_by_contents(text or "")):
-                yield i, s["title"], s["line"], s["text"]
-
-    @udtf(returnType="pos int, title string, line int, body string, problem string")
-    class ByNumerals:
-        def eval(self, text: str):
-            sections, problem = split_numbered(text or "")
-            for i, s in enumerate(sections):
-                yield i, s["title"], s["line"], s["text"], problem
-
-    spark.udtf.register("split_contents", ByContents)
-    spark.udtf.register("split_numerals", ByNumerals)

@@ -83,3 +83,13 @@ def st14_flowing_contents(t: Tables):
     flow = B.flowing(B.contents(B.lines_of(books, "source", "text"), least=1))
     pos = F.row_number().over(R.Window.partitionBy("book", "head").orderBy("i")) - 1
     return flow.select(F.col("book").alias("source"), pos.cast("long").alias("pos"), "entry")
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), m AS (SELECT doc_id, i, length(trim(line)) AS c, CASE WHEN length(trim(line)) BETWEEN 1 AND 30 THEN i END AS h FROM l),
+a AS (SELECT doc_id, i, c, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS hd FROM m), r AS (SELECT doc_id, hd, sum(c) OVER (PARTITION BY doc_id, hd ORDER BY i) AS s FROM a WHERE i > hd), f AS (SELECT doc_id, hd, coalesce(min(s) FILTER (s > 4000), max(s)) AS follows FROM r GROUP BY ALL)
+SELECT m.doc_id, CAST(m.i AS BIGINT) AS start, CAST(coalesce(follows, 0) AS BIGINT) AS follows FROM m LEFT JOIN f ON f.doc_id = m.doc_id AND f.hd = m.i WHERE m.h IS NOT NULL""")
+def wn16_following_length(t: Tables):
+    """Short lines as headings, and how much text follows each."""
+    lines = B.lines_of(t.documents, "doc_id", "text")
+    places = lines.where(F.length(F.trim("line")).between(1, 30)).select("book", F.col("i").alias("start"))
+    return B.following(lines, places).select(F.col("book").alias("doc_id"), F.col("start").cast("long").alias("start"), "follows")

@@ -131,7 +131,7 @@ def ir09_debias(t: Tables):
 
 
 @query("SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS BIGINT) AS following FROM conversations")
-def wn16_following_length(t: Tables):
+def wn16b_next_turns(t: Tables):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, 3)
     return t.conversations.select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("following"))
 

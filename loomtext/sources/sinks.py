@@ -51,11 +51,13 @@ def write_documents(df: DataFrame, key: str, path: str) -> None:
     df.withColumn("key_", F.col(key)).write.mode("overwrite").partitionBy("key_").option("ignoreNullFields", "true").json(path)
 
 
-def write_csv(frames: list[DataFrame], path: str) -> None:
-    """Rows of all frames under the union of their columns, with a header."""
+def write_csv(frames: list[DataFrame], path: str, mark: bool = True) -> None:
+    """Rows of all frames under the union of their columns, with a header; files start with a byte order mark unless ``mark`` is off."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
+    # A mark before the first name of the header is the file's byte order mark.
+    out = out.withColumnRenamed(out.columns[0], f"\ufeff{out.columns[0]}") if mark else out
     out.write.mode("overwrite").option("header", True).csv(path)
 
 

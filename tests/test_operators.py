@@ -150,25 +150,6 @@ def test_streaming(spark, tmp_path):
 BODY = "word " * 130
 
 
-def test_numbered_sections():
-    from loomtext.operators.splitting import split_numbered
-
-    ok = "\n\n".join(f"{n}\n\n{BODY}" for n in ("I", "II", "III"))
-    sections, problem = split_numbered(ok)
-    assert [s["title"] for s in sections] == ["1", "2", "3"] and problem is None
-    assert split_numbered(f"I\n\n{BODY}\n\nIII\n\n{BODY}")[1] == "not consecutive: 1->3"
-    assert split_numbered("") == ([], None)
-
-
-def test_sections_by_contents():
-    from loomtext.operators.splitting import split_by_contents
-
-    text = f"CONTENTS\n\nThe Fox . . . 1\nThe Crow . . . 9\nOld Tom 12\n\n\n\n\n\nTHE FOX\n\n{BODY}\n\nTHE CROW\n\n{BODY}\n\nOLD TOM\n\n{BODY}"
-    assert [s["title"] for s in split_by_contents(text)] == ["The Fox", "The Crow", "Old Tom"]
-    assert all(s["text"].strip() == BODY.strip() for s in split_by_contents(text))
-    assert split_by_contents("nothing") == []
-
-
 def test_trailing_notes():
     from loomtext.operators.splitting import trailing_notes
 
@@ -233,3 +214,15 @@ def test_books_by_numbers(spark):
     got, problems = B.by_numbers(d, "id", "text", r"^([IVXLC]+)\.(?:\s+(\S.*))?$")
     assert [(r.title, len(r.body.split())) for r in got.orderBy("start").collect()] == [("THE DEATH OF MAUI", 125), ("SECOND", 129), ("Fourth", 125)]
     assert [tuple(r) for r in problems.collect()] == [("b", "not consecutive at 4")]
+
+
+def test_csv_files_start_with_a_mark(spark, tmp_path):
+    from loomtext.sources import sinks
+
+    one, two = spark.createDataFrame([(1, "ä")], "a int, b string"), spark.createDataFrame([(2, 3)], "a int, c int")
+    sinks.write_csv([one, two], f"{tmp_path}/out")
+    files = [f.read_bytes() for f in (tmp_path / "out").glob("*.csv")]
+    assert files and all(f.startswith(b"\xef\xbb\xbfa,b,c\n") for f in files)
+    assert sorted(x for f in files for x in f.decode("utf-8-sig").splitlines()[1:]) == ["1,ä,", "2,,3"]
+    sinks.write_csv([one], f"{tmp_path}/plain", mark=False)
+    assert all(f.read_bytes().startswith(b"a,b\n") for f in (tmp_path / "plain").glob("*.csv"))
