@@ -219,3 +219,27 @@ def leave_one_out_corr(df: DataFrame, x: str, y: str, a: str, b: str) -> DataFra
     v = {c: F.col(f"t_{c}") - F.col(c) for c in names}
     r = (v["n"] * v["sxy"] - v["sx"] * v["sy"]) / F.sqrt((v["n"] * v["sxx"] - v["sx"] * v["sx"]) * (v["n"] * v["syy"] - v["sy"] * v["sy"]))
     return d.select("left", r.alias("r"))
+
+
+def rank_variants(rows: DataFrame, query: str, owner: str, book: str, score: str, top: int = 3) -> DataFrame:
+    """(variant, query, owner, score) in four ways: an owner's best window or the mean of its best ``top``, as it is or as a z-score among its book's owners.
+
+    Books of two owners or fewer keep their scores as they are. Moments are grouped sums joined back, one row for each query and book.
+    """
+    w = Window.partitionBy(query, owner).orderBy(F.desc(score))
+    best = rows.where(F.col(score).isNotNull()).withColumn("k_", F.row_number().over(w)).where(F.col("k_") <= top)
+    own = best.groupBy(query, owner, book).agg(F.max(score).alias("best"), F.avg(score).alias("mean"))
+    kinds = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(n).alias("s")) for n in ("best", "mean")])
+    plain = own.select(query, owner, book, F.explode(kinds).alias("v")).select("v.variant", query, owner, book, F.col("v.s").alias("score"))
+    moments = plain.groupBy("variant", query, book).agg(F.count("*").alias("n_"), F.avg("score").alias("m_"), F.stddev_pop("score").alias("d_"))
+    z = F.when(F.col("n_") > 2, (F.col("score") - F.col("m_")) / F.greatest(F.lit(1e-9), "d_")).otherwise(F.col("score"))
+    by_book = plain.join(moments, ["variant", query, book]).select(F.concat("variant", F.lit(" by book")).alias("variant"), query, owner, z.alias("score"))
+    return plain.select("variant", query, owner, "score").union(by_book)
+
+
+def median_gaps(variants: DataFrame, query: str, owner: str, wide: float) -> DataFrame:
+    """(variant, gap, wide): the median over queries of what lies between the first and the second owner."""
+    w = Window.partitionBy("variant", query).orderBy(F.desc("score"), owner)
+    two = variants.withColumn("k_", F.row_number().over(w)).where("k_ <= 2").groupBy("variant", query).agg(F.max("score").alias("a"), F.min("score").alias("b"), F.count("*").alias("n"))
+    gap = F.median(F.when(F.col("n") == 2, F.col("a") - F.col("b")))
+    return two.groupBy("variant").agg(gap.alias("gap")).withColumn("wide", F.col("gap") >= wide)

@@ -175,3 +175,14 @@ def ml16_incremental(t: Tables):
     """Rows whose fingerprint the cache doesn't have yet."""
     d = t.documents.select("doc_id", F.md5("text").alias("fp"))
     return d.join(d.join(t.labels.select("doc_id"), "doc_id", "left_semi").select("fp").distinct(), "fp", "left_anti").select("doc_id", "fp")
+
+
+@query("""WITH e AS (SELECT event_type AS q, user_id AS o, user_id % 20 AS b, value AS s, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC) AS k FROM events WHERE value IS NOT NULL), w AS (SELECT q, o, b, max(s) AS best, avg(s) AS mean FROM e WHERE k <= 3 GROUP BY ALL),
+p AS (SELECT 'best' AS variant, q, o, b, best AS s FROM w UNION ALL SELECT 'mean', q, o, b, mean FROM w), z AS (SELECT variant || ' by book' AS variant, q, o, CASE WHEN count(*) OVER g > 2 THEN (s - avg(s) OVER g) / greatest(1e-9, stddev_pop(s) OVER g) ELSE s END AS s FROM p WINDOW g AS (PARTITION BY variant, q, b)),
+r AS (SELECT *, row_number() OVER (PARTITION BY variant, q ORDER BY s DESC, o) AS k FROM (SELECT variant, q, o, s FROM p UNION ALL SELECT * FROM z)), t AS (SELECT variant, q, max(s) - min(s) AS gap FROM r WHERE k <= 2 GROUP BY ALL HAVING count(*) = 2)
+SELECT variant, round(median(gap), 6) AS gap, median(gap) >= 0.009 AS wide FROM t GROUP BY variant""")
+def ir12_rank_variants(t: Tables):
+    """Four ways to score users by their events of a kind, users in books of twenty, and how far the first is from the second."""
+    rows = t.events.select("event_type", "user_id", (F.col("user_id") % 20).alias("book"), "value")
+    v = E.rank_variants(rows, "event_type", "user_id", "book", "value")
+    return E.median_gaps(v, "event_type", "user_id", 0.009).select("variant", F.round("gap", 6).alias("gap"), "wide")
