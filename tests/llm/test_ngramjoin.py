@@ -19,7 +19,7 @@ def frame(spark, rows, parts=5):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
 
 
-@pytest.mark.parametrize("width,percent", [(5, 80), (4, 80), (5, 60)])
+@pytest.mark.parametrize("width,percent", [(5, 80), (4, 60)])
 def test_components_are_those_of_all_pairs(spark, width, percent):
     rnd = random.Random(width * percent)
     texts = family(rnd, 120, 90, 4) + family(rnd, 60, 40, 2) + family(rnd, 40, 300, 14) + [prose(rnd, 60) for _ in range(40)]
@@ -38,7 +38,7 @@ def test_loads_and_fragments_don_t_change_results(spark, monkeypatch):
     rnd = random.Random(3)
     rows = list(enumerate(family(rnd, 60, 80, 8) + family(rnd, 60, 60, 6) + [prose(rnd, 50) for _ in range(30)]))
     want = brute_components(rows, 5, 80)
-    for held, docs, spread, fragments, early in ((150, 7, 1, 2, 1), (10**6, 65_000, 40, 16, 15), (10**6, 11, 3, 1, 1)):
+    for held, docs, spread, fragments, early in ((150, 7, 1, 2, 1), (10**6, 11, 40, 16, 15)):
         for name, value in (("HELD", held), ("DOCS", docs), ("SPREAD", spread), ("FRAGMENTS", fragments), ("EARLY", early)):
             monkeypatch.setattr(ngramjoin, name, value)
         assert told(ngramjoin.jaccard_join(frame(spark, rows, 9))) == want
