@@ -166,16 +166,16 @@ def in_order(found: DataFrame) -> DataFrame:
     return got.select("book", F.explode("t").alias("t")).select("book", "t.i", "t.start")
 
 
-def by_contents(books: DataFrame, key: str, text: str, least_words: int = LEAST_WORDS, flow: bool = False, skip: list[str] | None = None, alias: dict[str, str] | None = None, stop_at: str | None = None, ordered: bool = False, compatible: bool = False) -> DataFrame:
+def by_contents(books: DataFrame, key: str, text: str, least_words: int = LEAST_WORDS, flow: bool = False, skip: list[str] | None = None, alias: dict[str, str] | None = None, stop_at: str | None = None, ordered: bool = False, compatible: bool = False, least_entries: int = TOC_ENTRIES) -> DataFrame:
     """(book, pos, title, start, body): sections under the headings that a book's longest table of contents names.
 
     An entry with several headings takes the one with most text before the next heading; in an ``ordered`` book,
     the first one behind the heading of the entry before it. ``alias`` gives entries
-    the headings they mean; ``stop_at`` is a line that ends the last section.
+    the headings they mean; ``stop_at`` is a line that ends the last section; lists of fewer than ``least_entries`` are no contents.
     """
     lines = lines_of(books, key, text, compatible)
     # Entries and headings are a small part of the text and are used many times over.
-    entries = written(contents(lines), "entries")
+    entries = written(contents(lines, least_entries), "entries")
     best = entries.groupBy("book").agg(F.max(F.struct("n", -F.col("head"))).alias("b")).select("book", (-F.col("b.col2")).alias("head"))
     heads = written(headings(blocks(lines), entries), "headings")
     listed = entries.join(best, ["book", "head"])

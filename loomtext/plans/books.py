@@ -18,10 +18,13 @@ _BOOK = f"(source || '/' || (doc_id // {_IDS}))"
 _SHELF = f"(source || '/' || (doc_id // {_IDS}) || '/' || (doc_id % {_SHELVES}))"
 
 
-def _tales(t: Tables, shelves: bool = False):
-    """(source, doc_id, body, k, title): a book's name, its documents by place; with ``shelves``, books of 84 documents at most."""
+def _tales(t: Tables, shelves: bool = False, unnamed: str | None = None):
+    """(source, doc_id, body, k, title): a book's name, its documents by place; with ``shelves``, books of 84 documents at most; documents without a source in the book ``unnamed``, if given."""
     parts = [F.col("source"), F.expr(f"doc_id div {_IDS}").cast("string"), *([(F.col("doc_id") % _SHELVES).cast("string")] if shelves else [])]
-    d = t.documents.where("text IS NOT NULL").select(F.concat_ws("/", *parts).alias("source"), "doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("body"))
+    name = F.concat_ws("/", *parts)
+    if unnamed is not None:
+        name = F.when(F.col("source").isNull(), unnamed).otherwise(name)
+    d = t.documents.where("text IS NOT NULL").select(name.alias("source"), "doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("body"))
     d = d.withColumn("k", F.row_number().over(R.Window.partitionBy("source").orderBy("doc_id")))
     return d.withColumn("title", F.concat(F.lit("Tale of the "), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.when(F.col("k") % 3 == 0, _LONG).otherwise("")))
 
@@ -36,17 +39,17 @@ def _contents(k, title):
     return F.when(k % 3 == 0, F.concat(F.replace(title, F.lit(" of the King"), F.lit("\nof the King")), leader)).otherwise(F.concat(title, leader))
 
 
-# Contents count from five lines on, the preface and second lines among them.
-_LISTED = "n AS (SELECT source, count(*) + 1 + count(*) FILTER (k % 3 = 0) AS entries FROM x GROUP BY source)"
-
-
-@query(f"WITH {_TALES(_BOOK)}, {_LISTED} SELECT source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS pos, title, md5(body) AS body FROM s JOIN n USING (source) WHERE entries >= 5")
+@query(f"WITH {_TALES(_BOOK)} SELECT source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS pos, title, md5(body) AS body FROM s")
 def wn15_st18_split_by_contents(t: Tables):
-    """Books of one source's documents under a table of contents: long titles wrap in it and are capitals in the text (ST-12, 13, 15, 18)."""
+    """Books of one source's documents under a table of contents: long titles wrap in it and are capitals in the text, and a book may have one document (ST-12, 13, 15, 18)."""
     text = F.concat(F.lit("\n\n\n"), F.upper("title"), F.lit("\n\n"), F.col("body"), F.lit("\n"))
-    books = _tales(t).groupBy("source").agg(F.concat(F.lit("A book\n\nCONTENTS\n\nPreface . . . i\n"), _in_order(_contents(F.col("k"), F.col("title"))), F.lit("\n\n\n\n\nPREFACE\n\nNone.\n"), _in_order(text)).alias("text"))
-    got = B.by_contents(books, "source", "text")
-    return got.select(F.col("book").alias("source"), F.col("pos").cast("long").alias("pos"), "title", F.md5("body").alias("body"))
+    books = _tales(t, unnamed="").groupBy("source").agg(F.concat(F.lit("A book\n\nCONTENTS\n\nPreface . . . i\n"), _in_order(_contents(F.col("k"), F.col("title"))), F.lit("\n\n\n\n\nPREFACE\n\nNone.\n"), _in_order(text)).alias("text"))
+    got = B.by_contents(books, "source", "text", least_entries=1)
+    return got.select(F.nullif("book", F.lit("")).alias("source"), F.col("pos").cast("long").alias("pos"), "title", F.md5("body").alias("body"))
+
+
+# Contents count from five lines on, the preface and second lines among them.
+_LISTED = "n AS (SELECT source, count(*) + 1 + count(*) FILTER (k % 3 = 0) AS entries FROM x GROUP BY source)"
 
 
 @query(f"WITH {_TALES(_BOOK)}, {_LISTED} SELECT source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS pos, title, md5('Told again.' || chr(10) || chr(10) || upper(title) || chr(10) || chr(10) || body) AS body FROM x JOIN n USING (source) WHERE entries >= 5 AND 2 + len(string_split(title, ' ')) + len(string_split(body, ' ')) >= 120")

@@ -77,3 +77,15 @@ CHECKS = {
     "ml13_correspondence": lambda d: sorted(d["axis"].unique()) == [0, 1],
     "ml14_correspondence_without": lambda d: "src0" not in set(d["source"]),
 }
+
+
+def test_books_of_one_or_two_documents_are_split(spark, tmp_path):
+    """Every long document is a section, also where its book has few or no source."""
+    places = [(1, "one"), (2, "two"), (3, "two"), (1501, "two"), *[(i, "many") for i in range(4, 10)], (10, None), (2000, None), (11, "short")]
+    docs = [(i, s, ("Word " * 10 if s == "short" else f"Say{i} and\nword. " * 60)) for i, s in places]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    name = "wn15_st18_split_by_contents"
+    got, want = rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()), rows(con.execute(plans.SQL[name]).df())
+    assert len(want) == len(docs) - 1 and got.astype(str).equals(want.astype(str))
