@@ -26,6 +26,7 @@ their names; the columns this operator adds are named by the caller.
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ TOLERANCE, MOST = 1e-6, 60
 SHARE, LOST = 0.5, 0.005
 #: Shares of a text's characters from which it counts as figures or marked, and characters below which it is short.
 FIGURES, MARKED, BRIEF = 0.1, 0.08, 600
+SPACES = " \t\n\x0b\x0c\r"
 DIGITS, SIGNS = "0123456789", "|<>{}[]/\\#%&+=~`^_*$@"
 #: Rounds between two written tables.
 CUT = 4
@@ -48,16 +50,18 @@ CUT = 4
 
 def tokens_of(text: str):
     """White-space tokens of a text, as a column."""
-    t = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    t = F.trim(t)
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # A letter for each token; what may be left is white space at the end.
+    return F.length(F.btrim(F.regexp_replace(t, f"[{SPACES}]*+[^{SPACES}]++", "a"), F.lit(SPACES))).cast("long")
 
 
 def topic_of(text: str):
     """The kind of text as a topic, by what its characters are: figures, marked (tables, code, noise), short or prose."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    some = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    return F.when(some(DIGITS) > FIGURES * F.length(t), "figures").when(some(SIGNS) > MARKED * F.length(t), "marked").when(F.length(t) < BRIEF, "short").otherwise("prose")
+    # Digits and signs alone are a small part of most texts, so they are counted there.
+    counted = F.regexp_replace(t, f"[^{re.escape(DIGITS + SIGNS)}]++", "")
+    signs = F.length(F.translate(counted, DIGITS, ""))
+    return F.when(F.length(counted) - signs > FIGURES * F.length(t), "figures").when(signs > MARKED * F.length(t), "marked").when(F.length(t) < BRIEF, "short").otherwise("prose")
 
 
 def _cells(docs: DataFrame, cols: list[str], tokens: str) -> DataFrame:
