@@ -11,7 +11,8 @@
    alone; a Nystrom step gives the leading right singular vectors.
 4. Items and all passages (64 words, every 32) are folded into the latent space, and passages
    whose cosine with an item reaches ``COSINE`` are its candidates; the bar is lower for an item
-   that weighs little against a usual passage.
+   that weighs little against a usual passage. Passages around which ``PARAPHRASE`` of the item's words don't
+   stand, in any order, are none: the hits tell, and the check could only refuse them.
 5. Candidates are checked on the texts: the longest common subsequence of words with the whole
    item, and whether its answer (the last sentence) is there.
 
@@ -38,6 +39,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -124,7 +126,7 @@ def _hits(rows: DataFrame, terms: dict[bytes, int]) -> DataFrame:
             n, ids, places = [], [], []
             for t in batch["t"]:
                 w = words_of(t)
-                x = np.array([get(y, -1) for y in w], np.int32)
+                x = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w))
                 at = np.flatnonzero(x >= 0).astype(np.int32)
                 n.append(len(w))
                 ids.append(x[at].tobytes())
@@ -160,19 +162,18 @@ def _frequencies(hits: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, total = np.zeros(n_terms, np.int64), 0
         for batch in batches:
-            owner, _, term, half, base = _passages(batch)
+            owner, start, term, half, _ = _passages(batch)
             total += len(owner)
             if not len(term):
                 continue
-            last = base + np.maximum(1, -(-batch["n"].to_numpy(np.int64) // HALF) - 1) - 1
-            own = np.searchsorted(base, half, "right") - 1
-            # A hit in half j lies in the passages that start at j - 1 and j, as far as the text has them.
-            at = np.concatenate([half, half - 1])
-            t = np.concatenate([term, term]).astype(np.int64)
-            own = np.concatenate([own, own])
-            fits = (at >= base[own]) & (at <= last[own])
-            pairs = np.unique(at[fits] * n_terms + t[fits])
-            df += np.bincount(pairs % n_terms, minlength=n_terms)
+            starts = np.zeros(int(half.max()) + 2, bool)
+            starts[1 + start[start < len(starts) - 1]] = True
+            # A hit in half j lies in the passages that start at j - 1 and j, as far as the text has them; j - 1 has it already if the half before has the term.
+            at = np.sort(term.astype(np.int64) * len(starts) + half)
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+            t, j = np.divmod(at, len(starts))
+            again = np.concatenate([[False], at[1:] == at[:-1] + 1]) & (j > 0)
+            df += np.bincount(t, starts[j + 1].astype(float) + (starts[j] & ~again), n_terms).astype(np.int64)
         some = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.concatenate([[-1], some]), "df": np.concatenate([[total], df[some]])})
 
@@ -198,8 +199,8 @@ def term_weights(df: np.ndarray, total: int, items: list[Item], terms: dict[byte
     return np.where(some, np.log((2 + total) / (1 + df)), 0.0)
 
 
-def _fold(batch: pd.DataFrame, table: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each passage, its half, its vector, term of each used hit, passages of each used hit: -1 where none)."""
+def _fold(batch: pd.DataFrame, table: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each passage, its half, its vector, term of each used hit, half of each used hit, first half per row)."""
     owner, start, term, half, base = _passages(batch)
     keep = used[term]
     term, half = term[keep], half[keep]
@@ -209,7 +210,7 @@ def _fold(batch: pd.DataFrame, table: np.ndarray, used: np.ndarray) -> tuple[np.
     if len(half):
         first = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]]))
         sums[half[first]] = np.add.reduceat(table[term], first, axis=0)
-    return owner, start, sums[start] + sums[start + 1] if len(start) else np.zeros((0, table.shape[1]), np.float32), term, half
+    return owner, start, sums[start] + sums[start + 1] if len(start) else np.zeros((0, table.shape[1]), np.float32), term, half, base
 
 
 def _sketch(hits: DataFrame, weight: np.ndarray, columns: int, seed: int) -> np.ndarray:
@@ -224,16 +225,16 @@ def _sketch(hits: DataFrame, weight: np.ndarray, columns: int, seed: int) -> np.
         table = np.random.default_rng(seed).standard_normal((n_terms, columns)).astype(np.float32) * weight[:, None].astype(np.float32)
         out = np.zeros((n_terms, columns), np.float64)
         for batch in batches:
-            _, start, vectors, term, half = _fold(batch, table, used)
+            _, start, vectors, term, half, _ = _fold(batch, table, used)
             if not len(term):
                 continue
             # Each hit adds its passages' sketch rows to its term.
             full = np.zeros((int(max(half.max(), start.max())) + 2, columns), np.float32)
             full[start] = vectors
-            share = full[half] + np.where((half > 0)[:, None], full[half - 1], 0)
+            full[1:] = full[1:] + full[:-1]
             order = np.argsort(term, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) != 0]))
-            out[term[order][first]] += np.add.reduceat(share[order], first, axis=0)
+            out[term[order][first]] += np.add.reduceat(full[half[order]], first, axis=0)
         out *= weight[:, None]
         part = TaskContext.get().partitionId()
         for b in range(blocks):
@@ -273,11 +274,41 @@ def latent_space(hits: DataFrame, weight: np.ndarray, rank: int = RANK, extra: i
     return u[:, :rank]
 
 
+def _enough(of: np.ndarray, row: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], there: np.ndarray, spots: np.ndarray | None = None, span: int = 0, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of an item and a row of ``there`` (rows x terms) have as many of the item's words, repeats counted, as it takes at least.
+
+    ``words``: item i has the terms ``ids[starts[i]:starts[i + 1]]``, each so many ``times``, and needs ``least[i]``. With ``spots``,
+    sorted (row, term, place) as one number of places below ``span``, a word counts at places from ``lo`` to before ``hi`` only.
+    """
+    starts, ids, times, least = words
+    size = starts[of + 1] - starts[of]
+    ends = np.cumsum(size)
+    out, a = np.zeros(len(of), bool), 0
+    while a < len(of):
+        # So many pairs at a time that their words stay few.
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + (1 << 18), "right")))
+        n = size[a:b]
+        begin = np.cumsum(n) - n
+        at = np.arange(n.sum()) - np.repeat(begin - starts[of[a:b]], n)
+        pair, term = np.repeat(np.arange(a, b), n), ids[at]
+        has = there[row[pair], term]
+        if spots is not None:
+            some = np.flatnonzero(has)
+            key, pair = (row[pair[some]] * there.shape[1] + term[some]) * span, pair[some]
+            # The first place from ``lo`` on; behind the last one is none.
+            nxt = np.searchsorted(spots, key + lo[pair])
+            has[some] = np.where(nxt < len(spots), spots[np.minimum(nxt, len(spots) - 1)], np.iinfo(np.int64).max) < key + np.minimum(hi[pair], span)
+        out[a:b] = np.add.reduceat(has * times[at], begin) >= least[of[a:b]]
+        a = b
+    return out
+
+
 def _candidates(hits: DataFrame, weight: np.ndarray, basis: np.ndarray, items: list[Item], terms: dict[bytes, int], cosine: float, usual: float) -> DataFrame:
     """(k, h, place, item): candidate passages by their first word.
 
     An item of length |q| in a passage of the ``usual`` length u has a cosine of about |q| / sqrt(|q|^2 + u^2);
-    where ``SLACK`` of that is less than ``cosine``, it is the item's bar.
+    where ``SLACK`` of that is less than ``cosine``, it is the item's bar. Every word of an item is a term, so the hits
+    tell what stands in the words that the check would read, and a passage with too little of an item is no candidate for it.
     """
     table = (basis * weight[:, None]).astype(np.float32)
     used = weight > 0
@@ -296,15 +327,18 @@ def _candidates(hits: DataFrame, weight: np.ndarray, basis: np.ndarray, items: l
     bars = np.minimum(cosine, SLACK * size / np.sqrt(size**2 + usual**2)).astype(np.float32)
     of = np.array(of, np.int64)
     least = min([2, *(len(x.words) for x in items)])
+    words_ = [sorted((terms[w], n) for w, n in x.times.items()) for x in items]
+    ids, times = np.array([y for x in words_ for y in x], np.int64).reshape(-1, 2).T
+    words = np.concatenate([[0], np.cumsum([len(x) for x in words_])]), ids, times, np.array([PARAPHRASE * len(x.words) for x in items])
+    lengths = np.array([len(x.words) for x in items])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, start, p, _, half = _fold(batch, table, used)
-            base = _passages(batch)[4]
+            owner, start, p, _, half, base = _fold(batch, table, used)
             size = np.linalg.norm(p, axis=1)
             # One word alone is no candidate; an item of one word is the exception.
-            words = np.bincount(half, minlength=int(start.max()) + 2 if len(start) else 1)
-            some = np.flatnonzero((size > 1e-9) & (words[start] + words[start + 1] >= least)) if len(start) else np.zeros(0, int)
+            filled = np.bincount(half, minlength=int(start.max()) + 2 if len(start) else 1)
+            some = np.flatnonzero((size > 1e-9) & (filled[start] + filled[start + 1] >= least)) if len(start) else np.zeros(0, int)
             out_p, out_i = [], []
             for lo in range(0, len(some), 8192):
                 at = some[lo : lo + 8192]
@@ -314,8 +348,23 @@ def _candidates(hits: DataFrame, weight: np.ndarray, basis: np.ndarray, items: l
                 out_i.append(of[b])
             if out_p:
                 a, b = np.concatenate(out_p), np.concatenate(out_i)
+                row = owner[a]
+                some_rows, at = np.unique(row, return_inverse=True)
+                seen = [(np.frombuffer(batch["ids"].iat[r], np.int32).astype(np.int64), np.frombuffer(batch["places"].iat[r], np.int32)) for r in some_rows.tolist()]
+                there = np.zeros((len(seen), len(weight)), bool)
+                for i, (x, _) in enumerate(seen):
+                    there[i, x] = True
+                pairs, back = np.unique(at * len(items) + b, return_inverse=True)
+                keep = _enough(pairs % len(items), pairs // len(items), words, there)[back]
+                a, b, row, at = a[keep], b[keep], row[keep], at[keep]
+                if len(a):
+                    # What the check will read: the passage, and the item's length on either side.
+                    place = (start[a] - base[row]) * HALF
+                    span = 1 + max(int(p[-1]) for _, p in seen if len(p))
+                    spots = np.sort(np.concatenate([(i * len(weight) + x) * span + p for i, (x, p) in enumerate(seen)]))
+                    keep = _enough(b, at, words, there, spots, span, np.maximum(0, place - lengths[b]), place + 2 * HALF + lengths[b])
+                    a, b, row = a[keep], b[keep], row[keep]
                 if len(a):
-                    row = owner[a]
                     yield pd.DataFrame({"k": batch["k"].to_numpy()[row], "h": batch["h"].to_numpy()[row], "place": (start[a] - base[row]) * HALF, "item": b})
 
     return hits.mapInPandas(run, "k long, h long, place long, item int")
@@ -331,15 +380,9 @@ def _checked(rows: DataFrame, candidates: DataFrame, items: list[Item]) -> DataF
         for batch in batches:
             out = []
             for k, h, t, c in zip(batch["k"], batch["h"], batch["t"], batch["c"], strict=True):
-                w, best, fits = words_of(t), {}, {}
-                there = set(w)
+                w, best = words_of(t), {}
                 for i, place in np.reshape(c, (-1, 2)).tolist():
                     item = items[i]
-                    # What the whole text doesn't have no part of it has; most candidates end here.
-                    if i not in fits:
-                        fits[i] = sum(map(item.times.__getitem__, item.distinct & there)) >= PARAPHRASE * len(item.words)
-                    if not fits[i]:
-                        continue
                     n = len(item.words)
                     # The item may begin before the passage or end after it.
                     got = item.held_by(w[max(0, place - n) : place + 2 * HALF + n])

@@ -479,6 +479,26 @@ def test_paraphrases_are_found_whatever_words_they_change(spark, monkeypatch):
     assert len(found[0] ^ found[1]) <= 0.05 * len(planted)
 
 
+def test_candidates_have_enough_of_an_item(spark, monkeypatch):
+    """Texts that share rare words of an item, but less of it than the check asks for, aren't read again, and the others are all found."""
+    rnd = random.Random(8)
+    items = [(i, " ".join(f"q{rnd.randint(0, 900)}" for _ in range(rnd.choice([1, 5, 30, 90]))) + f". r{i} r{i} u{i}") for i in range(60)]
+    docs = []
+    for d in range(400):
+        i, w = d % 60, items[d % 60][1].split()
+        part = w[-6:] if d % 4 else w[: max(1, int(len(w) * rnd.choice([0.4, 0.55, 0.8, 1.0])))]
+        docs.append((d, " ".join([f"z{rnd.randint(0, 500)}" for _ in range(rnd.randint(0, 120))] + part + ["end"] * rnd.randint(0, 60))))
+    read, checked = [], decontam._checked
+    monkeypatch.setattr(decontam, "_checked", lambda rows, near, items: read.append((near.select("k", "item").distinct().collect(), items)) or checked(rows, near, items))
+    got = {(r.k, r.item_id) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    near, told = read[0]
+    text = {d: decontam.words_of(t) for d, t in docs}
+    enough = lambda k, item: sum(item.times[w] for w in item.distinct & set(text[k])) >= decontam.PARAPHRASE * len(item.words)
+    assert near and all(enough(r.k, told[r.item]) for r in near)
+    want = {(k, x.id) for k, w in text.items() for x in told if x.held_by(w)[0]}
+    assert len(got & want) >= 0.95 * len(want) and got <= want
+
+
 def test_decontamination_of_odd_documents(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "word"), (2, None)], "item_id long, text string")
     got = decontam.decontaminate(odd_docs, bench).collect()
