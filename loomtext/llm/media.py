@@ -14,9 +14,10 @@ Images with equal pixels form a class first, and only one of each class goes on,
 that a third of all rows show costs no more than one. Candidates are met in two steps. First every image of a bucket
 meets the one with the smallest key; links that hold make components, so that a large group of copies, whose
 pictures share their buckets, becomes one component at a cost in proportion to its size. Then images of a
-bucket that are still in different components meet, all but the bucket's largest component with all
-others, and the votes of such a pair are those of all buckets together. So no link between components is lost. What
-can still grow with the square of a bucket are pictures that share corners and are no copies.
+bucket that are still in different components meet, and the votes of such a pair are those of all buckets together. So no
+link between components is lost. For this the images are dealt into blocks; a task has two blocks, counts
+the votes of their pairs, and only candidates leave it. Each image is sent to as many tasks as there are blocks. What
+can still grow with the square of a bucket are the agreements counted there, of pictures that share corners and are no copies.
 
 The corners kept per image and scale are the detector's parameter: in every ``TILE`` x ``TILE`` pixels the ``CORNERS``
 strongest, by place where equal, so a crop of a large picture has the corners that its source has there.
@@ -44,6 +45,8 @@ BITS, TABLES, CHUNK, CORNERS, TILE, SCALES = 256, 10, 48, 24, 96, (1.0, 0.7)
 RADIUS, MARGIN = 9, 13
 #: Corners that must agree in a table, largest Hamming distance of a match, corners that must follow one transform, and by how many pixels they may miss.
 VOTES, NEAR, CONSENSUS, MISS = 3, 48, 8, 3.0
+#: Chunks in shared buckets that a block of images has on average, the fewest blocks; agreeing corners that a task holds at a time, and slots that its pairs are counted in.
+BLOCK_CHUNKS, BLOCKS, AT_ONCE, SLOTS = 1 << 20, 6, 1 << 17, 262_147
 #: Distances, in the order of matches, of those that name transforms together where there are many.
 STRIDES = (1, 2, 3, 5, 8, 13, 21, 34)
 #: Fixed places of the comparisons.
@@ -244,17 +247,67 @@ def _voted(met: DataFrame, most_corners: int) -> DataFrame:
     return met.distinct().groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= VOTES).select("a", "b")
 
 
+def _met(images: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) of a task's images in different components with enough different corners of b, the larger key, in shared buckets.
+
+    The images are those of two blocks, met across, or of one, met among themselves. They meet ``AT_ONCE`` agreeing corners at a time.
+    """
+    key, comp = images["key"].to_numpy(), np.unique(images["comp"], return_inverse=True)[1]
+    image = np.repeat(np.arange(len(images)), images["buckets"].map(len))
+    bucket, corner = np.concatenate(images["buckets"].to_numpy()), np.concatenate(images["corners"].to_numpy())
+    one = bool(images["low"].iloc[0] == images["high"].iloc[0])
+    left, right = (np.flatnonzero((images["block"] == images[side]).to_numpy()[image]) for side in ("low", "high"))
+    found = [np.zeros(0, np.int64)]
+    if len(left):
+        # By bucket and component: a right entry's partners are its bucket's range without its own component's.
+        left = left[np.lexsort((comp[image[left]], bucket[left]))]
+        head = np.flatnonzero(np.concatenate([[True], bucket[left][1:] != bucket[left][:-1]]))
+        end = np.append(head[1:], len(left))
+        at = np.minimum(np.searchsorted(bucket[left[head]], bucket[right]), len(head) - 1)
+        hit = bucket[left[head[at]]] == bucket[right]
+        at, right = at[hit], right[hit]
+        code, own = np.repeat(np.arange(len(head)), end - head) * len(images) + comp[image[left]], at * len(images) + comp[image[right]]
+        starts = np.stack([head[at], np.searchsorted(code, own, "right")], 1)
+        counts = np.stack([np.searchsorted(code, own, "left"), end[at]], 1) - starts
+        total = np.concatenate([[0], np.cumsum(counts.sum(axis=1))])
+        bounds = np.append(np.flatnonzero(np.diff(image[right], prepend=-1)), len(right))
+        width, i = int(corner.max()) + 1, 0
+        while i < len(bounds) - 1:
+            j = max(i + 1, int(np.searchsorted(total[bounds], total[bounds[i]] + AT_ONCE, "right")) - 1)
+            lo, hi, i = bounds[i], bounds[j], j
+            n = counts[lo:hi].ravel()
+            x = left[np.repeat(starts[lo:hi].ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            y = np.repeat(np.repeat(right[lo:hi], 2), n)
+            up = key[image[x]] < key[image[y]]
+            if one:
+                x, y, up = x[up], y[up], up[up]
+            pair = image[x] * len(images) + image[y]
+            # Most pairs agree once: where a slot has fewer agreements than VOTES, no pair in it has enough.
+            many = np.bincount(slot := pair % SLOTS)[slot] >= VOTES
+            x, y, up, pair = x[many], y[many], up[many], pair[many]
+            pair, votes = np.unique(np.unique(pair * width + np.where(up, corner[y], corner[x])) // width, return_counts=True)
+            found.append(pair[votes >= VOTES])
+    pair = np.concatenate(found)
+    both = np.stack([key[pair // len(images)], key[pair % len(images)]], 1)
+    return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1)})
+
+
 def _between(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """(a, b, corner) of pairs in different components that share a bucket; corners are those of b, the larger key."""
+    """(a, b) of images in different components with enough different corners of b, the larger key, in shared buckets.
+
+    The images are dealt into blocks, and each two blocks meet in a task that counts the votes, so only candidates become rows.
+    """
     marked = shared.join(comp.withColumnRenamed("node", "key"), "key", "left").select("bucket", "corner", "key", F.coalesce("component", "key").alias("comp"))
     marked = materialize(marked, "marked")
-    sizes = marked.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("n", "comp")).alias("top")).where("kinds > 1").select("bucket", "top")
-    rest = materialize(marked.join(top, "bucket"), "rest")
-    few = rest.where("comp <> top")
-    met = few.alias("l").join(rest.alias("r"), F.expr("l.bucket = r.bucket AND l.comp <> r.comp AND (r.comp = r.top OR l.key < r.key)"))
+    several = marked.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket")
+    images = marked.join(several, "bucket").groupBy("key", "comp").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("corner").alias("corners"))
+    images = materialize(images, "open-images")
     forget(marked)
-    return met.select(F.expr("least(l.key, r.key)").alias("a"), F.expr("greatest(l.key, r.key)").alias("b"), F.expr("if(l.key > r.key, l.corner, r.corner)").alias("corner"))
+    total = images.agg(F.sum(F.size("buckets"))).first()[0] or 0
+    n = max(BLOCKS, -(-total // BLOCK_CHUNKS))
+    dealt = images.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select("key", "comp", "buckets", "corners", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return dealt.groupBy("low", "high").applyInPandas(_met, "a long, b long")
 
 
 def copies(images: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
@@ -271,7 +324,7 @@ def copies(images: DataFrame, key: str = "image_id", image: str = "image") -> Da
     shared = materialize(tables.join(busy, "bucket"), "tables")
     star = shared.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"), "corner")
     first = materialize(_linked(_voted(star, most), reps).select("a", "b"), "star-links")
-    second = materialize(_linked(_voted(_between(shared.drop("least"), components(first, "media")), most), reps).select("a", "b"), "links")
+    second = materialize(_linked(_between(shared.drop("least"), components(first, "media")), reps).select("a", "b"), "links")
     forget(shared)
     comp = components(first.union(second), "media")
     by_class = classes.join(comp, classes["rep"] == comp["node"], "left").select("content", F.coalesce("component", "rep").alias("component_id"))

@@ -402,6 +402,20 @@ def test_votes_of_small_and_large_buckets_add_up(spark):
     assert [tuple(r) for r in pairs] == [(5, 6)]
 
 
+def test_pictures_that_agree_once_make_no_rows(spark, monkeypatch):
+    rnd = random.Random(8)
+    # One bucket that all share, and a few buckets that tell which share more; keys of a component are equal modulo 50.
+    rows = [(-1, 0, k) for k in range(300)] + [(rnd.randrange(150), c, k) for k in range(300) for c in range(8) for _ in range(2)]
+    have, comp = {}, spark.createDataFrame([(k, k % 50) for k in range(50, 300)], "node long, component long")
+    for b, c, k in rows:
+        have.setdefault(k, {}).setdefault(b, set()).add(c)
+    votes = lambda a, b: len(set().union(*[c for x, c in have[b].items() if x in have[a]]))
+    want = sorted((a, b) for a in range(300) for b in range(a + 1, 300) if a % 50 != b % 50 and votes(a, b) >= media.VOTES)
+    monkeypatch.setattr(media, "AT_ONCE", 500)
+    got = media._between(spark.createDataFrame(rows, "bucket long, corner int, key long"), comp).collect()
+    assert sorted(map(tuple, got)) == want and 0 < len(want) < 20000
+
+
 def test_large_pictures_keep_corners_everywhere():
     g = picture(33, 26, 14)
     crop = g[182:, 182:].copy()
