@@ -16,7 +16,7 @@ meets the one with the smallest key; links that hold make components, so that a
 pictures share their buckets, becomes one component at a cost in proportion to its size. Then images of a
 bucket that are still in different components meet, and the votes of such a pair are those of all buckets together. So no
 link between components is lost. For this the images are dealt into blocks; a task has two blocks, counts
-the votes of their pairs, and only candidates leave it. Each image is sent to as many tasks as there are blocks. What
+the votes of their pairs, and only candidates leave it. Each image is sent to as many tasks as there are blocks, with the chunks whose buckets they have. What
 can still grow with the square of a bucket are the agreements counted there, of pictures that share corners and are no copies.
 
 The corners kept per image and scale are the detector's parameter: in every ``TILE`` x ``TILE`` pixels the ``CORNERS``
@@ -46,7 +46,7 @@ RADIUS, MARGIN = 9, 13
 #: Corners that must agree in a table, largest Hamming distance of a match, corners that must follow one transform, and by how many pixels they may miss.
 VOTES, NEAR, CONSENSUS, MISS = 3, 48, 8, 3.0
 #: Chunks in shared buckets that a block of images has on average, the fewest blocks; agreeing corners that a task holds at a time, and slots that its pairs are counted in.
-BLOCK_CHUNKS, BLOCKS, AT_ONCE, SLOTS = 1 << 20, 6, 1 << 17, 262_147
+BLOCK_CHUNKS, BLOCKS, AT_ONCE, SLOTS = 1 << 21, 6, 1 << 17, 262_147
 #: Distances, in the order of matches, of those that name transforms together where there are many.
 STRIDES = (1, 2, 3, 5, 8, 13, 21, 34)
 #: Fixed places of the comparisons.
@@ -296,18 +296,22 @@ def _between(shared: DataFrame, comp: DataFrame) -> DataFrame:
     """(a, b) of images in different components with enough different corners of b, the larger key, in shared buckets.
 
     The images are dealt into blocks, and each two blocks meet in a task that counts the votes, so only candidates become rows.
+    A chunk goes only to tasks with a block that has its bucket too.
     """
     marked = shared.join(comp.withColumnRenamed("node", "key"), "key", "left").select("bucket", "corner", "key", F.coalesce("component", "key").alias("comp"))
     marked = materialize(marked, "marked")
-    several = marked.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket")
-    images = marked.join(several, "bucket").groupBy("key", "comp").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("corner").alias("corners"))
-    images = materialize(images, "open-images")
+    n = max(BLOCKS, -(-marked.count() // BLOCK_CHUNKS))
+    block = F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("block")
+    # Of more than 64 blocks some share a bit, so that a chunk may go to a task without need.
+    blocks = marked.select("bucket", "comp", block).groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.bit_or(F.expr("shiftleft(1L, block % 64)")).alias("blocks"))
+    open_ = marked.join(blocks.where("least < most").select("bucket", "blocks"), "bucket")
+    images = open_.groupBy("key", "comp").agg(F.collect_list(F.struct("bucket", "corner", "blocks")).alias("chunks"))
+    dealt = images.select("key", "comp", "chunks", block, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    dealt = dealt.select("*", F.expr("filter(chunks, c -> (shiftright(c.blocks, other % 64) & 1L) = 1L)").alias("met"))
+    dealt = dealt.select("key", "comp", F.col("met.bucket").alias("buckets"), F.col("met.corner").alias("corners"), "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    pairs = materialize(dealt.groupBy("low", "high").applyInPandas(_met, "a long, b long"), "candidates")
     forget(marked)
-    total = images.agg(F.sum(F.size("buckets"))).first()[0] or 0
-    n = max(BLOCKS, -(-total // BLOCK_CHUNKS))
-    dealt = images.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select("key", "comp", "buckets", "corners", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return dealt.groupBy("low", "high").applyInPandas(_met, "a long, b long")
+    return pairs
 
 
 def copies(images: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:

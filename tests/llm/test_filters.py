@@ -412,8 +412,11 @@ def test_pictures_that_agree_once_make_no_rows(spark, monkeypatch):
     votes = lambda a, b: len(set().union(*[c for x, c in have[b].items() if x in have[a]]))
     want = sorted((a, b) for a in range(300) for b in range(a + 1, 300) if a % 50 != b % 50 and votes(a, b) >= media.VOTES)
     monkeypatch.setattr(media, "AT_ONCE", 500)
-    got = media._between(spark.createDataFrame(rows, "bucket long, corner int, key long"), comp).collect()
-    assert sorted(map(tuple, got)) == want and 0 < len(want) < 20000
+    shared = spark.createDataFrame(rows, "bucket long, corner int, key long")
+    assert sorted(map(tuple, media._between(shared, comp).collect())) == want and 0 < len(want) < 20000
+    # More blocks than a mask has bits.
+    monkeypatch.setattr(media, "BLOCKS", 70)
+    assert sorted(map(tuple, media._between(shared, comp).collect())) == want
 
 
 def test_large_pictures_keep_corners_everywhere():
