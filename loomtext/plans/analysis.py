@@ -19,6 +19,7 @@ from ..operators import models as M
 from ..operators import relational as R
 from ..operators import search as S
 from ..operators import vectors as K
+from ..operators.written import written
 from .base import Tables, query
 
 _TOK = "regexp_extract_all(lower(text), '[a-zà-ÿ]+')"
@@ -261,7 +262,7 @@ def ml05_nmi(t: Tables):
 @query()
 def ml06_ml09_hmm(t: Tables):
     f = t.conversations.select("conv_id", "turn", F.length("text").cast("double").alias("f1"), F.regexp_count("text", F.lit("[.!?]")).cast("double").alias("f2"))
-    f = f.select("conv_id", "turn", R.zscore("f1", ["conv_id"]).alias("f1"), R.zscore("f2", ["conv_id"]).alias("f2"))
+    f = written(f.select("conv_id", "turn", R.zscore("f1", ["conv_id"]).alias("f1"), R.zscore("f2", ["conv_id"]).alias("f2")), "features")
     model = M.hmm_fit(f, "conv_id", "turn", ["f1", "f2"], k=5, rounds=30)
     return M.viterbi(f, "conv_id", "turn", ["f1", "f2"], model)
 

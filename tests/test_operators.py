@@ -107,6 +107,43 @@ def test_viterbi_separates_two_levels(spark):
     assert len({got[0, t] for t in range(5)}) == 1 and got[0, 0] != got[0, 9]
 
 
+def test_models_of_sequences_are_those_of_each_sequence_alone(spark):
+    """Sequences of all lengths are worked on together, by batches and not by a group each; one round gives the sums of plain recursions."""
+    rng = np.random.default_rng(4)
+    seqs = {d: rng.normal(d % 3, 1, (n, 2)) for d, n in enumerate([1, 7, 2, 30, 7, 1, 12, 3])}
+    rows = [(d, t, float(x[0]), float(x[1])) for d, s in seqs.items() for t, x in enumerate(s)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "d long, t long, x double, y double")
+    start = M.hmm_fit(df, "d", "t", ["x", "y"], k=3, rounds=2)
+    total = logl = 0.0
+    for s in seqs.values():
+        e = np.exp(M._log_gauss(s, start["mu"], start["var"]))
+        a, f, b = np.exp(start["A"]), [], [np.ones(3)]
+        for t in range(len(s)):
+            f.append(e[t] * (np.exp(start["pi"]) if t == 0 else f[-1] @ a))
+        for t in range(len(s) - 1, 0, -1):
+            b.insert(0, a @ (e[t] * b[0]))
+        p = f[-1].sum()
+        moved = sum((np.outer(f[t], e[t + 1] * b[t + 1]) * a / p for t in range(len(s) - 1)), np.zeros((3, 3)))
+        total, logl = total + moved, logl + np.log(p)
+    after = M.hmm_fit(df, "d", "t", ["x", "y"], k=3, rounds=3)
+    assert np.allclose(np.exp(after["A"]), (total + 1e-6) / (total + 1e-6).sum(1, keepdims=True)) and np.isclose(after["logl"], logl)
+    found = M.viterbi(df, "d", "t", ["x", "y"], after)
+    got = {(r.d, r.t): r.state for r in found.collect()}
+    for d, s in seqs.items():
+        ll = M._log_gauss(s, after["mu"], after["var"])
+        best, back = after["pi"] + ll[0], []
+        for x in ll[1:]:
+            step = best[:, None] + after["A"]
+            back.append(step.argmax(0))
+            best = step.max(0) + x
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.insert(0, int(b[path[0]]))
+        assert [got[d, t] for t in range(len(s))] == path
+    assert len(got) == len(rows) and "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert M.viterbi(df.limit(0), "d", "t", ["x", "y"], after).count() == 0
+
+
 def test_closing_blocks():
     assert without_closing("A tale.\n\nThe end of it.\n\nTHE END\n\nTom  12\nJack  15") == "A tale.\n\nThe end of it."
 
