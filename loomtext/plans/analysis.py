@@ -279,7 +279,7 @@ def ml10_delta_profile(t: Tables):
 @query(f"""WITH {_DELTA}, p AS (SELECT z.doc_id, word, z, lang FROM z JOIN documents USING (doc_id)), g AS (SELECT lang AS other, word, sum(z) AS s, count(*) AS n FROM p GROUP BY ALL),
 d AS (SELECT doc_id, lang, other, avg(abs(z - CASE WHEN lang = other THEN (s - z) / (n - 1) ELSE s / n END)) AS d FROM p JOIN g USING (word) GROUP BY ALL) SELECT doc_id, lang, min_by(other, (round(d, 9), other)) AS guess FROM d GROUP BY ALL""")
 def ml11_ml12_attribution(t: Tables):
-    p = M.delta_profile(t.documents, "doc_id", "text", 150)
+    p = M.profiles(t.documents, "doc_id", "text", 150)
     return M.attribute(p, t.documents.select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "lang", "guess")
 
 

@@ -89,3 +89,21 @@ def test_books_of_one_or_two_documents_are_split(spark, tmp_path):
     name = "wn15_st18_split_by_contents"
     got, want = rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()), rows(con.execute(plans.SQL[name]).df())
     assert len(want) == len(docs) - 1 and got.astype(str).equals(want.astype(str))
+
+
+def test_authors_of_repeated_lone_and_unnamed_documents(spark, tmp_path, monkeypatch):
+    """Repeated keys count repeatedly, and documents meet authors in blocks."""
+    from loomtext.operators import models
+
+    monkeypatch.setattr(models, "DOCUMENTS", 7)
+    monkeypatch.setattr(models, "AUTHORS", 2)
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefg"), 2))
+    docs = [(i, "lone" if i == 3 else ["a", "b", "c"][i % 3], " ".join(word() for _ in range(5 + i % 40))) for i in range(60)]
+    docs += [docs[5], docs[5], (7, "c", "ab ab cd"), (100, "b", ""), (101, "a", None), (102, None, "ab cd ef ab"), (None, "a", "ab ab")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("ml10_delta_profile", "ml11_ml12_attribution"):
+        got, want = rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()), rows(con.execute(plans.SQL[name]).df())
+        assert len(got) == len(want) and got.astype(str).compare(want.astype(str)).empty, name
