@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .written import written
+
 
 def five_numbers(df: DataFrame, by: list[str], value: str, most_outliers: int = 12) -> DataFrame:
     """n, min, q1, med, q3, max, whiskers at 1.5 interquartile ranges, outliers beyond them, mean, deviation (0 for one row).
@@ -46,3 +48,31 @@ def name_like(tokens: DataFrame, least: int = 5, share: float = 0.9) -> DataFram
     """(word) of tokens that are capitalised in ``share`` of at least ``least`` occurrences; ``tokens`` has (tok) as written."""
     t = tokens.groupBy(F.lower("tok").alias("word")).agg(F.count("*").alias("n"), F.count_if(F.col("tok") != F.lower("tok")).alias("caps"))
     return t.where((F.col("n") >= least) & (F.col("caps") >= share * F.col("n"))).select("word")
+
+
+def pair_gaps(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, pairs, valued, gap): unordered pairs of a group's rows, those with both values, and the sum of their absolute differences.
+
+    No pair is made: in the order of values, a value differs from all smaller ones by itself times their number, less their sum.
+    Values are dealt out by ranges, so a large group is many tasks; a range's part of a group carries on from the ranges before it.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    values = df.groupBy(*by, F.col(x).cast("double").alias("x_")).agg(F.count("*").alias("c_"))
+    # Written, as ranges are drawn anew each time they are computed.
+    ranged = written(values.repartitionByRange(parts, *by, "x_").withColumn("range_", F.spark_partition_id()), "ranges")
+    valued = ranged.where("x_ IS NOT NULL")
+    sums = lambda c, n: [F.coalesce(F.sum("c_").over(c), F.lit(0)).alias(f"c{n}_"), F.coalesce(F.sum("s_").over(c), F.lit(0.0)).alias(f"s{n}_")]
+    before = Window.unboundedPreceding, -1
+    whole = valued.groupBy(*by, "range_").agg(F.sum("c_").alias("c_"), F.sum(F.col("c_") * F.col("x_")).alias("s_"))
+    starts = whole.select(*by, "range_", *sums(Window.partitionBy(*by).orderBy("range_").rowsBetween(*before), 1))
+    own = valued.withColumn("s_", F.col("c_") * F.col("x_")).select(*by, "range_", "x_", "c_", *sums(Window.partitionBy("range_", *by).orderBy("x_").rowsBetween(*before), 2))
+    same = F.lit(True)
+    for c in [*by, "range_"]:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}"))
+    met = own.alias("o").join(starts.alias("t"), same).select("o.*", "c1_", "s1_")
+    gap = F.col("c_") * (F.col("x_") * (F.col("c1_") + F.col("c2_")) - (F.col("s1_") + F.col("s2_")))
+    rows = met.select(*by, F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("v"), gap.alias("g"))
+    rows = rows.union(ranged.select(*by, "c_", F.when(F.col("x_").isNotNull(), F.col("c_")).otherwise(0), F.lit(0.0)))
+    two = lambda c: (F.sum(c) * (F.sum(c) - 1) / 2).cast("long")
+    return rows.groupBy(*by).agg(two("n").alias("pairs"), two("v").alias("valued"), F.sum("g").alias("gap"))

@@ -173,8 +173,21 @@ def jn06_theta_self(t: Tables):
 
 @query("SELECT (a.s_nationkey = b.s_nationkey) AS same, count(*) AS pairs, round(avg(abs(a.s_acctbal - b.s_acctbal)), 4) AS gap FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey GROUP BY 1")
 def jn07_triangle(t: Tables):
-    a, b = t.supplier.alias("a"), t.supplier.alias("b")
-    return a.join(b, F.expr("a.s_suppkey < b.s_suppkey")).groupBy((F.col("a.s_nationkey") == F.col("b.s_nationkey")).alias("same")).agg(F.count("*").alias("pairs"), F.round(F.avg(F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal"))), 4).alias("gap"))
+    """Pairs of suppliers in the order of their keys, by whether they share a nation; counts and sums of gaps follow from groups of suppliers, without a row per pair."""
+    from ..operators.aggregates import pair_gaps
+
+    rows = t.supplier.where("s_suppkey IS NOT NULL").select("s_suppkey", "s_nationkey", "s_acctbal")
+    again = rows.groupBy("s_suppkey").agg((F.count("*") > 1).alias("again")).where("again")
+    # All pairs, those with both nations known, those within a nation; pairs of one key, which have no order, are taken away from each.
+    kinds = lambda key: F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("nation"), key.alias("key"), ok.alias("ok")) for k, n, ok in (("all", F.lit(None).cast("int"), F.lit(True)), ("known", F.lit(None).cast("int"), F.col("s_nationkey").isNotNull()), ("same", F.col("s_nationkey"), F.col("s_nationkey").isNotNull()))])
+    every = rows.select("s_acctbal", F.explode(kinds(F.lit(None).cast("long"))).alias("g"))
+    one = rows.join(again, "s_suppkey", "left_semi").select("s_acctbal", F.explode(kinds(F.col("s_suppkey"))).alias("g"))
+    got = pair_gaps(every.union(one).where("g.ok").select("g.kind", "g.nation", "g.key", "s_acctbal"), ["kind", "nation", "key"], "s_acctbal")
+    total = lambda k, c: F.coalesce(F.sum(F.when(F.col("kind") == k, F.when(F.col("key").isNull(), F.col(c)).otherwise(-F.col(c)))), F.lit(0))
+    sums = got.agg(*[total(k, c).alias(f"{k}_{c}") for k in ("all", "known", "same") for c in ("pairs", "valued", "gap")])
+    part = lambda same, one, less: F.struct(F.lit(same).cast("boolean").alias("same"), *[(F.col(f"{one}_{c}") - (F.col(f"{less}_{c}") if less else F.lit(0))).alias(c) for c in ("pairs", "valued", "gap")])
+    out = sums.select(F.explode(F.array(part(True, "same", None), part(False, "known", "same"), part(None, "all", "known"))).alias("p")).select("p.*").where("pairs > 0")
+    return out.select("same", "pairs", F.round(F.when(F.col("valued") > 0, F.col("gap") / F.col("valued")), 4).alias("gap"))
 
 
 @query("""WITH f(form, label) AS (VALUES ('the','det'), ('the','det'), ('that','det'), ('and','conj'), ('que','conj'), ('und','conj')), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS tok FROM documents)

@@ -107,3 +107,17 @@ def test_authors_of_repeated_lone_and_unnamed_documents(spark, tmp_path, monkeyp
     for name in ("ml10_delta_profile", "ml11_ml12_attribution"):
         got, want = rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()), rows(con.execute(plans.SQL[name]).df())
         assert len(got) == len(want) and got.astype(str).compare(want.astype(str)).empty, name
+
+
+def test_pairs_of_repeated_keys_and_unknown_nations(spark, tmp_path):
+    """Counts and gaps of pairs come from sums, without a join of suppliers with suppliers."""
+    rng = np.random.default_rng(3)
+    one = lambda i: (None if i % 31 == 0 else i // 2 if i % 5 == 0 else i, None if i % 11 == 0 else int(rng.integers(0, 4)), None if i % 13 == 0 else round(float(rng.normal(0, 1)) * 100, rng.integers(0, 3)))
+    spark.createDataFrame([one(i) for i in range(300)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    found = plans.QUERIES["jn07_triangle"](spark, str(tmp_path))
+    told = lambda d: {(r["same"], r["pairs"], round(r["gap"], 4)) for r in d}
+    want = told(dict(zip(("same", "pairs", "gap"), r, strict=True)) for r in con.execute(plans.SQL["jn07_triangle"]).fetchall())
+    assert told(found.collect()) == want and {w[0] for w in want} == {True, False, None}
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
