@@ -121,3 +121,20 @@ def test_pairs_of_repeated_keys_and_unknown_nations(spark, tmp_path):
     want = told(dict(zip(("same", "pairs", "gap"), r, strict=True)) for r in con.execute(plans.SQL["jn07_triangle"]).fetchall())
     assert told(found.collect()) == want and {w[0] for w in want} == {True, False, None}
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+def test_entries_and_headings_that_begin_each_other(spark, tmp_path):
+    """All begin with the same twelve letters; no join holds all entries against all headings of such a beginning."""
+    name = "st16_prefix_match"
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("ab"), n))
+    docs = [(i, " ".join(["Collectively"] + [word(int(rng.integers(1, 5))) for _ in range(int(rng.integers(0, 8)))])) for i in range(400)]
+    docs += [(400 + i, f"Institutional {word(6)}{i} {word(3)} {word(3)} more of it") for i in range(50)]
+    docs += [docs[401], docs[402], (900, None), (901, ""), (None, docs[403][1]), (902, "Shortwords a"), (903, "Extraordinarilylong"), (904, "Extraordinarilylongest of")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = plans.QUERIES[name](spark, str(tmp_path))
+    got, want = rows(found.toPandas()), rows(con.execute(plans.SQL[name]).df())
+    assert len(want) > 3 and got.astype(str).equals(want.astype(str))
+    assert "substring(key" not in plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().replace("xxhash64(substring(key", "")
