@@ -138,3 +138,29 @@ def test_entries_and_headings_that_begin_each_other(spark, tmp_path):
     got, want = rows(found.toPandas()), rows(con.execute(plans.SQL[name]).df())
     assert len(want) > 3 and got.astype(str).equals(want.astype(str))
     assert "substring(key" not in plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().replace("xxhash64(substring(key", "")
+
+
+def test_ranks_of_gold_documents_that_are_not_first(spark, tmp_path, monkeypatch):
+    """Ranks are counted in blocks of documents and queries, ties go by key, and no plan ranks all documents of a query."""
+    from loomtext.operators import search
+
+    monkeypatch.setattr(search, "DOCUMENTS", 9)
+    monkeypatch.setattr(search, "QUERIES", 3)
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abc"), 2))
+    docs = [(i, " ".join(word() for _ in range(int(rng.integers(5, 60))))) for i in range(80)]
+    items = [(i, docs[i * 3][1][2 : 2 + int(rng.integers(4, 20))]) for i in range(20)]
+    docs += [(200 + i, items[i][1] + " " + items[i][1]) for i in range(0, 20, 3)] + [(300 + i, docs[i][1]) for i in range(0, 60, 4)] + [(400, None), (401, "")]
+    items += [(50, "123"), (51, ""), (52, None), (53, "nowhere at all"), (54, "a"), (55, "ab. cb")]
+    for name, table, kind in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(table, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = plans.QUERIES["ir07_gold_retrieval"](spark, str(tmp_path))
+    got, want = rows(found.toPandas()), rows(con.execute(plans.SQL["ir07_gold_retrieval"]).df())
+    assert got.astype(str).equals(want.astype(str)) and want["mrr"].iloc[0] < 0.9 and want["n"].iloc[0] >= 15
+    assert "Window" not in found._jdf.queryExecution().toString()
+    benchmark, documents = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("benchmark", "documents"))
+    told = lambda most: {(r.item_id, r.doc_id) for r in search.containing(benchmark, documents, "item_id", "doc_id", most=most).collect()}
+    assert told(10_000) == told(1)
