@@ -164,3 +164,12 @@ def test_ranks_of_gold_documents_that_are_not_first(spark, tmp_path, monkeypatch
     benchmark, documents = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("benchmark", "documents"))
     told = lambda most: {(r.item_id, r.doc_id) for r in search.containing(benchmark, documents, "item_id", "doc_id", most=most).collect()}
     assert told(10_000) == told(1)
+
+
+def test_all_pairs_meet_in_blocks(spark, duck, monkeypatch):
+    from loomtext.plans import relational
+
+    monkeypatch.setattr(relational, "PAIRED", 3)
+    found = plans.QUERIES["jn06_theta_self"](spark, FOLDER)
+    assert rows(found.toPandas()).equals(rows(duck.execute(plans.SQL["jn06_theta_self"]).df()))
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
